@@ -122,16 +122,15 @@ def quantiles(
     cells: int = CELLS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (keys, level_idx)."""
-    parts = []
-    for idx, level in enumerate(levels):
-        at = F.lit(float(level)) * (F.col("n") - 1)
-        low = F.floor(at)
-        frac = at - low
-        for weight, pos in ((1 - frac, low), (frac, F.ceil(at))):
-            tag = F.struct(F.lit(idx).alias("level_idx"), weight.alias("weight"))
-            parts.append(F.struct(tag.alias("tag"), pos.cast("long").alias("pos")))
-    picked = order_statistics(df, keys, value, F.array(*parts), cells)
-    level_of = F.element_at(F.array(*[F.lit(float(q)) for q in levels]), F.col("level_idx") + 1)
+    def around(level: Column, idx: Column) -> Column:
+        at = level * (F.col("n") - 1)
+        low, frac = F.floor(at), at - F.floor(at)
+        return F.array(*[_tagged(idx, w, pos) for w, pos in ((1 - frac, low), (frac, F.ceil(at)))])
+
+    grid = F.array(*[F.lit(float(q)) for q in levels])
+    positions = F.flatten(F.transform(grid, around))
+    picked = order_statistics(df, keys, value, positions, cells)
+    level_of = F.element_at(grid, F.col("level_idx") + 1)
     return (
         picked.groupBy(*keys, F.col("tag.level_idx").alias("level_idx"))
         .agg(F.sum(F.col("tag.weight") * F.col(value)).alias(out))
@@ -151,6 +150,11 @@ def row_numbers(df: DataFrame, keys: Sequence[str], value: str, out: str, cells:
     return counts.select(*keys, value, numbers.alias(out), F.col("total_cnt").alias("n"))
 
 
+def _tagged(idx: Column, weight: Column, pos: Column) -> Column:
+    tag = F.struct(idx.alias("level_idx"), weight.alias("weight"))
+    return F.struct(tag.alias("tag"), pos.cast("long").alias("pos"))
+
+
 def _with_cell(df: DataFrame, keys: Sequence[str], value: str, cells: int) -> DataFrame:
     bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))

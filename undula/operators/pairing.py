@@ -1,15 +1,53 @@
-"""All-pairs correlation of packed vectors, cut into tiles.
+"""All-pairs work inside a group, cut into tiles.
 
-Output is quadratic in the number of items by definition, so the work is split into tile
-pairs: key (group, tile_a, tile_b). Every group holds at most 2 * tile vectors however large
-the item set is, and a hot key is spread over all its tile pairs.
+Where the result is one value per pair of items, its size is quadratic by definition. Items are
+hashed into tiles of a bounded size and the work is keyed by (group, tile_a, tile_b): a key never
+holds more than two tiles however large or hot the group is, and nothing but whole tiles is
+shuffled. The pairs of two tiles are formed inside the task with one matrix product.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str], tile: int) -> DataFrame:
+    """Rows (keys, same, a, b): two packed tiles, ``array<struct<item, payload>>`` each.
+
+    Every unordered pair of tiles occurs once; ``same`` marks a tile paired with itself.
+    """
+    keys = list(keys)
+    sizes = items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
+    sized = items.join(sizes, keys) if keys else items.crossJoin(sizes)
+    own = F.pmod(F.xxhash64(item), F.col("_tiles")).cast("int")
+    packed = (
+        sized.select(*keys, "_tiles", own.alias("_tile"), item, *payload)
+        .groupBy(*keys, "_tiles", "_tile")
+        .agg(F.array_sort(F.collect_list(F.struct(item, *payload))).alias("_rows"))
+    )
+    left = packed.select(
+        *keys,
+        F.col("_tile").alias("_ta"),
+        F.explode(F.sequence("_tile", F.col("_tiles") - 1)).alias("_tb"),
+        F.col("_rows").alias("a"),
+    )
+    right = packed.select(
+        *keys,
+        F.explode(F.sequence(F.lit(0), F.col("_tile"))).alias("_ta"),
+        F.col("_tile").alias("_tb"),
+        F.col("_rows").alias("b"),
+    )
+    return left.join(right, [*keys, "_ta", "_tb"]).select(*keys, (F.col("_ta") == F.col("_tb")).alias("same"), "a", "b")
+
+
+@F.pandas_udf("array<double>")
+def _products(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-major products of every vector of ``a`` with every vector of ``b``."""
+    return pd.Series([(np.vstack(p) @ np.vstack(q).T).ravel() for p, q in zip(a, b)])
 
 
 def tiled_correlation(
@@ -24,46 +62,79 @@ def tiled_correlation(
 ) -> DataFrame:
     """Pearson correlation of every two item vectors inside ``keys``; ``left`` < ``right``.
 
-    Vectors are centred and scaled once per item; a pair then costs one dot product.
+    Vectors are centred and scaled once per item, so a pair costs one dot product.
     """
-    unit = _unit(items, keys, item, vector).withColumn("_tile", F.floor(F.col(item) / tile).cast("int"))
-    top = unit.groupBy(*keys).agg(F.max("_tile").alias("_top"))
-    unit = unit.join(top, list(keys))
-    # an item meets tile pairs (own tile, b >= own) from the left and (a <= own, own tile) from the right
-    a = unit.select(
-        *keys,
-        F.col("_tile").alias("_ta"),
-        F.explode(F.sequence(F.col("_tile"), F.col("_top"))).alias("_tb"),
-        F.col(item).alias(left),
-        F.col("_unit").alias("_ua"),
-    )
-    b = unit.select(
-        *keys,
-        F.explode(F.sequence(F.lit(0), F.col("_tile"))).alias("_ta"),
-        F.col("_tile").alias("_tb"),
-        F.col(item).alias(right),
-        F.col("_unit").alias("_ub"),
-    )
-    dot = F.aggregate(
-        F.zip_with("_ua", "_ub", lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v
+    unit = items.select(*keys, item, unit_vector(vector).alias("_u"))
+    tiles = tile_pairs(unit, keys, item, ["_u"], tile)
+    products = tiles.withColumn("_r", _products(F.col("a._u"), F.col("b._u")))
+    width = F.size("b")
+    flat = products.select(
+        *keys, "same", F.col(f"a.{item}").alias("_a"), F.col(f"b.{item}").alias("_b"), width.alias("_w"), F.posexplode("_r").alias("_k", out)
     )
+    x = F.get("_a", F.floor(F.col("_k") / F.col("_w")).cast("int"))
+    y = F.get("_b", (F.col("_k") % F.col("_w")).cast("int"))
     return (
-        a.join(b, [*keys, "_ta", "_tb"])
-        .where(F.col(left) < F.col(right))
-        .select(*keys, left, right, dot.alias(out))
+        flat.withColumn("_x", x)
+        .withColumn("_y", y)
+        .where(~F.col("same") | (F.col("_x") < F.col("_y")))
+        .select(*keys, F.least("_x", "_y").alias(left), F.greatest("_x", "_y").alias(right), out)
     )
 
 
-def _unit(items: DataFrame, keys: Sequence[str], item: str, vector: str) -> DataFrame:
+def unit_vector(vector: str) -> Column:
     """Centred vector of length 1, all zeros when the input is constant."""
-    v = F.col(vector)
-    zero = F.lit(0.0)
-    mean = F.aggregate(v, zero, lambda acc, x: acc + x) / F.size(v)
+    v, zero = F.col(vector), F.lit(0.0)
+
+    def total(arr):
+        return F.aggregate(arr, zero, lambda acc, x: acc + x)
+
+    def scaled(c):
+        norm = F.sqrt(total(F.transform(c, lambda x: x * x)))
+        return F.transform(F.arrays_zip(c.alias("c"), F.array_repeat(norm, F.size(c)).alias("n")), lambda p: p["c"] / p["n"])
+
+    mean = F.array_repeat(total(v) / F.size(v), F.size(v))
+    centred = F.zip_with(v, mean, lambda x, m: x - m)
     flat = F.array_min(v) == F.array_max(v)
-    centred = items.withColumn("_m", mean).withColumn("_c", F.transform(v, lambda x: x - F.col("_m")))
-    norm = F.sqrt(F.aggregate("_c", zero, lambda acc, x: acc + x * x))
-    scaled = F.transform("_c", lambda x: F.when(flat, zero).otherwise(x / F.col("_norm")))
-    return (
-        centred.withColumn("_norm", F.when(flat, F.lit(1.0)).otherwise(norm))
-        .select(*keys, item, scaled.alias("_unit"))
-    )
+    return F.when(flat, F.transform(v, lambda x: zero)).otherwise(scaled(centred))
+
+
+@F.pandas_udf("array<long>")
+def slope_histogram(
+    same: pd.Series,
+    ax: pd.Series,
+    ay: pd.Series,
+    bx: pd.Series,
+    by: pd.Series,
+    low: pd.Series,
+    high: pd.Series,
+    bins: pd.Series,
+) -> pd.Series:
+    """Counts of the slope angles of two tiles over [low, high); the last slot counts angles below low."""
+    out = []
+    for own, x1, y1, x2, y2, lo, hi, n in zip(same, ax, ay, bx, by, low, high, bins):
+        angle = np.arctan(_slopes(own, x1, y1, x2, y2))
+        inside = angle[(angle >= lo) & (angle < hi)]
+        slot = np.minimum(np.floor((inside - lo) / (hi - lo) * n), n - 1).astype(np.int64)
+        out.append(np.append(np.bincount(slot, minlength=int(n)), np.count_nonzero(angle < lo)))
+    return pd.Series(out)
+
+
+@F.pandas_udf("array<double>")
+def slopes_between(
+    same: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, low: pd.Series, high: pd.Series
+) -> pd.Series:
+    """Slopes of two tiles whose angle lies in [low, high)."""
+    out = []
+    for own, x1, y1, x2, y2, lo, hi in zip(same, ax, ay, bx, by, low, high):
+        slope = _slopes(own, x1, y1, x2, y2)
+        angle = np.arctan(slope)
+        out.append(slope[(angle >= lo) & (angle < hi)])
+    return pd.Series(out)
+
+
+def _slopes(own: bool, x1, y1, x2, y2) -> np.ndarray:
+    dx, dy = x2[None, :] - x1[:, None], y2[None, :] - y1[:, None]
+    keep = dx != 0
+    if own:
+        keep &= np.triu(np.ones(dx.shape, bool), 1)
+    return dy[keep] / dx[keep]

@@ -7,6 +7,7 @@ import importlib
 from undula.plans.catalog import ORACLES, QUERIES
 
 MODULES = (
+    "cohort_queries",
     "network_queries",
 )
 
