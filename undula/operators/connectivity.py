@@ -16,7 +16,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from undula.functions.partitioning import spread
 from undula.functions.similarity import check_method, phase_locking, safe_corr
+from undula.operators.pairing import correlate_items
 
 FC_METHODS = ("pearson", "plv")
 LAYOUTS = ("triangle", "full")
@@ -142,10 +144,7 @@ def _sliding(signals, windows, lag, keys, method, diagonal):
     span = max(256, 8 * max(windows))
     first = F.greatest(F.floor((F.col("t") - (max(windows) - 1)) / span), F.lit(0))
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("t") / span).cast("int")))
-    blocked = (
-        signals.select(*keys, "t", "region", "value", block.alias("block"))
-        .repartition(*keys, "block")
-    )
+    blocked = spread(signals.select(*keys, "t", "region", "value", block.alias("block")), *keys, "block")
     place = [*keys, "block"]
     pairs = unfold_pairs(sample_vectors(blocked, place), [*place, "t"], diagonal)
     per_pair = W.partitionBy(*place, "i", "j").orderBy("t")
@@ -188,10 +187,8 @@ def _stepped(signals, size, lag, keys, method, diagonal):
     """Windows that overlap little: each sample is copied to the few frames that hold it."""
     first = F.greatest(F.ceil((F.col("t") - (size - 1)) / lag), F.lit(0)).cast("int")
     last = F.floor(F.col("t") / lag).cast("int")
-    framed = (
-        signals.withColumn("frame", F.explode(F.when(first <= last, F.sequence(first, last))))
-        .repartition(*keys, "frame")
-    )
+    frames = F.explode(F.when(first <= last, F.sequence(first, last)))
+    framed = spread(signals.withColumn("frame", frames), *keys, "frame")
     place = [*keys, "frame"]
     pairs = unfold_pairs(sample_vectors(framed, place), place, diagonal)
     return (
@@ -240,14 +237,10 @@ def unpack_links(packed: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fcd(dfc: DataFrame, tile: int = 64) -> DataFrame:
     """Correlation between every two frames of a stream: rows (subject, window_size, f1, f2, r), f1 < f2.
 
-    Frames are packed and cut into tiles; each pair of tiles is one small group, so the
+    Frames are packed and hashed into tiles; each pair of tiles is one small group, so the
     quadratic output of a long stream is spread over (number of tiles)^2 / 2 groups.
     """
-    from undula.operators.pairing import tiled_correlation
-
-    keys = ["subject", "window_size"]
-    frames = pack_links(dfc, [*keys, "frame"])
-    return tiled_correlation(frames, keys, "frame", "links", "f1", "f2", "r", tile)
+    return correlate_items(dfc, ["subject", "window_size"], "frame", "pair_id", "fc", "f1", "f2", "r", tile)
 
 
 def is_symmetric(matrix: DataFrame, keys: Sequence[str], rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:

@@ -2,10 +2,10 @@
 
 A group may hold a third of all rows, so no group is ever sorted by one task.
 Values are first collapsed to (value, weight) with map-side combine, which removes
-ties. Each group is then cut into ``cells`` value intervals between its own minimum
-and maximum; rows are sorted inside (group, cell) only, and the totals of the cells
-before give the offset. Minimum, maximum and counts do not depend on the order in
-which rows arrive, so a recomputed task lands every row in the same cell.
+ties. Each value then falls into a cell by a fixed monotone rule (its logarithm, cut
+finely); rows are sorted inside (group, cell) only, and the totals of the cells before
+give the offset. The rule needs no pass over the data and does not depend on the order
+in which rows arrive, so a recomputed task lands every row in the same cell.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-CELLS = 512
+CELLS_PER_OCTAVE = 128
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -25,35 +25,40 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def running_totals(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weights: Sequence[str],
-    cells: int = CELLS,
-) -> DataFrame:
+def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``before_<w>`` (total of smaller values) and ``total_<w>`` per weight.
 
     ``df`` holds one row per (keys, value). Columns beside keys, value and weights pass through.
     """
-    celled = _with_cell(df, keys, value, cells)
     cell_key = [*keys, "_cell"]
-    inside = W.partitionBy(*cell_key).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    local = celled
-    for w in weights:
-        local = local.withColumn(f"_local_{w}", F.coalesce(F.sum(w).over(inside), F.lit(0)))
-    offsets = _cell_offsets(celled, keys, weights)
-    joined = _join(local, offsets, cell_key)
-    for w in weights:
-        joined = joined.withColumn(f"before_{w}", F.col(f"_offset_{w}") + F.col(f"_local_{w}"))
-    return joined.drop("_cell", *[f"_local_{w}" for w in weights], *[f"_offset_{w}" for w in weights])
+    celled = df.withColumn("_cell", cell_of(value))
+    totals = celled.groupBy(*cell_key).agg(*[F.sum(w).alias(f"_in_cell_{w}") for w in weights])
+    whole = W.partitionBy(*keys)
+    offsets = totals.select(
+        *cell_key,
+        *[_before(keys, "_cell", f"_in_cell_{w}").alias(f"_offset_{w}") for w in weights],
+        *[F.sum(f"_in_cell_{w}").over(whole).alias(f"total_{w}") for w in weights],
+    )
+    local = celled.select("*", *[_before(cell_key, value, w).alias(f"_local_{w}") for w in weights])
+    joined = local.join(offsets, cell_key)
+    before = [(F.col(f"_offset_{w}") + F.col(f"_local_{w}")).alias(f"before_{w}") for w in weights]
+    return joined.select("*", *before).drop(
+        "_cell", *[f"_local_{w}" for w in weights], *[f"_offset_{w}" for w in weights]
+    )
+
+
+def cell_of(value: str) -> Column:
+    """Monotone integer of a number: sign and finely cut logarithm of its size."""
+    v = F.col(value).cast("double")
+    size = F.floor((F.log2(F.abs(v)) + 1100) * CELLS_PER_OCTAVE).cast("int") + 1
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
 def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, cells: int = CELLS
+    df: DataFrame, keys: Sequence[str], value: str, out: str
 ) -> DataFrame:
     """Add the 1-based rank of ``value`` inside ``keys``, ties sharing their average rank."""
-    counts = running_totals(value_counts(df, keys, value), keys, value, ["cnt"], cells)
+    counts = running_totals(value_counts(df, keys, value), keys, value, ["cnt"])
     ranks = counts.select(
         *keys, value, (F.col("before_cnt") + (F.col("cnt") + 1) / 2.0).alias(out)
     )
@@ -71,65 +76,80 @@ def average_rank_bounded(keys: Sequence[str], value: str) -> Column:
 
 
 def order_statistics(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    positions: Column,
-    cells: int = CELLS,
+    df: DataFrame, keys: Sequence[str], value: str, positions: Column, many: bool = False
 ) -> DataFrame:
-    """Pick the values at given 0-based sorted positions of each group.
+    """Pick the values at given 0-based sorted positions of each group: rows (keys, n, tag, value).
 
-    ``positions`` is an ``array<struct<tag, pos>>`` expression that may use the group size
-    ``n``. Only cells that contain a wanted position are sorted.
+    ``positions`` is an ``array<struct<tag, pos>>`` expression over the keys and the group size
+    ``n``, evaluated once per group; its length is set by parameters, not by the data. Only cells
+    that contain a wanted position are sorted. ``many`` finds the cells of the positions by one
+    sort per group instead of a scan per position.
     """
-    celled = _with_cell(value_counts(df, keys, value), keys, value, cells)
-    cell_key = [*keys, "_cell"]
-    offsets = _cell_offsets(celled, keys, ["cnt"]).withColumn("n", F.col("total_cnt"))
-    start, stop = F.col("_offset_cnt"), F.col("_offset_cnt") + F.col("_in_cell_cnt")
-    wanted = (
-        offsets.withColumn("_positions", positions)
-        .withColumn(
-            "_hits",
-            F.filter("_positions", lambda p: (p["pos"] >= start) & (p["pos"] < stop)),
-        )
-        .where(F.size("_hits") > 0)
-        .select(*cell_key, "n", "_hits", "_offset_cnt")
+    keys, cell_key = list(keys), [*keys, "_cell"]
+    celled = value_counts(df, keys, value).withColumn("_cell", cell_of(value))
+    totals = celled.groupBy(*cell_key).agg(F.sum("cnt").alias("_in_cell"))
+    spans = totals.select("*", _before(keys, "_cell", "_in_cell").alias("_start"))
+    hits = (_cells_by_sort if many else _cells_by_scan)(spans, keys, positions)
+    hits = hits.groupBy(*keys, "n", "_cell", "_start").agg(F.collect_list("_w").alias("_hits"))
+    here = F.col("_start") + _before(cell_key, value, "cnt")
+    mine = F.filter(
+        "_hits", lambda p: (p["pos"] >= F.col("_here")) & (p["pos"] < F.col("_here") + F.col("cnt"))
     )
-    inside = W.partitionBy(*cell_key).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    before = F.col("_offset_cnt") + F.coalesce(F.sum("cnt").over(inside), F.lit(0))
     return (
-        _join(celled, wanted, cell_key)
-        .withColumn("_before", before)
-        .withColumn(
-            "_mine",
-            F.filter(
-                "_hits",
-                lambda p: (p["pos"] >= F.col("_before"))
-                & (p["pos"] < F.col("_before") + F.col("cnt")),
-            ),
-        )
-        .select(*keys, "n", F.explode("_mine").alias("_hit"), F.col(value).alias("_picked"))
-        .select(*keys, "n", F.col("_hit.tag").alias("tag"), F.col("_picked").alias(value))
+        celled.join(hits, cell_key)
+        .withColumn("_here", here)
+        .select(*keys, "n", value, F.explode(mine).alias("_hit"))
+        .select(*keys, "n", F.col("_hit.tag").alias("tag"), value)
     )
 
 
+def _cells_by_scan(spans: DataFrame, keys: Sequence[str], positions: Column) -> DataFrame:
+    """Wanted positions with their cells; a group has as many cells as its values span octaves, times a constant."""
+    groups = spans.groupBy(*keys).agg(
+        F.sum("_in_cell").alias("n"), F.collect_list(F.struct("_start", "_in_cell", "_cell")).alias("_spans")
+    )
+    wanted = groups.select(*keys, "n", "_spans", F.explode(positions).alias("_w"))
+    pos = F.col("_w.pos")
+    holder = F.filter("_spans", lambda c: (pos >= c["_start"]) & (pos < c["_start"] + c["_in_cell"]))
+    return wanted.select(*keys, "n", "_w", F.get(holder, F.lit(0)).alias("_c")).select(
+        *keys, "n", "_w", "_c._cell", "_c._start"
+    )
+
+
+def _cells_by_sort(spans: DataFrame, keys: Sequence[str], positions: Column) -> DataFrame:
+    groups = spans.groupBy(*keys).agg(F.sum("_in_cell").alias("n"))
+    wanted = groups.select(*keys, "n", F.explode(positions).alias("_w")).withColumn("_at", F.col("_w.pos"))
+    edges = spans.select(*keys, F.col("_start").alias("_at"), F.struct("_cell", "_start").alias("_c"))
+    upto = W.partitionBy(*keys).orderBy("_at", F.col("_w").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        edges.unionByName(wanted, allowMissingColumns=True)
+        .withColumn("_c", F.last("_c", ignorenulls=True).over(upto))
+        .where(F.col("_w").isNotNull())
+        .select(*keys, "n", "_w", "_c._cell", "_c._start")
+    )
+
+
+def _before(keys: Sequence[str], order: str, weight: str) -> Column:
+    rows_before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(weight).over(rows_before), F.lit(0))
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     levels: Sequence[float],
     out: str = "quantile",
-    cells: int = CELLS,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: one row per (keys, level_idx)."""
+
     def around(level: Column, idx: Column) -> Column:
         at = level * (F.col("n") - 1)
         low, frac = F.floor(at), at - F.floor(at)
         return F.array(*[_tagged(idx, w, pos) for w, pos in ((1 - frac, low), (frac, F.ceil(at)))])
 
     grid = F.array(*[F.lit(float(q)) for q in levels])
-    positions = F.flatten(F.transform(grid, around))
-    picked = order_statistics(df, keys, value, positions, cells)
+    picked = order_statistics(df, keys, value, F.flatten(F.transform(grid, around)))
     level_of = F.element_at(grid, F.col("level_idx") + 1)
     return (
         picked.groupBy(*keys, F.col("tag.level_idx").alias("level_idx"))
@@ -138,14 +158,14 @@ def quantiles(
     )
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, out: str, cells: int = CELLS) -> DataFrame:
+def medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact median per group."""
-    return quantiles(df, keys, value, [0.5], out, cells).select(*keys, out)
+    return quantiles(df, keys, value, [0.5], out).select(*keys, out)
 
 
-def row_numbers(df: DataFrame, keys: Sequence[str], value: str, out: str, cells: int = CELLS) -> DataFrame:
+def row_numbers(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Rows (keys, value, out, n) with ``out`` = 1.. in value order; ties get successive numbers."""
-    counts = running_totals(value_counts(df, keys, value), keys, value, ["cnt"], cells)
+    counts = running_totals(value_counts(df, keys, value), keys, value, ["cnt"])
     numbers = F.explode(F.sequence(F.col("before_cnt") + 1, F.col("before_cnt") + F.col("cnt")))
     return counts.select(*keys, value, numbers.alias(out), F.col("total_cnt").alias("n"))
 
@@ -155,24 +175,6 @@ def _tagged(idx: Column, weight: Column, pos: Column) -> Column:
     return F.struct(tag.alias("tag"), pos.cast("long").alias("pos"))
 
 
-def _with_cell(df: DataFrame, keys: Sequence[str], value: str, cells: int) -> DataFrame:
-    bounds = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), F.lit(cells - 1)).cast("int")
-    return _join(df, bounds, keys).withColumn("_cell", cell).drop("_lo", "_hi")
-
-
-def _cell_offsets(celled: DataFrame, keys: Sequence[str], weights: Sequence[str]) -> DataFrame:
-    totals = celled.groupBy(*keys, "_cell").agg(*[F.sum(w).alias(f"_in_cell_{w}") for w in weights])
-    up_to = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy(*keys)
-    cols = []
-    for w in weights:
-        cols.append(F.coalesce(F.sum(f"_in_cell_{w}").over(up_to), F.lit(0)).alias(f"_offset_{w}"))
-        cols.append(F.sum(f"_in_cell_{w}").over(whole).alias(f"total_{w}"))
-    return totals.select("*", *cols)
-
-
 def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join; with no keys ``right`` is a single-row aggregate."""
     return left.join(right, list(keys)) if keys else left.crossJoin(right)

@@ -50,52 +50,62 @@ def _products(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([(np.vstack(p) @ np.vstack(q).T).ravel() for p, q in zip(a, b)])
 
 
-def tiled_correlation(
-    items: DataFrame,
+def correlate_items(
+    rows: DataFrame,
     keys: Sequence[str],
     item: str,
-    vector: str,
+    axis: str,
+    value: str,
     left: str,
     right: str,
     out: str,
     tile: int = 64,
+    chunk: int | None = None,
 ) -> DataFrame:
-    """Pearson correlation of every two item vectors inside ``keys``; ``left`` < ``right``.
+    """Pearson correlation along ``axis`` of every two items inside ``keys``; ``left`` < ``right``.
 
-    Vectors are centred and scaled once per item, so a pair costs one dot product.
+    ``rows`` are long (keys, item, axis, value) and every item covers the same axis values. A
+    correlation is 0 where an item is constant. With ``chunk`` a long axis is cut into pieces of
+    that many steps, each a group of its own, and the partial products are summed.
     """
-    unit = items.select(*keys, item, unit_vector(vector).alias("_u"))
-    tiles = tile_pairs(unit, keys, item, ["_u"], tile)
-    products = tiles.withColumn("_r", _products(F.col("a._u"), F.col("b._u")))
-    width = F.size("b")
-    flat = products.select(
-        *keys, "same", F.col(f"a.{item}").alias("_a"), F.col(f"b.{item}").alias("_b"), width.alias("_w"), F.posexplode("_r").alias("_k", out)
+    keys = list(keys)
+    part = F.floor(F.col(axis) / chunk) if chunk else F.lit(0)
+    pieces = (
+        rows.select(*keys, item, axis, value, part.cast("int").alias("_part"))
+        .groupBy(*keys, item, "_part")
+        .agg(F.array_sort(F.collect_list(F.struct(axis, value))).alias("_p"))
     )
-    x = F.get("_a", F.floor(F.col("_k") / F.col("_w")).cast("int"))
-    y = F.get("_b", (F.col("_k") % F.col("_w")).cast("int"))
-    return (
-        flat.withColumn("_x", x)
-        .withColumn("_y", y)
-        .where(~F.col("same") | (F.col("_x") < F.col("_y")))
-        .select(*keys, F.least("_x", "_y").alias(left), F.greatest("_x", "_y").alias(right), out)
+    norm = F.stddev_samp(value) * F.sqrt(F.count(value) - 1)
+    scale = rows.groupBy(*keys, item).agg(F.avg(value).alias("_mean"), norm.alias("_norm"))
+    unit = pieces.join(scale, [*keys, item]).select(
+        *keys,
+        item,
+        "_part",
+        F.transform(
+            f"_p.{value}",
+            lambda v: F.when(F.col("_norm") > 0, F.try_divide(v - F.col("_mean"), F.col("_norm"))).otherwise(0.0),
+        ).alias("_u"),
     )
-
-
-def unit_vector(vector: str) -> Column:
-    """Centred vector of length 1, all zeros when the input is constant."""
-    v, zero = F.col(vector), F.lit(0.0)
-
-    def total(arr):
-        return F.aggregate(arr, zero, lambda acc, x: acc + x)
-
-    def scaled(c):
-        norm = F.sqrt(total(F.transform(c, lambda x: x * x)))
-        return F.transform(F.arrays_zip(c.alias("c"), F.array_repeat(norm, F.size(c)).alias("n")), lambda p: p["c"] / p["n"])
-
-    mean = F.array_repeat(total(v) / F.size(v), F.size(v))
-    centred = F.zip_with(v, mean, lambda x, m: x - m)
-    flat = F.array_min(v) == F.array_max(v)
-    return F.when(flat, F.transform(v, lambda x: zero)).otherwise(scaled(centred))
+    tiles = tile_pairs(unit, [*keys, "_part"], item, ["_u"], tile)
+    products = tiles.select(
+        *keys,
+        "same",
+        F.col(f"a.{item}").alias("_a"),
+        F.col(f"b.{item}").alias("_b"),
+        _products(F.col("a._u"), F.col("b._u")).alias("_r"),
+    )
+    width = F.size("_b")
+    cells = products.select(*keys, "same", "_a", "_b", F.posexplode("_r").alias("_k", out)).select(
+        *keys,
+        "same",
+        F.get("_a", F.floor(F.col("_k") / width).cast("int")).alias("_x"),
+        F.get("_b", (F.col("_k") % width).cast("int")).alias("_y"),
+        out,
+    )
+    pairs = cells.where(~F.col("same") | (F.col("_x") < F.col("_y"))).select(
+        *keys, F.least("_x", "_y").alias(left), F.greatest("_x", "_y").alias(right), out
+    )
+    return pairs.groupBy(*keys, left, right).agg(F.sum(out).alias(out)) if chunk else pairs
 
 
 @F.pandas_udf("array<long>")

@@ -177,7 +177,7 @@ def bootstrap_ci(
     without generating n * replicas rows; the data are ordered once.
     """
     draws = resample_positions(F.xxhash64(F.lit(seed), *keys), F.col("n"), levels, replicas)
-    picked = order_statistics(df, keys, value, draws)
+    picked = order_statistics(df, keys, value, draws, many=True)
     per_replica = picked.groupBy(*keys, F.col("tag.level_idx").alias("level_idx"), F.col("tag.replica").alias("replica")).agg(
         F.sum(F.col("tag.weight") * F.col(value)).alias("_q")
     )

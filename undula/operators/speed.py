@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from undula.functions.partitioning import spread
 from undula.functions.similarity import check_method, clip, similarity
 from undula.operators.order_stats import average_rank_bounded, medians
 
@@ -190,7 +191,7 @@ def _speeds(dfc, steps, guard, method, keys, matrix, clipped):
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("frame") / span).cast("int")))
 
     frames = _packed_frames(dfc, stream, method, matrix)
-    blocked = frames.select("*", block.alias("block")).repartition(*stream, "block")
+    blocked = spread(frames.select("*", block.alias("block")), *stream, "block")
     ahead = W.partitionBy(*stream, "block").orderBy("frame")
     partners = F.array(
         *[

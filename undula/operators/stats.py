@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from undula.functions.similarity import safe_corr
 from undula.functions.tails import chi2_upper, normal_two_sided, t_two_sided
-from undula.operators.order_stats import average_rank, medians, running_totals, value_counts
-from undula.operators.pairing import slope_histogram, slopes_between, tile_pairs, tiled_correlation
+from undula.operators.order_stats import average_rank, average_rank_bounded, medians, running_totals, value_counts
+from undula.operators.pairing import correlate_items, slope_histogram, slopes_between, tile_pairs
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, keys: Sequence[str] = (), p_values: bool = True) -> DataFrame:
@@ -241,10 +241,8 @@ def matrix_correlation(matrices: DataFrame, graph: str, cell: Sequence[str], val
     """Correlation of every two flattened matrices: rows (g1, g2, r). All share the same cells."""
     if method not in ("pearson", "spearman"):
         raise ValueError("method must be 'pearson' or 'spearman'")
-    packed = F.array_sort(F.collect_list(F.struct(*cell, F.col(value).alias("_v"))))
     if method == "spearman":
-        ties = F.count(F.lit(1)).over(W.partitionBy(graph, value))
-        rank = F.rank().over(W.partitionBy(graph).orderBy(value)) + (ties - 1) / 2.0
-        matrices = matrices.withColumn(value, rank)
-    vectors = matrices.groupBy(graph).agg(packed.alias("_p")).select(graph, F.col("_p._v").alias("_vec"))
-    return tiled_correlation(vectors, [], graph, "_vec", "g1", "g2", "r")
+        # one matrix is one group, its size the number of cells
+        matrices = matrices.withColumn(value, average_rank_bounded([graph], value))
+    cells = matrices.select(graph, F.struct(*cell).alias("_cell"), value)
+    return correlate_items(cells, [], graph, "_cell", value, "g1", "g2", "r")

@@ -9,6 +9,8 @@ from undula.plans.catalog import ORACLES, QUERIES
 MODULES = (
     "cohort_queries",
     "network_queries",
+    "distribution_queries",
+    "statistics_queries",
 )
 
 
