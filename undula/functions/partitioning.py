@@ -1,8 +1,10 @@
-"""Explicit partitioning for steps whose work grows faster than their input."""
+"""Explicit partitioning, and cutting of long lineages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(df: DataFrame, *cols: str) -> DataFrame:
@@ -14,3 +16,20 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the checkpoint folder that executors share and read on from there.
+
+    Used between the rounds of an iteration and where a small result feeds many branches.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder named in ``spark.checkpoint.dir``; a local one only where none is set."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))

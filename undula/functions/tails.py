@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def normal_two_sided(z: Column) -> Column:
@@ -20,17 +20,17 @@ def t_two_sided(t: Column, df: Column) -> Column:
     return _student(t.cast("double"), df.cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: min(1.0, math.erfc(v / math.sqrt(2))), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([_missing_or(gamma_upper, k / 2, v / 2) for v, k in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     tails = [_missing_or(lambda v, k: beta_lower(k / 2, 0.5, k / (k + v * v)), v, k) for v, k in zip(t, df)]
     return pd.Series(tails, dtype="float64")

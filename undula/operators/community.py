@@ -7,11 +7,11 @@ from it; a large community is therefore never a shuffle key.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from undula.functions.partitioning import cut_lineage
 from undula.functions.similarity import safe_corr
 from undula.operators.connectivity import unfold_pairs
 from undula.operators.order_stats import average_rank_bounded, medians
@@ -74,7 +74,7 @@ def _strengths(sided: DataFrame) -> DataFrame:
 def _settle(sided: DataFrame, labels: DataFrame, seed: int, max_rounds: int) -> DataFrame:
     """Local moves until no node wants to move; the lineage is cut every round."""
     key = ["graph_id", "gamma_idx", "run"]
-    labels = _cut(labels)
+    labels = cut_lineage(labels)
     for step in range(max_rounds):
         around = sided.select("graph_id", "node", F.col("other").alias("_o"), "wp", "wn").join(
             labels.select(*key, F.col("node").alias("_o"), "community"), ["graph_id", "_o"]
@@ -95,7 +95,7 @@ def _settle(sided: DataFrame, labels: DataFrame, seed: int, max_rounds: int) ->
         )
         coin = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *key, "node"), F.lit(2)) == 0
         wants = F.col("best.gain") > F.col("now") + 1e-12
-        labels = _cut(
+        labels = cut_lineage(
             labels.drop("wants").join(best, [*key, "node"])
             .withColumn("community", F.when(wants & coin, F.col("best.option")).otherwise(F.col("community")))
             .withColumn("wants", wants)
@@ -134,7 +134,7 @@ def _settle_merged(sided: DataFrame, first: DataFrame, seed: int, max_rounds: in
         F.sum("kp").alias("kp"), F.sum("kn").alias("kn")
     )
     moved = _settle(
-        _cut(between),
+        cut_lineage(between),
         units.select(
             F.struct(*key).alias("graph_id"), "gamma_idx", "gamma", "run", "node", "kp", "kn", "sp", "sn", F.col("node").alias("community")
         ),
@@ -149,20 +149,6 @@ def _settle_merged(sided: DataFrame, first: DataFrame, seed: int, max_rounds: in
     )
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder, which executors share."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; a local one only where none is set."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def modularity(edges: DataFrame, partitions: DataFrame, gammas: Sequence[float]) -> DataFrame:
     """Signed modularity Q of given partitions: rows (graph_id, gamma_idx, run, q)."""
     sided = both_directions(edges)
@@ -234,7 +220,7 @@ def allegiance_communities(
     weights = contingency(detect_communities(edges, gammas, runs, seed), diagonal=False)
     if twice:
         weights = contingency(detect_communities(weights, gammas, runs, seed + 10), diagonal=False)
-    weights = _cut(weights)
+    weights = cut_lineage(weights)
     final = detect_communities(weights, [final_gamma], 1, seed + 20)
     return with_positions(final.select("graph_id", "node", "community")), weights
 
@@ -277,7 +263,7 @@ def temporal_mean(weights: DataFrame, keys: Sequence[str] = ("subject",)) -> Dat
 def temporal_consensus(mean_weights: DataFrame, runs: int = 100, gamma: float = 1.0, seed: int = 0) -> DataFrame:
     """Partition of each subject's mean contingency: many runs, their agreement share, its communities."""
     edges = mean_weights.select(F.col("subject").alias("graph_id"), "i", "j", "w")
-    shared = _cut(contingency(detect_communities(edges, [gamma], runs, seed), diagonal=False))
+    shared = cut_lineage(contingency(detect_communities(edges, [gamma], runs, seed), diagonal=False))
     final = detect_communities(shared, [gamma], 1, seed + 1)
     return final.select(F.col("graph_id").alias("subject"), "node", "community")
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str], tile: int) -> DataFrame:
@@ -44,7 +44,7 @@ def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequen
     return left.join(right, [*keys, "_ta", "_tb"]).select(*keys, (F.col("_ta") == F.col("_tb")).alias("same"), "a", "b")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _products(a: pd.Series, b: pd.Series) -> pd.Series:
     """Row-major products of every vector of ``a`` with every vector of ``b``."""
     return pd.Series([(np.vstack(p) @ np.vstack(q).T).ravel() for p, q in zip(a, b)])
@@ -108,7 +108,7 @@ def correlate_items(
     return pairs.groupBy(*keys, left, right).agg(F.sum(out).alias(out)) if chunk else pairs
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def slope_histogram(
     same: pd.Series,
     ax: pd.Series,
@@ -129,7 +129,7 @@ def slope_histogram(
     return pd.Series(out)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def slopes_between(
     same: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series, low: pd.Series, high: pd.Series
 ) -> pd.Series:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from undula.functions.partitioning import cut_lineage
 from undula.functions.similarity import safe_corr
 from undula.functions.tails import chi2_upper, normal_two_sided, t_two_sided
 from undula.operators.order_stats import average_rank, average_rank_bounded, medians, running_totals, value_counts
@@ -107,7 +108,8 @@ def stars(p: str | Column) -> Column:
 def spearman(df: DataFrame, x: str, y: str, keys: Sequence[str] = (), p_values: bool = True) -> DataFrame:
     """Rank correlation per ``keys`` over complete rows; NULL for fewer than 3 rows."""
     keys = list(keys)
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    # one row per subject here, while its history may reach back to the signals
+    whole = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y))
     ranked = average_rank(average_rank(whole, keys, x, "_rx"), keys, y, "_ry")
     n = F.count(F.lit(1))
     out = ranked.groupBy(*keys).agg(n.alias("n"), F.when(n > 2, safe_corr("_rx", "_ry")).alias("rho"))
@@ -135,9 +137,8 @@ def theil_sen(
     a last round reads the exact slopes in that sliver. ``item`` identifies a row inside its group.
     """
     keys = list(keys)
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, item, F.col(x).alias("x"), F.col(y).alias("y")
-    )
+    complete = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    whole = cut_lineage(complete.select(*keys, item, F.col(x).alias("x"), F.col(y).alias("y")))
     tiles = tile_pairs(whole, keys, item, ["x", "y"], tile)
     sides = ["same", F.col("a.x"), F.col("a.y"), F.col("b.x"), F.col("b.y"), "low", "high"]
 
