@@ -11,6 +11,8 @@ MODULES = (
     "network_queries",
     "distribution_queries",
     "statistics_queries",
+    "motif_queries",
+    "state_queries",
 )
 
 
