@@ -12,6 +12,7 @@ MODULES = (
     "distribution_queries",
     "statistics_queries",
     "motif_queries",
+    "community_queries",
     "state_queries",
 )
 
