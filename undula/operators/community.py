@@ -32,7 +32,7 @@ def detect_communities(
     round every node weighs the gain of joining each neighbouring community, and a hashed half of
     the nodes takes its best move. Then whole communities move the same way. Runs differ by seed.
     """
-    sided = both_directions(edges)
+    sided = cut_lineage(both_directions(edges))
     strength = _strengths(sided)
     trials = F.explode(
         F.array(
@@ -72,47 +72,52 @@ def _strengths(sided: DataFrame) -> DataFrame:
 
 
 def _settle(sided: DataFrame, labels: DataFrame, seed: int, max_rounds: int) -> DataFrame:
-    """Local moves until no node wants to move; the lineage is cut every round."""
-    key = ["graph_id", "gamma_idx", "run"]
+    """Local moves until no node wants to move; the lineage is cut every round.
+
+    A round is one join: a node's neighbours bring their community with its total strength, the
+    weights are summed per community, and the options of a node (at most its neighbours) are
+    compared in one row.
+    """
+    key = [*PARTITION]
+    own = ["community", "gamma", "kp", "kn", "sp", "sn"]
     labels = cut_lineage(labels)
     for step in range(max_rounds):
-        around = sided.select("graph_id", "node", F.col("other").alias("_o"), "wp", "wn").join(
-            labels.select(*key, F.col("node").alias("_o"), "community"), ["graph_id", "_o"]
-        )
-        stay = labels.select(*key, "node", "community", F.lit(0.0).alias("wp"), F.lit(0.0).alias("wn"))
+        crowd = W.partitionBy(*key, "community")
+        sized = labels.withColumn("cp", F.sum("kp").over(crowd)).withColumn("cn", F.sum("kn").over(crowd))
+        seen = sized.select(*key, F.col("node").alias("other"), F.col("community").alias("option"), "cp", "cn")
+        near = sided.join(seen, ["graph_id", "other"]).drop("other")
+        stay = sized.withColumn("option", F.col("community")).withColumn("wp", F.lit(0.0)).withColumn("wn", F.lit(0.0))
         options = (
-            around.select(*key, "node", "community", "wp", "wn")
-            .unionByName(stay)
-            .groupBy(*key, "node", "community")
-            .agg(F.sum("wp").alias("ip"), F.sum("wn").alias("in_"))
-            .withColumnRenamed("community", "option")
-        )
-        sizes = labels.groupBy(*key, F.col("community").alias("option")).agg(F.sum("kp").alias("cp"), F.sum("kn").alias("cn"))
-        scored = options.join(sizes, [*key, "option"]).join(labels, [*key, "node"]).withColumn("gain", _gain())
-        best = scored.groupBy(*key, "node").agg(
-            F.max(F.struct("gain", F.xxhash64(F.lit(seed), "run", "option").alias("tie"), "option")).alias("best"),
-            F.max(F.when(F.col("option") == F.col("community"), F.col("gain"))).alias("now"),
+            near.unionByName(stay, allowMissingColumns=True)
+            .groupBy(*key, "node", "option")
+            .agg(F.sum("wp").alias("ip"), F.sum("wn").alias("in_"), F.max("cp").alias("cp"), F.max("cn").alias("cn"), *[F.max(c).alias(c) for c in own])
         )
+        choice = F.struct("option", "ip", "in_", "cp", "cn", F.xxhash64(F.lit(seed), "run", "option").alias("tie"))
+        nodes = options.groupBy(*key, "node").agg(F.collect_list(choice).alias("_o"), *[F.max(c).alias(c) for c in own])
+        ranked = F.transform("_o", lambda o: F.struct(_gain(o).alias("gain"), o["tie"].alias("tie"), o["option"].alias("option")))
+        best = F.array_max("_ranked")
+        now = F.array_max(F.transform(F.filter("_ranked", lambda o: o["option"] == F.col("community")), lambda o: o["gain"]))
         coin = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *key, "node"), F.lit(2)) == 0
-        wants = F.col("best.gain") > F.col("now") + 1e-12
+        moved = F.when(F.col("wants") & coin, F.col("_best.option")).otherwise(F.col("community"))
         labels = cut_lineage(
-            labels.drop("wants").join(best, [*key, "node"])
-            .withColumn("community", F.when(wants & coin, F.col("best.option")).otherwise(F.col("community")))
-            .withColumn("wants", wants)
-            .drop("best", "now")
+            nodes.withColumn("_ranked", ranked)
+            .withColumn("_best", best)
+            .withColumn("wants", F.col("_best.gain") > now + 1e-12)
+            .select(*key, "node", moved.alias("community"), *own[1:], "wants")
         )
         if labels.where("wants").isEmpty():
             break
+        labels = labels.drop("wants")
     return labels.drop("wants")
 
 
-def _gain() -> Column:
-    """Part of the signed modularity that depends on the community a node joins."""
-    own = F.col("option") == F.col("community")
-    cp = F.col("cp") - F.when(own, F.col("kp")).otherwise(0.0)
-    cn = F.col("cn") - F.when(own, F.col("kn")).otherwise(0.0)
-    plus = F.col("ip") - F.col("gamma") * F.coalesce(F.try_divide(F.col("kp") * cp, F.col("sp")), F.lit(0.0))
-    minus = F.col("in_") - F.col("gamma") * F.coalesce(F.try_divide(F.col("kn") * cn, F.col("sn")), F.lit(0.0))
+def _gain(o: Column) -> Column:
+    """Part of the signed modularity that depends on the community ``o`` a node joins."""
+    mine = o["option"] == F.col("community")
+    cp = o["cp"] - F.when(mine, F.col("kp")).otherwise(0.0)
+    cn = o["cn"] - F.when(mine, F.col("kn")).otherwise(0.0)
+    plus = o["ip"] - F.col("gamma") * F.coalesce(F.try_divide(F.col("kp") * cp, F.col("sp")), F.lit(0.0))
+    minus = o["in_"] - F.col("gamma") * F.coalesce(F.try_divide(F.col("kn") * cn, F.col("sn")), F.lit(0.0))
     return F.coalesce(F.try_divide(plus, F.col("sp")), F.lit(0.0)) - F.coalesce(
         F.try_divide(minus, F.col("sp") + F.col("sn")), F.lit(0.0)
     )
@@ -209,7 +214,13 @@ def gamma_range(low: float = 0.8, high: float = 1.3, count: int = 10) -> list[fl
 
 
 def allegiance_communities(
-    edges: DataFrame, runs: int = 100, gamma_count: int = 10, final_gamma: float = 1.2, seed: int = 0, twice: bool = True
+    edges: DataFrame,
+    runs: int = 100,
+    gamma_count: int = 10,
+    final_gamma: float = 1.2,
+    seed: int = 0,
+    twice: bool = True,
+    max_rounds: int = 12,
 ) -> tuple[DataFrame, DataFrame]:
     """Consensus partition and contingency of every graph.
 
@@ -217,11 +228,11 @@ def allegiance_communities(
     gamma. Returns (graph_id, node, community, pos) and (graph_id, i, j, w).
     """
     gammas = gamma_range(count=gamma_count)
-    weights = contingency(detect_communities(edges, gammas, runs, seed), diagonal=False)
+    weights = contingency(detect_communities(edges, gammas, runs, seed, max_rounds), diagonal=False)
     if twice:
-        weights = contingency(detect_communities(weights, gammas, runs, seed + 10), diagonal=False)
+        weights = contingency(detect_communities(weights, gammas, runs, seed + 10, max_rounds), diagonal=False)
     weights = cut_lineage(weights)
-    final = detect_communities(weights, [final_gamma], 1, seed + 20)
+    final = detect_communities(weights, [final_gamma], 1, seed + 20, max_rounds)
     return with_positions(final.select("graph_id", "node", "community")), weights
 
 

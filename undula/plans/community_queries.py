@@ -45,7 +45,7 @@ def detect_communities(spark, sf_dir):
 
 @query("g5_allegiance_communities")
 def allegiance_communities(spark, sf_dir):
-    found, _ = com.allegiance_communities(edges(spark, sf_dir), runs=2, gamma_count=2, seed=7, twice=False)
+    found, _ = com.allegiance_communities(edges(spark, sf_dir), runs=2, gamma_count=2, seed=7, twice=False, max_rounds=5)
     return found
 
 
@@ -55,7 +55,7 @@ def averaged_allegiance(spark, sf_dir):
     graph = F.concat_ws("_", "subject", "frame")
     stack = dfc.select(graph.alias("graph_id"), F.col("subject").alias("stack_id")).distinct()
     graphs = dfc.select(graph.alias("graph_id"), "i", "j", F.col("fc").alias("w"))
-    labels, _ = com.averaged_allegiance(graphs, stack, runs=2, gamma_count=1, seed=7, twice=False)
+    labels, _ = com.averaged_allegiance(graphs, stack, runs=2, gamma_count=1, seed=7, twice=False, max_rounds=5)
     return labels
 
 
@@ -66,7 +66,7 @@ def sort_by_modularity(spark, sf_dir):
 
 @query("g8_frame_allegiance")
 def frame_allegiance(spark, sf_dir):
-    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36, lag=36), runs=2, gamma_count=1, seed=7, twice=False)
+    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36, lag=36), runs=2, gamma_count=1, seed=7, twice=False, max_rounds=5)
     return found.select("graph_id.subject", "graph_id.window_size", "graph_id.frame", "node", "community", "pos")
 
 
