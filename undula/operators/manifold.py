@@ -18,8 +18,12 @@ from undula.operators.pairing import tile_pairs
 from undula.operators.order_stats import quantiles
 
 EPS = float(np.finfo(float).eps)
-CLOSE = T.ArrayType(
-    T.StructType([T.StructField("t", T.LongType()), T.StructField("other", T.LongType()), T.StructField("y", T.DoubleType())])
+CLOSE = T.StructType(
+    [
+        T.StructField("t", T.ArrayType(T.LongType())),
+        T.StructField("other", T.ArrayType(T.LongType())),
+        T.StructField("y", T.ArrayType(T.DoubleType())),
+    ]
 )
 
 
@@ -42,31 +46,32 @@ def closeness(signals: DataFrame, quantile: float | None = None, tile: int = 102
     # positions at or above floor(q * (n - 2)) among the n - 1 other samples
     keep = F.col("n") - 1 if quantile is None else F.col("n") - 1 - F.floor(F.lit(quantile) * (F.col("n") - 2))
     found = _closest("same", F.col("a.t"), F.col("a.x"), F.col("b.t"), F.col("b.x"), keep)
-    return tiles.select("subject", "n", F.explode(found).alias("c")).select("subject", "c.t", "c.other", "c.y", "n")
+    near = F.explode(F.arrays_zip("c.t", "c.other", "c.y"))
+    return tiles.select("subject", "n", found.alias("c")).select("subject", "n", near.alias("c")).select(
+        "subject", "c.t", "c.other", "c.y", "n"
+    )
 
 
 @F.pandas_udf(CLOSE)
-def _closest(same: pd.Series, at: pd.Series, ax: pd.Series, bt: pd.Series, bx: pd.Series, keep: pd.Series) -> pd.Series:
-    out = []
+def _closest(same: pd.Series, at: pd.Series, ax: pd.Series, bt: pd.Series, bx: pd.Series, keep: pd.Series) -> pd.DataFrame:
+    found = []
     for own, t1, x1, t2, x2, k in zip(same, at, ax, bt, bx, keep):
         a, b = np.vstack(x1), np.vstack(x2)
         y = np.stack([-np.log(np.sqrt(((b - row) ** 2).sum(axis=1)) + EPS) for row in a])
         if own:
             np.fill_diagonal(y, -np.inf)
-        rows = _top(y, t1, t2, k)
-        out.append(rows if own else rows + _top(y.T, t2, t1, k))
-    return pd.Series(out)
+        sides = [_top(y, t1, t2, k)] if own else [_top(y, t1, t2, k), _top(y.T, t2, t1, k)]
+        found.append([np.concatenate(part) for part in zip(*sides)])
+    return pd.DataFrame(found, columns=["t", "other", "y"])
 
 
-def _top(y: np.ndarray, t: np.ndarray, other: np.ndarray, k: int) -> list[dict]:
+def _top(y: np.ndarray, t: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest values of each row with the labels of their row and column."""
     k = int(min(k, y.shape[1]))
     cols = np.argpartition(-y, k - 1, axis=1)[:, :k]
-    return [
-        {"t": int(t[r]), "other": int(other[c]), "y": float(y[r, c])}
-        for r in range(y.shape[0])
-        for c in cols[r]
-        if y[r, c] > -math.inf
-    ]
+    best = np.take_along_axis(y, cols, axis=1)
+    real = best > -math.inf
+    return np.repeat(t, k).reshape(best.shape)[real], other[cols][real], best[real]
 
 
 def exceedances(signals: DataFrame, quantile: float = 0.98, tile: int = 1024) -> DataFrame:

@@ -19,19 +19,27 @@ CELLS_PER_OCTAVE = 128
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """One row per (keys, value) with its multiplicity ``cnt``; missing values dropped."""
-    clean = df.where(F.col(value).isNotNull())
+    clean = _whole_keys(df, [*keys, value])
     if dict(df.dtypes)[value] in ("double", "float"):
         clean = clean.where(~F.isnan(value))
     return clean.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def _whole_keys(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a missing key. The joins below drop the others anyhow; said here, both branches
+    of a join keep the same plan and share one shuffle."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+    return df
+
+
 def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``before_<w>`` (total of smaller values) and ``total_<w>`` per weight.
 
     ``df`` holds one row per (keys, value). Columns beside keys, value and weights pass through.
     """
     cell_key = [*keys, "_cell"]
-    celled = df.withColumn("_cell", cell_of(value))
+    celled = _whole_keys(df, keys).withColumn("_cell", cell_of(value))
     totals = celled.groupBy(*cell_key).agg(*[F.sum(w).alias(f"_in_cell_{w}") for w in weights])
     whole = W.partitionBy(*keys)
     offsets = totals.select(
@@ -51,7 +59,7 @@ def cell_of(value: str) -> Column:
     """Monotone integer of a number: sign and finely cut logarithm of its size."""
     v = F.col(value).cast("double")
     size = F.floor((F.log2(F.abs(v)) + 1100) * CELLS_PER_OCTAVE).cast("int") + 1
-    return F.when(v > 0, size).when(v < 0, -size).otherwise(0)
+    return F.coalesce(F.when(v > 0, size).when(v < 0, -size).otherwise(0), F.lit(0))
 
 
 def average_rank(

@@ -18,6 +18,7 @@ from undula.operators.order_stats import average_rank_bounded, medians
 
 COUNTS = ("unified", "classic")
 MATRICES = ("triangle", "full")
+MAX_STEPS_PER_PASS = 24
 
 
 def dfc_speed(
@@ -42,7 +43,7 @@ def dfc_speed(
     if check_frames:
         require_frames(dfc, step, keys)
     guard = step + 1 if count == "unified" else step
-    speeds = _speeds(dfc, [(0, step)], guard, method, keys, matrix, clipped=count == "unified")
+    speeds = _speeds(dfc, [(None, 0, step, guard)], method, keys, matrix, clipped=count == "unified")
     return speeds.drop("tau")
 
 
@@ -67,15 +68,11 @@ def split_speed(
     ``time_offset`` 'window' uses the window size. Rows (keys, window_size, tau, frame1, frame2, speed).
     """
     check_method(method)
-    parts = []
+    plan = {}
     for size in windows:
         base = size + (size if time_offset == "window" else int(time_offset))
-        steps = [(tau, base + tau) for tau in taus]
-        for _, step in steps:
-            _check_step(step)
-        guard = base + max(taus) + 1
-        parts.append(_speeds(_one_window(dfc, size), steps, guard, method, keys, "triangle", True))
-    return _union(parts)
+        plan[size] = [(size, tau, base + tau, base + max(taus) + 1) for tau in taus]
+    return _per_window(dfc, plan, method, keys, clipped=True)
 
 
 def partner_frames(dfc: DataFrame, windows, taus, time_offset="window", keys=("subject",)) -> DataFrame:
@@ -122,14 +119,10 @@ def oversampled_speed(
 
     Every tau keeps the first n - window - tau speeds, so all taus cover the same frames.
     """
-    taus = list(range(0 if min_tau_zero else -tau, tau + 1))
-    parts = []
-    for size in windows:
-        steps = [(t, size + t) for t in taus]
-        for _, step in steps:
-            _check_step(step)
-        parts.append(_speeds(_one_window(dfc, size), steps, size + tau, method, keys, "triangle", False))
-    return _union(parts)
+    check_method(method)
+    taus = range(0 if min_tau_zero else -tau, tau + 1)
+    plan = {size: [(size, t, size + t, size + tau) for t in taus] for size in windows}
+    return _per_window(dfc, plan, method, keys, clipped=False)
 
 
 def oversampled_medians(dfc, windows, tau=3, min_tau_zero=False, method="pearson", keys=("subject",)) -> DataFrame:
@@ -140,7 +133,10 @@ def oversampled_medians(dfc, windows, tau=3, min_tau_zero=False, method="pearson
 
 def batch_speed(dfc: DataFrame, windows: Sequence[int], lag: int, method: str = "pearson") -> DataFrame:
     """Unified speed of several stored streams, each at step max(1, window // lag)."""
-    return _union([dfc_speed(_one_window(dfc, size), max(1, size // lag), method) for size in windows])
+    check_method(method)
+    steps = {size: max(1, size // lag) for size in windows}
+    plan = {size: [(size, 0, step, step + 1)] for size, step in steps.items()}
+    return _per_window(dfc, plan, method, ("subject",), clipped=True).drop("tau")
 
 
 def median_speed(speeds: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -182,10 +178,28 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def _speeds(dfc, steps, guard, method, keys, matrix, clipped):
-    """Similarity of frame f with f + step for all (tau, step), where frame f + guard exists."""
+def _per_window(dfc, plan, method, keys, clipped):
+    """Speeds with steps that depend on the window size.
+
+    Few steps are looked up in one pass over all windows. Many are taken window by window, so that
+    a stored stream is read by partition and no frame carries partners of other windows.
+    """
+    steps = [step for steps in plan.values() for step in steps]
+    for _, _, step, _ in steps:
+        _check_step(step)
+    if len(steps) <= MAX_STEPS_PER_PASS:
+        listed = dfc.where(F.col("window_size").isin(list(plan)))
+        return _speeds(listed, steps, method, keys, "triangle", clipped)
+    return _union([_speeds(_one_window(dfc, size), plan[size], method, keys, "triangle", clipped) for size in plan])
+
+
+def _speeds(dfc, steps, method, keys, matrix, clipped):
+    """Similarity of frame f with f + step, where frame f + guard exists.
+
+    ``steps`` holds (window size or None for all, tau, step, guard).
+    """
     stream = [*keys, "window_size"]
-    reach = max([guard, *[s for _, s in steps]])
+    reach = max(max(step, guard) for _, _, step, guard in steps)
     span = max(256, 8 * reach)
     first = F.greatest(F.floor((F.col("frame") - reach) / span), F.lit(0))
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("frame") / span).cast("int")))
@@ -195,16 +209,23 @@ def _speeds(dfc, steps, guard, method, keys, matrix, clipped):
     ahead = W.partitionBy(*stream, "block").orderBy("frame")
     partners = F.array(
         *[
-            F.struct(F.lit(tau).alias("tau"), F.lit(step).alias("step"), F.lead("links", step).over(ahead).alias("links2"))
-            for tau, step in steps
+            F.struct(
+                F.lit(size).cast("int").alias("size"),
+                F.lit(tau).alias("tau"),
+                F.lit(step).alias("step"),
+                F.lead("frame", guard).over(ahead).alias("guard"),
+                F.lead("links", step).over(ahead).alias("links2"),
+            )
+            for size, tau, step, guard in steps
         ]
     )
     own = F.floor(F.col("frame") / span) == F.col("block")
+    mine = F.col("p.size").isNull() | (F.col("p.size") == F.col("window_size"))
     paired = (
-        blocked.withColumn("_guard", F.lead("frame", guard).over(ahead))
-        .withColumn("_partners", partners)
-        .where(own & F.col("_guard").isNotNull())
+        blocked.withColumn("_partners", partners)
+        .where(own)
         .select(*stream, "block", "frame", "links", F.explode("_partners").alias("p"))
+        .where(mine & F.col("p.guard").isNotNull())
         .select(
             *stream,
             "block",
