@@ -146,17 +146,24 @@ def _sliding(signals, windows, lag, keys, method, diagonal):
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("t") / span).cast("int")))
     blocked = spread(signals.select(*keys, "t", "region", "value", block.alias("block")), *keys, "block")
     place = [*keys, "block"]
-    pairs = unfold_pairs(sample_vectors(blocked, place), [*place, "t"], diagonal)
+    scaled = blocked.select(*place, "t", "region", _with_spread(place, windows, method).alias("value"))
+    pairs = unfold_pairs(sample_vectors(scaled, place), [*place, "t"], diagonal)
+    pairs = pairs.select(
+        *place, "t", "i", "j", F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.s").alias("sx"), F.col("y.s").alias("sy")
+    )
     per_pair = W.partitionBy(*place, "i", "j").orderBy("t")
     scores = []
-    for size in windows:
+    for k, size in enumerate(windows):
         frame = per_pair.rowsBetween(0, size - 1)
-        complete = F.count(F.lit(1)).over(frame) == size
+        spread_x, spread_y = F.get("sx", F.lit(k)), F.get("sy", F.lit(k))
+        if method == "pearson":
+            covariance = F.covar_samp("x", "y").over(frame)
+            score = F.coalesce(F.try_divide(covariance, spread_x * spread_y), F.lit(0.0))
+        else:
+            agree = F.when((F.col("x") < 0) == (F.col("y") < 0), F.lit(1.0)).otherwise(F.lit(-1.0))
+            score = F.abs(F.avg(agree).over(frame))
         scores.append(
-            F.struct(
-                F.lit(size).alias("window_size"),
-                F.when(complete, _over(method, frame)).alias("fc"),
-            )
+            F.struct(F.lit(size).alias("window_size"), F.when(spread_x.isNotNull(), score).alias("fc"))
         )
     starts_here = (F.floor(F.col("t") / span) == F.col("block")) & (F.col("t") % lag == 0)
     return (
@@ -175,12 +182,19 @@ def _sliding(signals, windows, lag, keys, method, diagonal):
     )
 
 
-def _over(method, frame):
-    if method == "pearson":
-        spread = F.stddev_samp("x").over(frame) * F.stddev_samp("y").over(frame)
-        return F.coalesce(F.try_divide(F.covar_samp("x", "y").over(frame), spread), F.lit(0.0))
-    agree = F.when((F.col("x") < 0) == (F.col("y") < 0), F.lit(1.0)).otherwise(F.lit(-1.0))
-    return F.abs(F.avg(agree).over(frame))
+def _with_spread(place, windows, method):
+    """The sample and, per window size, the spread of the window that starts at it.
+
+    The spread belongs to a region, so it is taken before pairs multiply the rows. NULL marks an
+    incomplete window; phase locking needs only that mark.
+    """
+    per_region = W.partitionBy(*place, "region").orderBy("t")
+    spreads = []
+    for size in windows:
+        frame = per_region.rowsBetween(0, size - 1)
+        spread = F.stddev_samp("value").over(frame) if method == "pearson" else F.lit(1.0)
+        spreads.append(F.when(F.count(F.lit(1)).over(frame) == size, spread))
+    return F.struct(F.col("value").alias("v"), F.array(*spreads).alias("s"))
 
 
 def _stepped(signals, size, lag, keys, method, diagonal):
