@@ -127,9 +127,9 @@ def genuine_trimers(
     def link(name: str, as_: str) -> DataFrame:
         return with_id.select("subject", F.col("pair_id").alias(name), F.col("fc").alias(as_))
 
-    # the trimer list depends on the number of regions only; mc brings the subjects in
+    # the trimer list grows with the cube of the regions, so its join is left to its measured size
     values = (
-        mc.join(F.broadcast(listed), ["pair_a", "pair_b"])
+        mc.join(listed, ["pair_a", "pair_b"])
         .join(link("pair_a", "fc_a"), ["subject", "pair_a"])
         .join(link("pair_b", "fc_b"), ["subject", "pair_b"])
         .join(link("leaf_pair", "fc_leaf"), ["subject", "leaf_pair"])
@@ -167,7 +167,7 @@ def prevalence(genuine: DataFrame, members: DataFrame | None = None) -> DataFram
 def values_by_root(mc: DataFrame, motifs: DataFrame) -> DataFrame:
     """Meta-link values of the trimers rooted in each region, summarised per subject."""
     return (
-        mc.join(F.broadcast(motifs.select("pair_a", "pair_b", "root")), ["pair_a", "pair_b"])
+        mc.join(motifs.select("pair_a", "pair_b", "root"), ["pair_a", "pair_b"])
         .groupBy("subject", "root")
         .agg(
             F.count("mc").alias("n"),
@@ -210,7 +210,7 @@ def ordered_values(mc: DataFrame, order: DataFrame, partition: DataFrame, links:
 
     def side(tag: str) -> DataFrame:
         cols = {"pair_id": f"pair_{tag}", "pos": f"p_{tag}", "community": f"m_{tag}", "i": f"i_{tag}", "j": f"j_{tag}"}
-        return F.broadcast(about.select(*[F.col(k).alias(v) for k, v in cols.items()]))
+        return about.select(*[F.col(k).alias(v) for k, v in cols.items()])
 
     both = mc.join(side("a"), "pair_a").join(side("b"), "pair_b")
     first = F.col("p_a") > F.col("p_b")

@@ -70,7 +70,7 @@ def average_rank(
     ranks = counts.select(
         *keys, value, (F.col("before_cnt") + (F.col("cnt") + 1) / 2.0).alias(out)
     )
-    return _join(df, ranks, [*keys, value])
+    return df.join(ranks, [*keys, value])
 
 
 def average_rank_bounded(keys: Sequence[str], value: str) -> Column:
@@ -181,8 +181,3 @@ def row_numbers(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Dat
 def _tagged(idx: Column, weight: Column, pos: Column) -> Column:
     tag = F.struct(idx.alias("level_idx"), weight.alias("weight"))
     return F.struct(tag.alias("tag"), pos.cast("long").alias("pos"))
-
-
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner equi-join; with no keys ``right`` is a single-row aggregate."""
-    return left.join(right, list(keys)) if keys else left.crossJoin(right)

@@ -22,7 +22,8 @@ def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequen
     """
     keys = list(keys)
     sizes = items.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(tile)).cast("int").alias("_tiles"))
-    sized = items.join(sizes, keys) if keys else items.crossJoin(sizes)
+    # without keys the size is a one-row aggregate
+    sized = items.join(sizes, keys) if keys else items.crossJoin(F.broadcast(sizes))
     own = F.pmod(F.xxhash64(item), F.col("_tiles")).cast("int")
     packed = (
         sized.select(*keys, "_tiles", own.alias("_tile"), item, *payload)

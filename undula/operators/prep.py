@@ -111,17 +111,12 @@ def intersect_sessions(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def position_by(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
-    """0-based position of every row in the order of ``key`` (ties by the remaining columns).
+    """0-based position of every row in the order of ``key``, a numeric column without repeats.
 
     Uses the cell-wise running totals, so no single task sorts all rows.
     """
-    rest = [c for c in df.columns if c != key]
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("cnt"), F.array_sort(F.collect_list(F.struct(*rest))).alias("_rows") if rest else F.lit(None).alias("_rows"))
-    placed = running_totals(counts, [], key, ["cnt"])
-    if not rest:
-        return placed.select(key, F.col("before_cnt").cast("int").alias(out))
-    spread = placed.select("before_cnt", F.posexplode("_rows").alias("_k", "_r"))
-    return spread.select(*[F.col(f"_r.{c}").alias(c) for c in rest], (F.col("before_cnt") + F.col("_k")).cast("int").alias(out))
+    ordered = running_totals(df.withColumn("one", F.lit(1)), [], key, ["one"])
+    return ordered.select(*df.columns, F.col("before_one").cast("int").alias(out))
 
 
 def keep_listed(cohort: DataFrame, wanted: DataFrame, key: str = "subject") -> DataFrame:

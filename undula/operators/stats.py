@@ -25,9 +25,10 @@ def mann_whitney(df: DataFrame, group: str, value: str, keys: Sequence[str] = ()
     """
     keys = list(keys)
     counts = value_counts(df, [*keys, group], value)
-    labels = counts.select(*keys, F.col(group).alias("_g")).distinct()
-    others = labels.withColumnRenamed("_g", "_h")
-    pairs = (labels.join(others, keys) if keys else labels.crossJoin(others)).where("_g <> _h")
+    # one row per key with its few group labels, unfolded to ordered label pairs
+    labels = counts.groupBy(*keys).agg(F.collect_set(group).alias("_all"))
+    firsts = labels.select(*keys, "_all", F.explode("_all").alias("_g"))
+    pairs = firsts.select(*keys, "_g", F.explode("_all").alias("_h")).where("_g <> _h")
     sides = counts.withColumnRenamed(group, "_g").join(pairs, [*keys, "_g"])
     is_first = F.col("_g") < F.col("_h")
     two = (

@@ -170,7 +170,7 @@ JOIN ord a ON fc.i = a.node JOIN ord b ON fc.j = b.node""",
 )
 def reorder_matrix(spark, sf_dir):
     signals = src.signals(spark, sf_dir)
-    order = prep.position_by(signals.groupBy(F.col("region").alias("node")).agg((-F.sum("value")).alias("key")), "key")
+    order = prep.position_by(signals.groupBy(F.col("region").alias("node")).agg((-F.sum("value")).alias("key")), "key").drop("key")
     return con.reorder(con.fc_matrix(signals), order).withColumn("fc", rounded("fc"))
 
 

@@ -13,9 +13,12 @@ from pyspark.errors import AnalysisException
 
 
 def save(df: DataFrame, path: str, by: Sequence[str] = ("window_size", "lag")) -> None:
-    """Write a result, replacing only the partitions it contains."""
+    """Write a result, replacing only the partitions it contains.
+
+    Rows are rebalanced by the partition columns: small ones share a file, a large one is split.
+    """
     (
-        df.repartition(*by, *[c for c in ("subject",) if c in df.columns])
+        df.hint("rebalance", *by)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)
