@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from undula.llm import cuckoo_dedup, decontaminate, warc_dict
+from undula.llm import cuckoo_dedup, decontaminate, line_windows, pivotal_mix, training_order, warc_dict
 from undula.llm.common import table
 
 QUERIES: dict = {}
@@ -25,6 +25,12 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+@query("op1_training_order")
+def op1_training_order(spark, sf_dir):
+    found = training_order.ordered(table(spark, sf_dir, "documents"))
+    return found.select("slot", "shard", "sequence", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 @query(
     "op2_decontaminate",
     f"""
@@ -63,6 +69,37 @@ def op4_cuckoo_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query(
+    "op8_line_windows",
+    """
+WITH p AS (SELECT doc_id, i, line, trim(line, ' ' || chr(9) || chr(13)) AS t FROM (
+    SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)),
+f AS (SELECT doc_id, i, t, row_number() OVER d - 1 AS s, count(*) OVER (PARTITION BY doc_id) AS m,
+    lead(t, 1) OVER d AS t1, lead(t, 2) OVER d AS t2, lead(i, 1) OVER d AS i1, lead(i, 2) OVER d AS i2
+    FROM p WHERE t <> '' WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+w AS (SELECT doc_id, s, i AS lo, CASE least(m, 3) WHEN 1 THEN i WHEN 2 THEN i1 ELSE i2 END AS hi,
+    CASE least(m, 3) WHEN 1 THEN t WHEN 2 THEN t || chr(10) || t1 ELSE t || chr(10) || t1 || chr(10) || t2 END AS win
+    FROM f WHERE s <= m - least(m, 3)),
+r AS (SELECT DISTINCT doc_id, unnest(range(lo, hi + 1)) AS i FROM (
+    SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS k FROM w) WHERE k > 1),
+k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS kept, count(*) AS n FROM p ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines,
+    CAST(coalesce(len(string_split(text, chr(10))), 0) - coalesce(n, 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(kept, '')) AS text_sha256
+FROM documents LEFT JOIN k USING (doc_id)
+""",
+)
+def op8_line_windows(spark, sf_dir):
+    found = line_windows.deduplicate_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op9_pivotal_mix")
+def op9_pivotal_mix(spark, sf_dir):
+    found = pivotal_mix.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 @query(
     "op10_warc",
     """
