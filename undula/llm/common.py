@@ -133,3 +133,13 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     np.cumprod(np.full(top - 1, 0x9E3779B97F4A7C15, np.uint64), out=powers[1:])
     letters = mix64(np.arange(1, 257, dtype=np.uint64))
     return mix64(np.add.reduceat(letters[data] * powers[place], starts) + lengths.astype(np.uint64))
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have at most ``rows`` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def crc_part(column: str, parts: int) -> Column:
+    """crc32 of a number's decimal text, modulo ``parts``; null for null."""
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(parts))

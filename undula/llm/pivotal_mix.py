@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach, mix64, row_key
+from undula.llm.common import attach, bounded, mix64, row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
 GROUP_UNITS = 20_000
 FAN_IN = 16
+#: Source totals are broadcast only if they are counted to be no more rows than this.
+MOST_BROADCAST = 100_000
 SEED = 20240917
 
 
@@ -143,8 +145,8 @@ def decide(units: DataFrame) -> DataFrame:
 def planned(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken, key, rows (equal ones)."""
     sizes = cut_lineage(sized(docs))
-    target = source_targets(sizes)
-    joined = sizes.join(F.broadcast(target) if _small(target) else target, sizes["source"].eqNullSafe(target["source"]), "inner")
+    target = cut_lineage(source_targets(sizes))
+    joined = sizes.join(bounded(target, MOST_BROADCAST), sizes["source"].eqNullSafe(target["source"]), "inner")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = cut_lineage(joined.select(
         "doc_id", sizes["source"], "size", "key", "source_size", "target", F.floor(ratio).alias("base"), (ratio - F.floor(ratio)).alias("prob")
@@ -159,11 +161,6 @@ def planned(docs: DataFrame) -> DataFrame:
     )
 
 
-def _small(target: DataFrame, rows: int = 100_000) -> bool:
-    """Source totals are broadcast only if they are counted to be few."""
-    return target.limit(rows + 1).count() <= rows
-
-
 def mix(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken."""
     return planned(docs).drop("key")

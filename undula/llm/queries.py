@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from undula.llm import cuckoo_dedup, decontaminate, line_windows, pivotal_mix, training_order, warc_dict
-from undula.llm.common import table
+from undula.llm import (
+    cuckoo_dedup,
+    decontaminate,
+    factorisation,
+    line_windows,
+    pivotal_mix,
+    ppm_language,
+    training_order,
+    warc_dict,
+)
+from undula.llm.common import crc_part, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +78,21 @@ def op4_cuckoo_dedup(spark, sf_dir):
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op5_ppm_language")
+def op5_ppm_language(spark, sf_dir):
+    docs, part = table(spark, sf_dir, "documents"), crc_part("doc_id", 4)
+    found = ppm_language.identify(docs, part != 2)
+    return found.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_factorisation_machine")
+def op6_factorisation_machine(spark, sf_dir):
+    part = crc_part("doc_id", 3)
+    found = factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), part != 1)
+    return found.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(
     "op8_line_windows",
     """
