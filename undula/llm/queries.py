@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undula.llm import (
+    chosen_path,
     cuckoo_dedup,
     decontaminate,
     factorisation,
@@ -93,6 +94,11 @@ def op6_factorisation_machine(spark, sf_dir):
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op7_chosen_path_join")
+def op7_chosen_path_join(spark, sf_dir):
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op8_line_windows",
     """
