@@ -8,6 +8,7 @@ from undula.llm import (
     chosen_path,
     cuckoo_dedup,
     decontaminate,
+    disclosure,
     factorisation,
     line_windows,
     pivotal_mix,
@@ -66,6 +67,16 @@ def op2_decontaminate(spark, sf_dir):
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op3_disclosure")
+def op3_disclosure(spark, sf_dir):
+    found = disclosure.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(k) for k in disclosure.PATTERNS], F.sha2(disclosure.span_text(F.col("base")), 256).alias("base_sha256"),
+        disclosure.span_text(F.concat("base", "terms")).alias("spans"), F.size("terms").cast("long").alias("n_terms"),
+    )
+
+
 @query(
     "op4_cuckoo_dedup",
     f"""
