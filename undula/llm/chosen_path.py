@@ -32,8 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach, components, mix64, row_key, word_hashes, words_of
+from undula.llm.common import attach, components, cut_lineage, mix64, row_key, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity as a fraction, 4 / 5.
@@ -90,7 +89,6 @@ def signature(found: np.ndarray) -> bytes:
     return least.astype("<u4").tobytes()
 
 
-@F.pandas_udf("set string, n long, tokens binary")
 def _embed(text: pd.Series) -> pd.DataFrame:
     rows = []
     for at in range(0, len(text), 200):
@@ -99,7 +97,6 @@ def _embed(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["set", "n", "tokens"])
 
 
-@F.pandas_udf("binary")
 def _shingle_bytes(text: pd.Series) -> pd.Series:
     return pd.Series([s.tobytes() for at in range(0, len(text), 200) for s in shingles(text.iloc[at : at + 200].tolist())])
 
@@ -231,7 +228,7 @@ def verified(docs: DataFrame, named: DataFrame, sets: DataFrame, clusters: DataF
     wanted = cut_lineage(placed.join(one, "set"))
     bins = max(1, math.ceil((wanted.agg(F.sum("n")).first()[0] or 0) / UNIT_SHINGLES))
     texts = docs.select(row_key("doc_id", "text").alias("key"), "text").join(wanted.drop("n"), "key")
-    whole = texts.select("set", "root", "size", "copies", _shingle_bytes.asNondeterministic()("text").alias("shingles"))
+    whole = texts.select("set", "root", "size", "copies", F.pandas_udf(_shingle_bytes, "binary").asNondeterministic()("text").alias("shingles"))
     units = _tiled(whole, "root", "size", bins)
     found = cut_lineage(units.groupBy("unit").applyInPandas(_verify, "set string, label string, sets long, docs long"))
     counts = found.groupBy("set").agg(F.sum("sets").alias("sets"), F.sum("docs").alias("docs")).filter("sets > 0")
@@ -241,7 +238,7 @@ def verified(docs: DataFrame, named: DataFrame, sets: DataFrame, clusters: DataF
 
 def _joined(docs: DataFrame, recall: float) -> DataFrame:
     """key, doc_id, class_id, class_key (of the first document), n_links, class_size."""
-    named = docs.select("doc_id", row_key("doc_id", "text").alias("key"), _embed.asNondeterministic()("text").alias("e"))
+    named = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.pandas_udf(_embed, SETS).asNondeterministic()("text").alias("e"))
     named = cut_lineage(named.select("doc_id", "key", "e.*"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))
     sets = cut_lineage(named.filter("set is not null").groupBy("set").agg(

@@ -8,15 +8,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage, ensure_checkpoint_dir
+from undula.functions.partitioning import ensure_checkpoint_dir
 
 #: A key with fewer rows than this is left to an ordinary shuffle join.
 HEAVY_ROWS = 5_000
 #: At most so many keys are broadcast by ``attach``.
 HEAVY_KEYS = 50_000
 
-A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder, which driver and executors share."""
@@ -28,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lower_ascii(text: Column) -> Column:
-    """Null becomes empty; A-Z become a-z, nothing else changes."""
-    return F.translate(F.coalesce(text, F.lit("")), A_TO_Z, A_TO_Z.lower())
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, in no more files than keep all cores busy.
+
+    Adaptive execution may leave a small result in very many partitions, each of which would become
+    a file; the tasks take several of them instead.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
 
 
 def row_key(*cols: str) -> Column:

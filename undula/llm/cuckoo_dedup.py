@@ -27,8 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach
+from undula.llm.common import attach, cut_lineage
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -118,14 +117,13 @@ class LiveIndex:
                 return
 
 
-@F.pandas_udf("binary")
 def _digest(text: pd.Series) -> pd.Series:
     # bytes.lower changes ASCII letters only.
     return text.map(lambda t: hashlib.sha256((t or "").encode("utf-8", "surrogatepass").lower()).digest())
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", _digest("text").alias("digest"))
+    return docs.select("doc_id", F.pandas_udf(_digest, "binary")("text").alias("digest"))
 
 
 def _summed(frame: pd.DataFrame) -> pd.DataFrame:

@@ -24,8 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import words_of
+from undula.llm.common import cut_lineage, words_of
 
 WINDOW = 13
 #: Benchmark text per automaton; a larger benchmark is worked off in blocks of this size.

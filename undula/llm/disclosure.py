@@ -27,8 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach, row_key
+from undula.llm.common import attach, cut_lineage, row_key
 
 #: The four base patterns, as possessive Java expressions.
 PATTERNS = {

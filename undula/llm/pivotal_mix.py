@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach, bounded, mix64, row_key
+from undula.llm.common import attach, bounded, cut_lineage, mix64, row_key
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5

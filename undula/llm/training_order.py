@@ -29,8 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import mix64, scratch
+from undula.llm.common import cut_lineage, mix64, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary.

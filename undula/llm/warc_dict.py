@@ -27,8 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import cut_lineage
-from undula.llm.common import attach, scratch
+from undula.llm.common import attach, cut_lineage, scratch
 
 MIN_REVISIT = 1000
 SAMPLE_RECORDS = 300
