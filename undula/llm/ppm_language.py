@@ -122,6 +122,8 @@ def find(places: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
 def build_model(counts: pd.DataFrame) -> dict:
     """langs, and per order the places of grams, their bits, the places of contexts, their escapes."""
     langs = sorted(counts["lang"].unique())
+    if not langs:
+        return {"langs": [], "levels": []}
     column = {lang: k for k, lang in enumerate(langs)}
     levels = []
     for size in range(1, ORDER + 2):
