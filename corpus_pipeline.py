@@ -9,7 +9,6 @@ brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from undula.llm import chosen_path, decontaminate, pivotal_mix, ppm_language, training_order
 from undula.llm.common import crc_part, scratch, table
@@ -38,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards in training order, read back: a row per slot."""
     found = training_order.ordered(docs)
-    return found.select("slot", "shard", "sequence", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return found.select("slot", "shard", "sequence", "n_tokens", "doc_ids", "tokens_sha256")
 
 
 STAGES = [

@@ -39,7 +39,7 @@ WORDS = rf"regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 @query("op1_training_order")
 def op1_training_order(spark, sf_dir):
     found = training_order.ordered(table(spark, sf_dir, "documents"))
-    return found.select("slot", "shard", "sequence", "n_tokens", "doc_ids", F.sha2("tokens", 256).alias("tokens_sha256"))
+    return found.select("slot", "shard", "sequence", "n_tokens", "doc_ids", "tokens_sha256")
 
 
 @query(

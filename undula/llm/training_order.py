@@ -2,7 +2,8 @@
 
 1. Texts are tokenised whole with a given public vocabulary, each followed by the end token, and cut
    into sequences of ``length`` ids. A sequence goes on over the documents of one scan task; only a
-   task's last one is padded. The sequences are written once, with their task and place.
+   task's last one is padded. The sequences are written once, with their task and place; until
+   they reach their shard they are packed with a Zstandard dictionary of a few first texts.
 2. The tasks' counts, summed in order, number the sequences 0 .. n-1.
 3. A Feistel network over the next power of four, keyed, is applied again to whatever it maps beyond
    n-1 (cycle-walking); so every number gets a slot of 0 .. n-1 of its own without a sort or table.
@@ -24,12 +25,13 @@ import base64
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from undula.llm.common import cut_lineage, mix64, scratch
+from undula.llm.common import bounded, cut_lineage, mix64, scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary.
@@ -38,6 +40,11 @@ LENGTH = 2048
 SHARD_ROWS = 2048
 KEY = 0x5EED
 ROUNDS = 6
+#: Offsets are broadcast if no more scan tasks than this were counted.
+MOST_TASKS = 1_000_000
+#: Bounds of the sample that the packing dictionary is fitted on, and its size.
+SAMPLE_TEXTS, SAMPLE_BYTES, DICT_BYTES = 300, 2 << 20, 110 << 10
+LEVEL = 6
 STAGED = "part long, pos long, n_tokens int, doc_ids array<long>, starts array<int>, tokens binary"
 
 
@@ -56,21 +63,48 @@ def id_type(ranks) -> str:
     return "<u2" if len(ranks) < 65_536 else "<u4"
 
 
-def tokenise(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH) -> DataFrame:
-    """Sequences of each scan task: part, pos, n_tokens, doc_ids, starts (of documents in it), tokens."""
-    ranks = load_ranks(vocabulary)
+def fit_dictionary(docs: DataFrame, ranks: dict, length: int) -> bytes:
+    """A dictionary for packed sequences, fitted in one task on the bounded sample; b"" if that is too small."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast(ranks), id_type(ranks)
+
+    def fit(batches):
+        enc, ids, left = encoder(shared.value), [], SAMPLE_BYTES
+        for frame in batches:
+            for text in frame["text"]:
+                if len(text) <= left:
+                    ids += enc.encode_ordinary(text)
+                    left -= len(text)
+        data, size = np.array(ids, kind).tobytes(), length * int(kind[2:])
+        rows = [data[a : a + size] for a in range(0, len(data), size)]
+        try:
+            made = zstandard.train_dictionary(DICT_BYTES, rows, k=256, d=8).as_bytes() if len(rows) > 7 else b""
+        except zstandard.ZstdError:
+            made = b""
+        yield pd.DataFrame({"data": [made]})
+
+    rows = docs.filter("text is not null").select("text").limit(SAMPLE_TEXTS).coalesce(1).mapInPandas(fit, "data binary").collect()
+    return bytes(rows[0]["data"]) if rows else b""
+
+
+def _packing(dictionary: bytes):
+    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+
+
+def tokenise(docs: DataFrame, ranks: dict, dictionary: bytes, length: int = LENGTH) -> DataFrame:
+    """Sequences of each scan task: part, pos, n_tokens, doc_ids, starts (of documents in it), packed tokens."""
     shared, end, kind = docs.sparkSession.sparkContext.broadcast(ranks), len(ranks), id_type(ranks)
     names = [c.split(" ")[0] for c in STAGED.split(", ")]
 
     def run(batches):
         enc, part = encoder(shared.value), TaskContext.get().partitionId()
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_packing(dictionary))
         pos, held, ids, starts, rows = 0, [], [], [], []
 
         def cut(tokens):
             nonlocal pos, ids, starts
             fill = np.full(length, end, kind)
             fill[: len(tokens)] = tokens
-            rows.append((part, pos, len(tokens), ids, starts, fill.tobytes()))
+            rows.append((part, pos, len(tokens), ids, starts, packer.compress(fill.tobytes())))
             pos, ids, starts = pos + 1, [], []
 
         for frame in batches:
@@ -133,19 +167,26 @@ def materialise(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length
                 shard_rows: int = SHARD_ROWS, key: int = KEY) -> DataFrame:
     """Writes shards below ``path`` and returns their index: slot, shard, sequence, n_tokens, doc_ids, starts."""
     spark = docs.sparkSession
-    tokenise(docs, vocabulary, length).write.option("compression", "zstd").parquet(f"{path}/sequences")
+    ranks = load_ranks(vocabulary)
+    size, dictionary = int(id_type(ranks)[2:]), fit_dictionary(docs, ranks, length)
+    tokenise(docs, ranks, dictionary, length).write.option("compression", "none").parquet(f"{path}/sequences")
     staged = spark.read.parquet(f"{path}/sequences")
     counts = staged.groupBy("part").agg(F.count("*").alias("n"))
     earlier = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     offsets = cut_lineage(counts.select("part", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset")))
     n = offsets.agg(F.sum("n")).first()[0] or 0
-    numbered = staged.join(offsets.drop("n"), "part").withColumn("sequence", F.col("offset") + F.col("pos"))
+    numbered = staged.join(bounded(offsets.drop("n"), MOST_TASKS), "part").withColumn("sequence", F.col("offset") + F.col("pos"))
     slots = numbered.withColumn("slot", slot_of(F.col("sequence"), n, key)).withColumn("shard", F.expr(f"cast(slot div {shard_rows} as int)"))
+
+    def unpack(batches):
+        packed = zstandard.ZstdDecompressor(dict_data=_packing(dictionary))
+        for frame in batches:
+            yield pd.DataFrame({"value": [packed.decompress(t) for t in frame["tokens"]]})
+
     if n:
         dealt = slots.select("shard", "slot", "tokens").repartitionById(-(-n // shard_rows), F.col("shard"))
-        ids = dealt.sortWithinPartitions("slot").select(F.col("tokens").cast("string").alias("value"))
-        size = int(id_type(load_ranks(vocabulary))[2:])
-        ids.write.option("lineSep", "\0" * size).text(f"{path}/shards")
+        ids = dealt.sortWithinPartitions("slot").select("tokens").mapInPandas(unpack, "value binary")
+        ids.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0" * size).text(f"{path}/shards")
     index = slots.select("slot", F.col("shard").cast("long").alias("shard"), "sequence", "n_tokens", "doc_ids", "starts")
     index.write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
@@ -177,11 +218,13 @@ def read_slots(spark: SparkSession, path: str, length: int = LENGTH, shard_rows:
 
 
 def ordered(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Materialises ``docs`` in a scratch folder and reads every slot back with its index row."""
+    """Materialises ``docs`` in a scratch folder and reads every slot back: its index row and tokens_sha256.
+
+    Only the digest of the ids that were read meets the index, not the ids.
+    """
     spark = docs.sparkSession
     path = scratch(spark, "tokens")
     index = materialise(docs, path, vocabulary)
     if index.isEmpty():
-        return index.withColumn("tokens", F.lit(None).cast("binary"))
-    return index.join(read_slots(spark, path), "slot")
-
+        return index.withColumn("tokens_sha256", F.lit(None).cast("string"))
+    return index.join(read_slots(spark, path).select("slot", F.sha2("tokens", 256).alias("tokens_sha256")), "slot")
