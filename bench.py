@@ -31,6 +31,7 @@ HEADLINE = [
     "c2_spearman_speed",
     "c4_unified_median_speed",
     "c6_tau_split_speed",
+    "c9_speed_sweep",
     "c11_community_speed",
     "d4_population_pooling",
     "d10_empirical_cdf",
@@ -61,7 +62,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-bench-"))
     queries = all_queries()
     seconds = {}

@@ -14,6 +14,16 @@ def long_series():
     return x
 
 
+def test_gaps_give_the_same_frames_in_both_plans(spark, long_series):
+    """A window that misses a sample is no window, whether samples overlap much or little."""
+    signals = signals_df(spark, {1: long_series[:200]}).where("t not in (40, 41, 90)")
+    sliding = con._sliding(signals, [12], 1, ["subject"], "pearson", False)
+    stepped = con._stepped(signals, 12, 1, ["subject"], "pearson", False)
+    a, b = (values(df, ["frame", "i", "j"], "fc") for df in (sliding, stepped))
+    assert a.keys() == b.keys() and len({k for k, *_ in a}) == 189 - 13 - 12
+    assert all(a[k] == pytest.approx(b[k], abs=1e-7) for k in a)
+
+
 def test_fc_matches_numpy_and_constant_channel_is_zero(spark, long_series):
     got = values(con.fc_matrix(signals_df(spark, {0: long_series})), ["i", "j"], "fc")
     want = np.corrcoef(long_series[:, :3].T)

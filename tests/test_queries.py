@@ -1,23 +1,13 @@
-"""Registered queries against their SQL restatements on the smallest tables.
-
-UNDULA_ALL_QUERIES=1 runs every one; by default a few of each family.
-"""
-
-import os
+"""Registered queries against their SQL restatements on the smallest tables."""
 
 import oracle
 import pytest
 
 import __spark_entry__ as entry
+from undula.plans import all_oracles, all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-SAMPLE = [
-    "a6_zero_pad", "a9_session_intersection", "a18_combination_groups", "b4_sliding_dfc", "b6_community_dfc", "b7_fcd",
-    "c2_spearman_speed", "c6_tau_split_speed", "c12_marginal_means", "d2_drop_uncommon_lengths", "d11_speed_quantiles",
-    "e1_mann_whitney", "e6_spearman_by_group", "e10_matrix_correlation_spearman", "f8_genuine_by_mc", "f12_ordered_mc_values",
-    "g2_signed_modularity", "g13_align_across_windows", "h5_global_efficiency", "h8_activation_events", "i4_fluidity_percentiles",
-]
-NAMES = sorted(entry.oracle_sql()) if os.environ.get("UNDULA_ALL_QUERIES") else SAMPLE
+NAMES = sorted(all_oracles())
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +17,8 @@ def db():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, db, name):
-    got = oracle.spark_table(entry.queries()[name](spark, SF_DIR))
-    assert oracle.difference(got, oracle.sql_table(db, entry.oracle_sql()[name])) is None
+    got = oracle.spark_table(all_queries()[name](spark, SF_DIR))
+    assert oracle.difference(got, oracle.sql_table(db, all_oracles()[name])) is None
 
 
 def test_registry_is_consistent():

@@ -129,7 +129,7 @@ def test_information_of_identical_partitions(spark):
 def test_greedy_alignment_is_one_to_one(spark):
     rows = [(0, a, b, n) for a, b, n in ((1, 1, 5), (1, 2, 4), (2, 1, 4), (2, 2, 1), (3, 2, 3))]
     overlap = spark.createDataFrame(rows, "run int, label int, ref_label int, n int")
-    got = {r.label: r.ref_label for r in com.align_labels(overlap, ["run"], 3).collect()}
+    got = {r.label: r.ref_label for r in com.align_labels(overlap, ["run"]).collect()}
     assert got == {1: 1, 3: 2}
 
 

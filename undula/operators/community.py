@@ -23,14 +23,19 @@ PARTITION = ["graph_id", "gamma_idx", "run"]
 # ---- detection -------------------------------------------------------------------------
 
 
-def detect_communities(
-    edges: DataFrame, gammas: Sequence[float], runs: int, seed: int = 0, max_rounds: int = 12
-) -> DataFrame:
+#: Rounds in which many nodes move at once before only the best mover of a graph moves.
+CROWDED_ROUNDS = 6
+#: A search that does not end within so many rounds is reported as an error.
+ROUNDS_LIMIT = 10_000
+
+
+def detect_communities(edges: DataFrame, gammas: Sequence[float], runs: int, seed: int = 0) -> DataFrame:
     """Communities of many signed weighted graphs at once, for every gamma and run.
 
     ``edges`` is (graph_id, i, j, w), each undirected edge once. All graphs move together: in each
     round every node weighs the gain of joining each neighbouring community, and a hashed half of
-    the nodes takes its best move. Then whole communities move the same way. Runs differ by seed.
+    the nodes takes its best move, until none wants to move. Then communities become the nodes and
+    move the same way, level after level, until a level changes nothing. Runs differ by seed.
     """
     sided = cut_lineage(both_directions(edges))
     strength = _strengths(sided)
@@ -44,11 +49,15 @@ def detect_communities(
         .withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
         .select("graph_id", "g.gamma_idx", "g.gamma", "run", "node", "kp", "kn", "sp", "sn")
     )
-    first = _settle(sided, nodes.withColumn("community", F.col("node")), seed, max_rounds)
-    # second level: a community becomes a node, its members' edges are added up
-    merged = _settle_merged(sided, first, seed + 1, max_rounds)
+    settled = _settle(sided, nodes.withColumn("community", F.col("node")), seed)
+    level = 1
+    while True:
+        merged = cut_lineage(_settle_merged(sided, settled, seed + level))
+        if merged.where("community <> _from").isEmpty():
+            break
+        settled, level = merged.drop("_from"), level + 1
     rank = F.dense_rank().over(W.partitionBy(*PARTITION).orderBy("community"))
-    return merged.select(*PARTITION, "node", rank.alias("community"))
+    return settled.select(*PARTITION, "node", rank.alias("community"))
 
 
 def both_directions(edges: DataFrame) -> DataFrame:
@@ -71,19 +80,21 @@ def _strengths(sided: DataFrame) -> DataFrame:
     return per_node.join(totals, "graph_id")
 
 
-def _settle(sided: DataFrame, labels: DataFrame, seed: int, max_rounds: int) -> DataFrame:
+def _settle(sided: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
     """Local moves until no node wants to move; the lineage is cut every round.
 
-    A round is one join: a node's neighbours bring their community with its total strength, the
+    A round is a join: a node's neighbours bring their community with its total strength, the
     weights are summed per community, and the options of a node (at most its neighbours) are
-    compared in one row.
+    compared in one row. Nodes that move at once may undo each other's gain, so after
+    ``CROWDED_ROUNDS`` only the node with the largest gain of each graph moves: the modularity then
+    rises with every round and the search ends.
     """
     key = [*PARTITION]
     own = ["community", "gamma", "kp", "kn", "sp", "sn"]
     labels = cut_lineage(labels)
-    for step in range(max_rounds):
-        crowd = W.partitionBy(*key, "community")
-        sized = labels.withColumn("cp", F.sum("kp").over(crowd)).withColumn("cn", F.sum("kn").over(crowd))
+    for step in range(ROUNDS_LIMIT):
+        crowd = labels.groupBy(*key, "community").agg(F.sum("kp").alias("cp"), F.sum("kn").alias("cn"))
+        sized = labels.join(crowd, [*key, "community"])
         seen = sized.select(*key, F.col("node").alias("other"), F.col("community").alias("option"), "cp", "cn")
         near = sided.join(seen, ["graph_id", "other"]).drop("other")
         stay = sized.withColumn("option", F.col("community")).withColumn("wp", F.lit(0.0)).withColumn("wn", F.lit(0.0))
@@ -97,18 +108,23 @@ def _settle(sided: DataFrame, labels: DataFrame, seed: int, max_rounds: int) ->
         ranked = F.transform("_o", lambda o: F.struct(_gain(o).alias("gain"), o["tie"].alias("tie"), o["option"].alias("option")))
         best = F.array_max("_ranked")
         now = F.array_max(F.transform(F.filter("_ranked", lambda o: o["option"] == F.col("community")), lambda o: o["gain"]))
-        coin = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *key, "node"), F.lit(2)) == 0
-        moved = F.when(F.col("wants") & coin, F.col("_best.option")).otherwise(F.col("community"))
-        labels = cut_lineage(
+        judged = cut_lineage(
             nodes.withColumn("_ranked", ranked)
             .withColumn("_best", best)
-            .withColumn("wants", F.col("_best.gain") > now + 1e-12)
-            .select(*key, "node", moved.alias("community"), *own[1:], "wants")
+            .withColumn("_more", F.col("_best.gain") - now)
+            .select(*key, "node", *own, F.col("_best.option").alias("option"), "_more", (F.col("_more") > 1e-12).alias("wants"))
         )
-        if labels.where("wants").isEmpty():
-            break
-        labels = labels.drop("wants")
-    return labels.drop("wants")
+        if judged.where("wants").isEmpty():
+            return judged.select(*key, "node", *own)
+        if step < CROWDED_ROUNDS:
+            goes = F.pmod(F.xxhash64(F.lit(seed), F.lit(step), *key, "node"), F.lit(2)) == 0
+        else:
+            first = judged.where("wants").groupBy(*key).agg(F.max(F.struct("_more", "node")).alias("_first"))
+            judged = judged.join(first, key, "left")
+            goes = F.col("node") == F.col("_first.node")
+        moved = F.when(F.col("wants") & F.coalesce(goes, F.lit(False)), F.col("option")).otherwise(F.col("community"))
+        labels = judged.select(*key, "node", moved.alias("community"), *own[1:])
+    raise RuntimeError(f"communities are still moving after {ROUNDS_LIMIT} rounds")
 
 
 def _gain(o: Column) -> Column:
@@ -123,9 +139,11 @@ def _gain(o: Column) -> Column:
     )
 
 
-def _settle_merged(sided: DataFrame, first: DataFrame, seed: int, max_rounds: int) -> DataFrame:
-    key = ["graph_id", "gamma_idx", "run"]
-    home = first.select(*key, "node", "community")
+def _settle_merged(sided: DataFrame, settled: DataFrame, seed: int) -> DataFrame:
+    """The communities of ``settled`` as nodes, moved until none wants to: ``settled`` with the new
+    communities and the old ones as ``_from``."""
+    key = [*PARTITION]
+    home = settled.select(*key, "node", "community")
     # (graph, gamma, run) together name a merged graph; sums of weights between communities
     between = (
         sided.join(home, ["graph_id", "node"])
@@ -135,7 +153,7 @@ def _settle_merged(sided: DataFrame, first: DataFrame, seed: int, max_rounds: in
         .agg(F.sum("wp").alias("wp"), F.sum("wn").alias("wn"))
         .select(F.struct(*key).alias("graph_id"), "node", "other", "wp", "wn")
     )
-    units = first.groupBy(*key, "gamma", "sp", "sn", F.col("community").alias("node")).agg(
+    units = settled.groupBy(*key, "gamma", "sp", "sn", F.col("community").alias("node")).agg(
         F.sum("kp").alias("kp"), F.sum("kn").alias("kn")
     )
     moved = _settle(
@@ -144,14 +162,11 @@ def _settle_merged(sided: DataFrame, first: DataFrame, seed: int, max_rounds: in
             F.struct(*key).alias("graph_id"), "gamma_idx", "gamma", "run", "node", "kp", "kn", "sp", "sn", F.col("node").alias("community")
         ),
         seed,
-        max_rounds,
     )
     target = moved.select(
-        "graph_id.graph_id", "gamma_idx", "run", F.col("node").alias("community"), F.col("community").alias("_to")
-    )
-    return first.drop("community").join(home, [*key, "node"]).join(target, [*key, "community"]).select(
-        *key, "node", F.col("_to").alias("community")
+        "graph_id.graph_id", "gamma_idx", "run", F.col("node").alias("_from"), F.col("community").alias("_to")
     )
+    return settled.withColumnRenamed("community", "_from").join(target, [*key, "_from"]).withColumnRenamed("_to", "community")
 
 
 def modularity(edges: DataFrame, partitions: DataFrame, gammas: Sequence[float]) -> DataFrame:
@@ -220,7 +235,6 @@ def allegiance_communities(
     final_gamma: float = 1.2,
     seed: int = 0,
     twice: bool = True,
-    max_rounds: int = 12,
 ) -> tuple[DataFrame, DataFrame]:
     """Consensus partition and contingency of every graph.
 
@@ -228,11 +242,11 @@ def allegiance_communities(
     gamma. Returns (graph_id, node, community, pos) and (graph_id, i, j, w).
     """
     gammas = gamma_range(count=gamma_count)
-    weights = contingency(detect_communities(edges, gammas, runs, seed, max_rounds), diagonal=False)
+    weights = contingency(detect_communities(edges, gammas, runs, seed), diagonal=False)
     if twice:
-        weights = contingency(detect_communities(weights, gammas, runs, seed + 10, max_rounds), diagonal=False)
+        weights = contingency(detect_communities(weights, gammas, runs, seed + 10), diagonal=False)
     weights = cut_lineage(weights)
-    final = detect_communities(weights, [final_gamma], 1, seed + 20, max_rounds)
+    final = detect_communities(weights, [final_gamma], 1, seed + 20)
     return with_positions(final.select("graph_id", "node", "community")), weights
 
 
@@ -290,9 +304,9 @@ def group_allegiance(weights: DataFrame, members: DataFrame, gamma: float = 1.0,
     return found.select(F.col("graph_id").alias("label"), "node", "community")
 
 
-def reorder_labels(partitions: DataFrame, order: DataFrame) -> DataFrame:
-    """Labels listed by the position each window's sort index gives its nodes: (graph_id, run, pos, community)."""
-    return partitions.join(order, ["graph_id", "run", "node"]).select("graph_id", "run", "pos", "community")
+def reorder_labels(partitions: DataFrame, order: DataFrame, keys: Sequence[str] = ("graph_id", "run")) -> DataFrame:
+    """Labels listed by the position each window's sort index gives its nodes: (keys, pos, community)."""
+    return partitions.join(order, [*keys, "node"]).select(*keys, "pos", "community")
 
 
 # ---- label alignment -------------------------------------------------------------------
@@ -301,7 +315,7 @@ def reorder_labels(partitions: DataFrame, order: DataFrame) -> DataFrame:
 def label_overlap(partition: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nodes shared by every label and reference label: (keys, label, ref_label, n)."""
     ref = reference.withColumnRenamed("community", "ref_label")
-    shared = [c for c in ("graph_id", "node") if c in ref.columns]
+    shared = [c for c in ("graph_id", "gamma_idx", "node") if c in ref.columns]
     return (
         partition.join(ref, shared)
         .groupBy(*keys, F.col("community").alias("label"), "ref_label")
@@ -309,45 +323,50 @@ def label_overlap(partition: DataFrame, reference: DataFrame, keys: Sequence[str
     )
 
 
-def align_labels(overlap: DataFrame, keys: Sequence[str], rounds: int) -> DataFrame:
+def align_labels(overlap: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Greedy one-to-one map label -> ref_label by mutual best overlap: (keys, label, ref_label, n).
 
-    A round accepts every pair that is the best of both its labels; ``rounds`` is at most the number
-    of labels. Overlap tables hold one row per label pair, so their groups are small.
+    A round accepts every pair that is the best of both its labels, until no pair of two free labels
+    is left; the largest open pair of a key is always accepted, so the rounds end. Overlap tables
+    hold one row per label pair, so their groups are small.
     """
     keys = list(keys)
     found = None
-    open_ = overlap
+    open_ = cut_lineage(overlap)
     order = [F.col("n").desc(), F.col("label"), F.col("ref_label")]
-    for _ in range(rounds):
+    while True:
         ranked = open_.withColumn("_a", F.row_number().over(W.partitionBy(*keys, "label").orderBy(*order))).withColumn(
             "_b", F.row_number().over(W.partitionBy(*keys, "ref_label").orderBy(*order))
         )
-        taken = ranked.where("_a = 1 and _b = 1").drop("_a", "_b")
+        taken = cut_lineage(ranked.where("_a = 1 and _b = 1").drop("_a", "_b"))
         found = taken if found is None else found.unionByName(taken)
-        open_ = open_.join(taken.select(*keys, "label"), [*keys, "label"], "left_anti").join(
-            taken.select(*keys, "ref_label"), [*keys, "ref_label"], "left_anti"
+        open_ = cut_lineage(
+            open_.join(taken.select(*keys, "label"), [*keys, "label"], "left_anti").join(
+                taken.select(*keys, "ref_label"), [*keys, "ref_label"], "left_anti"
+            )
         )
-    return found
+        if open_.isEmpty():
+            return found
 
 
-def align_across_windows(partitions: DataFrame) -> DataFrame:
+def align_across_windows(partitions: DataFrame, keys: Sequence[str] = ("graph_id",)) -> DataFrame:
     """Each window's label goes to the label it overlaps most with, pooled over the other windows.
 
-    Rows (graph_id, run, label, ref_label, n); ties go to the smaller label.
+    Rows (keys, run, label, ref_label, n); ties go to the smaller label.
     """
-    pooled = partitions.groupBy("graph_id", "node", F.col("community").alias("ref_label")).agg(
+    keys = list(keys)
+    pooled = partitions.groupBy(*keys, "node", F.col("community").alias("ref_label")).agg(
         F.count(F.lit(1)).alias("_all")
     )
     own = F.when(F.col("community") == F.col("ref_label"), F.col("_all") - 1).otherwise(F.col("_all"))
     overlap = (
-        partitions.join(pooled, ["graph_id", "node"])
-        .groupBy("graph_id", "run", F.col("community").alias("label"), "ref_label")
+        partitions.join(pooled, [*keys, "node"])
+        .groupBy(*keys, "run", F.col("community").alias("label"), "ref_label")
         .agg(F.sum(own).alias("n"))
     )
     best = F.max(F.struct("n", (-F.col("ref_label")).alias("low")))
-    return overlap.groupBy("graph_id", "run", "label").agg(best.alias("_b")).select(
-        "graph_id", "run", "label", (-F.col("_b.low")).alias("ref_label"), F.col("_b.n").alias("n")
+    return overlap.groupBy(*keys, "run", "label").agg(best.alias("_b")).select(
+        *keys, "run", "label", (-F.col("_b.low")).alias("ref_label"), F.col("_b.n").alias("n")
     )
 
 

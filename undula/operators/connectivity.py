@@ -154,7 +154,7 @@ def _sliding(signals, windows, lag, keys, method, diagonal):
     per_pair = W.partitionBy(*place, "i", "j").orderBy("t")
     scores = []
     for k, size in enumerate(windows):
-        frame = per_pair.rowsBetween(0, size - 1)
+        frame = per_pair.rangeBetween(0, size - 1)
         spread_x, spread_y = F.get("sx", F.lit(k)), F.get("sy", F.lit(k))
         if method == "pearson":
             covariance = F.covar_samp("x", "y").over(frame)
@@ -191,7 +191,7 @@ def _with_spread(place, windows, method):
     per_region = W.partitionBy(*place, "region").orderBy("t")
     spreads = []
     for size in windows:
-        frame = per_region.rowsBetween(0, size - 1)
+        frame = per_region.rangeBetween(0, size - 1)
         spread = F.stddev_samp("value").over(frame) if method == "pearson" else F.lit(1.0)
         spreads.append(F.when(F.count(F.lit(1)).over(frame) == size, spread))
     return F.struct(F.col("value").alias("v"), F.array(*spreads).alias("s"))

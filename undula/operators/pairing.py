@@ -14,6 +14,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from undula.functions.partitioning import cut_lineage
+
 
 def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str], tile: int) -> DataFrame:
     """Rows (keys, same, a, b): two packed tiles, ``array<struct<item, payload>>`` each.
@@ -71,19 +73,22 @@ def correlate_items(
     """
     keys = list(keys)
     part = F.floor(F.col(axis) / chunk) if chunk else F.lit(0)
-    pieces = (
+    # written once: the moments, the number of tiles and both sides of the tile pairs read it
+    pieces = cut_lineage(
         rows.select(*keys, item, axis, value, part.cast("int").alias("_part"))
         .groupBy(*keys, item, "_part")
         .agg(F.array_sort(F.collect_list(F.struct(axis, value))).alias("_p"))
+        .select(*keys, item, "_part", F.col(f"_p.{value}").alias("_v"))
     )
-    norm = F.stddev_samp(value) * F.sqrt(F.count(value) - 1)
-    scale = rows.groupBy(*keys, item).agg(F.avg(value).alias("_mean"), norm.alias("_norm"))
+    single = pieces.select(*keys, item, F.explode("_v").alias("_x"))
+    norm = F.stddev_samp("_x") * F.sqrt(F.count("_x") - 1)
+    scale = single.groupBy(*keys, item).agg(F.avg("_x").alias("_mean"), norm.alias("_norm"))
     unit = pieces.join(scale, [*keys, item]).select(
         *keys,
         item,
         "_part",
         F.transform(
-            f"_p.{value}",
+            "_v",
             lambda v: F.when(F.col("_norm") > 0, F.try_divide(v - F.col("_mean"), F.col("_norm"))).otherwise(0.0),
         ).alias("_u"),
     )
@@ -96,7 +101,8 @@ def correlate_items(
         _products(F.col("a._u"), F.col("b._u")).alias("_r"),
     )
     width = F.size("_b")
-    cells = products.select(*keys, "same", "_a", "_b", F.posexplode("_r").alias("_k", out)).select(
+    # the outer form, because the plain one adds a filter on the product, which would be taken twice
+    cells = products.select(*keys, "same", "_a", "_b", F.posexplode_outer("_r").alias("_k", out)).select(
         *keys,
         "same",
         F.get("_a", F.floor(F.col("_k") / width).cast("int")).alias("_x"),

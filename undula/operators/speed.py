@@ -18,7 +18,6 @@ from undula.operators.order_stats import average_rank_bounded, medians
 
 COUNTS = ("unified", "classic")
 MATRICES = ("triangle", "full")
-MAX_STEPS_PER_PASS = 24
 
 
 def dfc_speed(
@@ -43,7 +42,7 @@ def dfc_speed(
     if check_frames:
         require_frames(dfc, step, keys)
     guard = step + 1 if count == "unified" else step
-    speeds = _speeds(dfc, [(None, 0, step, guard)], method, keys, matrix, clipped=count == "unified")
+    speeds = _speeds(dfc, 0, step, guard, method, keys, matrix, clipped=count == "unified")
     return speeds.drop("tau")
 
 
@@ -167,10 +166,6 @@ def _check_step(step: int) -> None:
         raise ValueError("step must be a positive integer")
 
 
-def _one_window(dfc: DataFrame, size: int) -> DataFrame:
-    return dfc.where(F.col("window_size") == size)
-
-
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -179,72 +174,83 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def _per_window(dfc, plan, method, keys, clipped):
-    """Speeds with steps that depend on the window size.
+    """Speeds with steps that depend on the window size, in one pass for any number of sizes.
 
-    Few steps are looked up in one pass over all windows. Many are taken window by window, so that
-    a stored stream is read by partition and no frame carries partners of other windows.
+    A frame goes, for each step of its own size only, to the pairs it starts, ends or guards; the
+    block it is in already holds all three, so pairs meet without another shuffle.
     """
-    steps = [step for steps in plan.values() for step in steps]
-    for _, _, step, _ in steps:
+    for _, _, step, _ in (row for rows in plan.values() for row in rows):
         _check_step(step)
-    if len(steps) <= MAX_STEPS_PER_PASS:
-        listed = dfc.where(F.col("window_size").isin(list(plan)))
-        return _speeds(listed, steps, method, keys, "triangle", clipped)
-    return _union([_speeds(_one_window(dfc, size), plan[size], method, keys, "triangle", clipped) for size in plan])
-
+    stream = [*keys, "window_size"]
+    reach = max(max(step, guard) for rows in plan.values() for _, _, step, guard in rows)
+    listed = dfc.where(F.col("window_size").isin(list(plan)))
+    blocked, span = _blocked(_packed_frames(listed, stream, method, "triangle"), stream, reach)
+    entries = []
+    for size, rows in plan.items():
+        steps = [
+            F.struct(F.lit(tau).alias("tau"), F.lit(step).alias("step"), F.lit(guard).alias("guard")) for _, tau, step, guard in rows
+        ]
+        entries += [F.lit(size), F.array(*steps)]
+    parts = F.transform(
+        F.element_at(F.create_map(*entries), F.col("window_size")),
+        lambda s: F.array(
+            F.struct(s["tau"].alias("tau"), s["step"].alias("step"), F.col("frame").alias("frame1"), F.lit(0).alias("role")),
+            F.struct(s["tau"].alias("tau"), s["step"].alias("step"), (F.col("frame") - s["step"]).alias("frame1"), F.lit(1).alias("role")),
+            F.struct(s["tau"].alias("tau"), s["step"].alias("step"), (F.col("frame") - s["guard"]).alias("frame1"), F.lit(2).alias("role")),
+        ),
+    )
+    given = blocked.select(*stream, "block", "links", F.explode(F.flatten(parts)).alias("p"))
+    given = given.where((F.col("p.frame1") >= 0) & (F.floor(F.col("p.frame1") / span) == F.col("block")))
+    pairs = (
+        given.groupBy(*stream, "block", "p.tau", "p.step", "p.frame1")
+        .agg(
+            F.first(F.when(F.col("p.role") == 0, F.col("links")), ignorenulls=True).alias("a"),
+            F.first(F.when(F.col("p.role") == 1, F.col("links")), ignorenulls=True).alias("b"),
+            F.max(F.col("p.role")).alias("guarded"),
+        )
+        .where("a is not null and b is not null and guarded = 2")
+        .select(*stream, "block", "tau", "frame1", (F.col("frame1") + F.col("step")).alias("frame2"), "a", "b")
+    )
+    return _compared(pairs, stream, method, clipped)
 
-def _speeds(dfc, steps, method, keys, matrix, clipped):
-    """Similarity of frame f with f + step, where frame f + guard exists.
 
-    ``steps`` holds (window size or None for all, tau, step, guard).
-    """
-    stream = [*keys, "window_size"]
-    reach = max(max(step, guard) for _, _, step, guard in steps)
+def _blocked(frames, stream, reach):
+    """Frames with the blocks they are needed in: their own and the one before, ``reach`` frames ahead."""
     span = max(256, 8 * reach)
     first = F.greatest(F.floor((F.col("frame") - reach) / span), F.lit(0))
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("frame") / span).cast("int")))
+    return spread(frames.select("*", block.alias("block")), *stream, "block"), span
 
-    frames = _packed_frames(dfc, stream, method, matrix)
-    blocked = spread(frames.select("*", block.alias("block")), *stream, "block")
-    ahead = W.partitionBy(*stream, "block").orderBy("frame")
-    partners = F.array(
-        *[
-            F.struct(
-                F.lit(size).cast("int").alias("size"),
-                F.lit(tau).alias("tau"),
-                F.lit(step).alias("step"),
-                F.lead("frame", guard).over(ahead).alias("guard"),
-                F.lead("links", step).over(ahead).alias("links2"),
-            )
-            for size, tau, step, guard in steps
-        ]
-    )
-    own = F.floor(F.col("frame") / span) == F.col("block")
-    mine = F.col("p.size").isNull() | (F.col("p.size") == F.col("window_size"))
-    paired = (
-        blocked.withColumn("_partners", partners)
-        .where(own)
-        .select(*stream, "block", "frame", "links", F.explode("_partners").alias("p"))
-        .where(mine & F.col("p.guard").isNotNull())
-        .select(
-            *stream,
-            "block",
-            F.col("frame").alias("frame1"),
-            F.col("p.tau").alias("tau"),
-            (F.col("frame") + F.col("p.step")).alias("frame2"),
-            F.explode(F.arrays_zip(F.col("links").alias("a"), F.col("p.links2").alias("b"))).alias("l"),
-        )
-    )
+
+def _compared(pairs, stream, method, clipped):
     speed = 1 - similarity(method, F.col("l.a"), F.col("l.b"))
     if clipped:
         speed = clip(speed, -1.0, 2.0)
+    cells = pairs.select(*stream, "block", "tau", "frame1", "frame2", F.explode(F.arrays_zip("a", "b")).alias("l"))
     return (
-        paired.groupBy(*stream, "block", "tau", "frame1", "frame2")
+        cells.groupBy(*stream, "block", "tau", "frame1", "frame2")
         .agg(speed.alias("speed"))
         .select(*stream, "tau", "frame1", "frame2", "speed")
     )
 
 
+def _speeds(dfc, tau, step, guard, method, keys, matrix, clipped):
+    """Similarity of frame f with f + step, where frame f + guard exists, at one step for all streams."""
+    stream = [*keys, "window_size"]
+    blocked, span = _blocked(_packed_frames(dfc, stream, method, matrix), stream, max(step, guard))
+    ahead = W.partitionBy(*stream, "block").orderBy("frame")
+    paired = (
+        blocked.withColumn("b", F.lead("links", step).over(ahead))
+        .withColumn("guarded", F.lead("frame", guard).over(ahead))
+        .where((F.floor(F.col("frame") / span) == F.col("block")) & F.col("guarded").isNotNull())
+        .select(
+            *stream, "block", F.lit(tau).alias("tau"), F.col("frame").alias("frame1"), (F.col("frame") + step).alias("frame2"),
+            F.col("links").alias("a"), "b",
+        )
+    )
+    return _compared(paired, stream, method, clipped)
+
+
 def _packed_frames(dfc, stream, method, matrix):
     value = "fc"
     if matrix == "full":

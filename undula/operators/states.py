@@ -100,8 +100,7 @@ def global_efficiency(edges: DataFrame, n_nodes: int) -> DataFrame:
 
 def link_sequence(states: DataFrame, networks: DataFrame) -> DataFrame:
     """Each sample's state mapped to the state's links: (subject, t, i, j, fc)."""
-    # networks hold one row per state and link
-    return states.join(F.broadcast(networks), "cluster").select("subject", "t", "i", "j", "fc")
+    return states.join(networks, "cluster").select("subject", "t", "i", "j", "fc")
 
 
 def link_activation(sequence: DataFrame, share: float = 0.01) -> DataFrame:

@@ -134,43 +134,42 @@ def split_by_length(spark, sf_dir):
 
 
 BUYERS = """buyers AS (SELECT o_custkey AS subject, count(*) AS n_orders FROM orders GROUP BY o_custkey),
-clients AS (SELECT c_custkey AS subject, c_mktsegment AS segment FROM customer WHERE c_acctbal > 0)"""
+users AS (SELECT user_id AS subject, min(event_type) AS segment FROM events GROUP BY user_id)"""
 
 
 def buyers(spark, sf_dir):
     return src.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(F.count(F.lit(1)).alias("n_orders"))
 
 
-def clients(spark, sf_dir):
-    customer = src.table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    return customer.select(F.col("c_custkey").alias("subject"), F.col("c_mktsegment").alias("segment"))
+def users(spark, sf_dir):
+    return src.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("subject")).agg(F.min("event_type").alias("segment"))
 
 
-@query("a8_match_cohort", q.ctes(BUYERS) + "SELECT subject, n_orders, segment FROM buyers JOIN clients USING (subject)")
+@query("a8_match_cohort", q.ctes(BUYERS) + "SELECT subject, n_orders, segment FROM buyers JOIN users USING (subject)")
 def match_cohort(spark, sf_dir):
-    return prep.match_cohort(buyers(spark, sf_dir), clients(spark, sf_dir))
+    return prep.match_cohort(buyers(spark, sf_dir), users(spark, sf_dir))
 
 
 @query(
     "a8_unmatched_subjects",
     q.ctes(BUYERS)
-    + """SELECT subject, 'signals' AS side FROM buyers WHERE subject NOT IN (SELECT subject FROM clients)
-UNION ALL SELECT subject, 'cohort' FROM clients WHERE subject NOT IN (SELECT subject FROM buyers)""",
+    + """SELECT subject, 'signals' AS side FROM buyers WHERE subject NOT IN (SELECT subject FROM users)
+UNION ALL SELECT subject, 'cohort' FROM users WHERE subject NOT IN (SELECT subject FROM buyers)""",
 )
 def unmatched_subjects(spark, sf_dir):
-    return prep.unmatched(buyers(spark, sf_dir), clients(spark, sf_dir))
+    return prep.unmatched(buyers(spark, sf_dir), users(spark, sf_dir))
 
 
 @query(
     "a9_session_intersection",
-    """WITH a AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS p FROM (SELECT DISTINCT o_custkey AS subject FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01')),
-b AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS p FROM (SELECT DISTINCT o_custkey AS subject FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'))
+    """WITH a AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS p FROM (SELECT DISTINCT o_custkey AS subject FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01')),
+b AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS p FROM (SELECT DISTINCT o_custkey AS subject FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'))
 SELECT a.subject, a.p AS pos_first, b.p AS pos_second FROM a JOIN b USING (subject)""",
 )
 def session_intersection(spark, sf_dir):
     orders = src.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), "o_orderdate")
-    first = orders.where(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz"))
-    second = orders.where(F.col("o_orderdate") >= F.lit("2001-01-01").cast("timestamp_ntz"))
+    first = orders.where(F.col("o_orderdate") < F.lit("1999-01-01").cast("timestamp_ntz"))
+    second = orders.where(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz"))
     return prep.intersect_sessions(first, second)
 
 
@@ -234,11 +233,11 @@ def clean_labels(spark, sf_dir):
     "a15_stack_sessions",
     q.ctes(q.SIGNALS)
     + f"""SELECT subject, t, region, {q.rnd('value', 4)} AS value, '2m' AS session FROM sig WHERE t < 41
-UNION ALL SELECT subject, t - 41, region, {q.rnd('value', 4)}, '4m' FROM sig WHERE t >= 41 AND t < 82""",
+UNION ALL SELECT subject, t - 41, region, {q.rnd('value', 4)}, '4m' FROM sig WHERE t >= 41""",
 )
 def stack_sessions(spark, sf_dir):
     signals = src.signals(spark, sf_dir).withColumn("value", rounded("value", 4))
-    later = prep.drop_transient(signals, 41).where("t < 41")
+    later = prep.drop_transient(signals, 41)
     return prep.stack_sessions({"2m": signals.where("t < 41"), "4m": later})
 
 
@@ -316,7 +315,7 @@ def binarize(spark, sf_dir):
     "a23_alignment_report",
     q.ctes(
         "s AS (SELECT l_partkey AS subject, max(l_linenumber) AS n FROM lineitem GROUP BY l_partkey)",
-        "c AS (SELECT p_partkey AS subject, CASE WHEN p_size > 25 THEN 7 ELSE 6 END AS want FROM part WHERE p_size <> 13)",
+        "c AS (SELECT p_partkey AS subject, CASE WHEN p_size > 25 THEN 7 ELSE 6 END AS want FROM part)",
     )
     + """SELECT coalesce(s.subject, c.subject) AS subject,
   CASE WHEN s.subject IS NULL THEN 'no signals' WHEN c.subject IS NULL THEN 'no cohort row' ELSE 'length differs' END AS problem
@@ -325,5 +324,5 @@ FROM s FULL JOIN c ON s.subject = c.subject WHERE s.subject IS NULL OR c.subject
 def alignment_report(spark, sf_dir):
     series = src.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject"), (F.col("l_linenumber") - 1).alias("t"))
     want = F.when(F.col("p_size") > 25, 7).otherwise(6).alias("want")
-    listed = src.table(spark, sf_dir, "part").where("p_size <> 13").select(F.col("p_partkey").alias("subject"), want)
+    listed = src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("subject"), want)
     return prep.alignment_report(series, listed, "want")

@@ -40,12 +40,12 @@ def members(spark, sf_dir):
 
 @query("g1_detect_communities")
 def detect_communities(spark, sf_dir):
-    return com.detect_communities(edges(spark, sf_dir), GAMMAS, runs=2, seed=7, max_rounds=6)
+    return com.detect_communities(edges(spark, sf_dir), com.gamma_range(), runs=4, seed=7)
 
 
 @query("g5_allegiance_communities")
 def allegiance_communities(spark, sf_dir):
-    found, _ = com.allegiance_communities(edges(spark, sf_dir), runs=2, gamma_count=2, seed=7, twice=False, max_rounds=5)
+    found, _ = com.allegiance_communities(edges(spark, sf_dir), runs=4, gamma_count=10, seed=7)
     return found
 
 
@@ -55,7 +55,7 @@ def averaged_allegiance(spark, sf_dir):
     graph = F.concat_ws("_", "subject", "frame")
     stack = dfc.select(graph.alias("graph_id"), F.col("subject").alias("stack_id")).distinct()
     graphs = dfc.select(graph.alias("graph_id"), "i", "j", F.col("fc").alias("w"))
-    labels, _ = com.averaged_allegiance(graphs, stack, runs=2, gamma_count=1, seed=7, twice=False, max_rounds=5)
+    labels, _ = com.averaged_allegiance(graphs, stack, runs=2, gamma_count=2, seed=7)
     return labels
 
 
@@ -66,14 +66,14 @@ def sort_by_modularity(spark, sf_dir):
 
 @query("g8_frame_allegiance")
 def frame_allegiance(spark, sf_dir):
-    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36, lag=36), runs=2, gamma_count=1, seed=7, twice=False, max_rounds=5)
+    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36, lag=36), runs=2, gamma_count=2, seed=7)
     return found.select("graph_id.subject", "graph_id.window_size", "graph_id.frame", "node", "community", "pos")
 
 
 @query("g10_temporal_consensus")
 def temporal_consensus(spark, sf_dir):
     mean = com.temporal_mean(frame_weights(spark, sf_dir), ["graph_id"]).withColumnRenamed("graph_id", "subject")
-    return com.temporal_consensus(mean, runs=2, seed=7)
+    return com.temporal_consensus(mean, runs=20, seed=7)
 
 
 @query("g22_group_allegiance")
@@ -125,75 +125,64 @@ def temporal_mean(spark, sf_dir):
     return com.temporal_mean(frame_weights(spark, sf_dir), ["graph_id"]).withColumn("w", rounded("w"))
 
 
-FIRST = "w0 AS (SELECT graph_id, run, node, community FROM parts WHERE gamma_idx = 0)"
-
-
-def windows(spark, sf_dir):
-    """One partition per subject and window (the first gamma)."""
-    return partitions(spark, sf_dir).where("gamma_idx = 0")
+WINDOW = ["graph_id", "gamma_idx", "run"]
 
 
 @query(
     "g11_reorder_labels",
-    q.ctes(*PARTS, FIRST)
-    + "SELECT graph_id, run, row_number() OVER (PARTITION BY graph_id, run ORDER BY community, node) - 1 AS pos, community FROM w0",
+    q.ctes(*PARTS)
+    + "SELECT graph_id, gamma_idx, run, row_number() OVER (PARTITION BY graph_id, gamma_idx, run ORDER BY community, node) - 1 AS pos, community FROM parts",
 )
 def reorder_labels(spark, sf_dir):
-    parts = windows(spark, sf_dir)
-    order = com.with_positions(parts, ["graph_id", "run"]).select("graph_id", "run", "node", "pos")
-    return com.reorder_labels(parts, order)
+    parts = partitions(spark, sf_dir)
+    order = com.with_positions(parts, WINDOW).select(*WINDOW, "node", "pos")
+    return com.reorder_labels(parts, order, WINDOW)
 
 
-OVERLAP = """ov AS (SELECT p.graph_id, p.run, p.community AS label, r.community AS ref_label, count(*) AS n
-  FROM w0 p JOIN w0 r ON p.graph_id = r.graph_id AND p.node = r.node AND r.run = 0 WHERE p.run > 0 GROUP BY ALL)"""
+OVERLAP = """ov AS (SELECT p.graph_id, p.gamma_idx, p.run, p.community AS label, r.community AS ref_label, count(*) AS n
+  FROM parts p JOIN parts r ON p.graph_id = r.graph_id AND p.gamma_idx = r.gamma_idx AND p.node = r.node AND r.run = 0 WHERE p.run > 0 GROUP BY ALL)"""
 
 
 def overlap(spark, sf_dir):
-    parts = windows(spark, sf_dir)
-    reference = parts.where("run = 0").select("graph_id", "node", "community")
-    return com.label_overlap(parts.where("run > 0"), reference, ["graph_id", "run"])
+    parts = partitions(spark, sf_dir)
+    reference = parts.where("run = 0").select("graph_id", "gamma_idx", "node", "community")
+    return com.label_overlap(parts.where("run > 0"), reference, WINDOW)
 
 
-@query("g12_label_overlap", q.ctes(*PARTS, FIRST, OVERLAP) + "SELECT * FROM ov")
+@query("g12_label_overlap", q.ctes(*PARTS, OVERLAP) + "SELECT * FROM ov")
 def label_overlap(spark, sf_dir):
     return overlap(spark, sf_dir)
 
 
-def greedy_sql(rounds):
-    parts, left = [], "ov"
-    order = "ORDER BY n DESC, label, ref_label"
-    for k in range(rounds):
-        parts.append(
-            f"""t{k} AS (SELECT graph_id, run, label, ref_label, n FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, run, label {order}) AS a,
-  row_number() OVER (PARTITION BY graph_id, run, ref_label {order}) AS b FROM {left}) WHERE a = 1 AND b = 1),
-l{k} AS (SELECT * FROM {left} o WHERE NOT EXISTS (SELECT 1 FROM t{k} x WHERE x.graph_id = o.graph_id AND x.run = o.run AND (x.label = o.label OR x.ref_label = o.ref_label)))"""
-        )
-        left = f"l{k}"
-    return ",\n".join(parts), " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(rounds))
-
+# Pair after pair in order of overlap, each taken if both its labels are free; the recursion ends with the last pair.
+GREEDY = """ord AS (SELECT *, row_number() OVER (PARTITION BY graph_id, gamma_idx, run ORDER BY n DESC, label, ref_label) AS k FROM ov),
+g AS (SELECT graph_id, gamma_idx, run, label, ref_label, n, k, TRUE AS taken, [label] AS ls, [ref_label] AS rs FROM ord WHERE k = 1
+  UNION ALL SELECT graph_id, gamma_idx, run, label, ref_label, n, k, free, CASE WHEN free THEN list_append(ls, label) ELSE ls END, CASE WHEN free THEN list_append(rs, ref_label) ELSE rs END
+  FROM (SELECT o.*, ls, rs, NOT list_contains(ls, o.label) AND NOT list_contains(rs, o.ref_label) AS free
+        FROM g JOIN ord o ON o.graph_id = g.graph_id AND o.gamma_idx = g.gamma_idx AND o.run = g.run AND o.k = g.k + 1))"""
 
-ROUNDS = 3
-GREEDY, GREEDY_UNION = greedy_sql(ROUNDS)
 
-
-@query("g12_align_to_reference", q.ctes(*PARTS, FIRST, OVERLAP, GREEDY) + GREEDY_UNION)
+@query(
+    "g12_align_to_reference",
+    q.ctes(*PARTS, OVERLAP, GREEDY).replace("WITH", "WITH RECURSIVE", 1) + "SELECT graph_id, gamma_idx, run, label, ref_label, n FROM g WHERE taken",
+)
 def align_to_reference(spark, sf_dir):
-    return com.align_labels(overlap(spark, sf_dir), ["graph_id", "run"], ROUNDS)
+    return com.align_labels(overlap(spark, sf_dir), WINDOW)
 
 
 @query(
     "g13_align_across_windows",
     q.ctes(
         *PARTS,
-        FIRST,
-        "pool AS (SELECT graph_id, node, community AS ref_label, count(*) AS c FROM w0 GROUP BY ALL)",
-        """ov AS (SELECT p.graph_id, p.run, p.community AS label, o.ref_label, CAST(sum(CASE WHEN p.community = o.ref_label THEN c - 1 ELSE c END) AS BIGINT) AS n
-  FROM w0 p JOIN pool o USING (graph_id, node) GROUP BY ALL)""",
+        "pool AS (SELECT graph_id, gamma_idx, node, community AS ref_label, count(*) AS c FROM parts GROUP BY ALL)",
+        """ov AS (SELECT p.graph_id, p.gamma_idx, p.run, p.community AS label, o.ref_label, CAST(sum(CASE WHEN p.community = o.ref_label THEN c - 1 ELSE c END) AS BIGINT) AS n
+  FROM parts p JOIN pool o USING (graph_id, gamma_idx, node) GROUP BY ALL)""",
     )
-    + "SELECT graph_id, run, label, ref_label, n FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, run, label ORDER BY n DESC, ref_label) AS rn FROM ov) WHERE rn = 1",
+    + """SELECT graph_id, gamma_idx, run, label, ref_label, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY graph_id, gamma_idx, run, label ORDER BY n DESC, ref_label) AS rn FROM ov) WHERE rn = 1""",
 )
 def align_across_windows(spark, sf_dir):
-    return com.align_across_windows(windows(spark, sf_dir))
+    return com.align_across_windows(partitions(spark, sf_dir), ["graph_id", "gamma_idx"])
 
 
 INFORMATION = """joint AS (SELECT a.graph_id, a.gamma_idx, a.run AS run1, b.run AS run2, a.community AS c1, b.community AS c2, count(*)::DOUBLE AS n

@@ -83,10 +83,10 @@ def drop_uncommon_lengths(spark, sf_dir):
     return kept.groupBy("pool", "subject").agg(F.count(F.lit(1)).alias("n"), rounded(F.sum("value"), 2).alias("total"))
 
 
-FLAT_WINDOWS, FLAT_TAUS = [4, 5, 6, 7, 8], [0, 1, 2]
+FLAT_WINDOWS, FLAT_TAUS = list(range(4, 25)), [0, 1, 2]
 FLAT = (
     *BASE,
-    *[q.dfc(w, 2, name=f"d{w}") for w in FLAT_WINDOWS],
+    *[q.dfc(w, name=f"d{w}") for w in FLAT_WINDOWS],
     *[q.speed([(t, w + t) for t in FLAT_TAUS], str(w + 2), source=f"d{w}", name=f"s{w}") for w in FLAT_WINDOWS],
     q.union_all("speed", *[f"s{w}" for w in FLAT_WINDOWS]),
     q.COHORT,
@@ -98,11 +98,11 @@ FLAT = (
     q.ctes(*FLAT)
     + f"""SELECT pool, flat_index, {SUMMED} FROM (
  SELECT *, CASE WHEN flat_index <= 9 THEN 'short' WHEN flat_index <= 30 THEN 'mid' ELSE 'long' END AS pool
- FROM (SELECT s.*, (window_size - 4) * 3 + tau AS flat_index FROM speed s JOIN cohort c USING (subject) WHERE treatment = 'treated'))
+ FROM (SELECT s.*, (window_size - 4) * 3 + tau AS flat_index FROM speed s JOIN cohort c USING (subject) WHERE treatment = 'treated') WHERE flat_index <= 60)
 GROUP BY pool, flat_index""",
 )
 def pool_by_flat_index(spark, sf_dir):
-    dfc = stream(spark, sf_dir, FLAT_WINDOWS, 2)
+    dfc = stream(spark, sf_dir, FLAT_WINDOWS)
     all_speeds = spd.oversampled_speed(dfc, FLAT_WINDOWS, tau=2, min_tau_zero=True)
     treated = src.cohort(spark, sf_dir).where("treatment = 'treated'").select("subject")
     return summed(pool.pool_by_flat_index(all_speeds.join(treated, "subject"), FLAT_WINDOWS, FLAT_TAUS), "pool", "flat_index")

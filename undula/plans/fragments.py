@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from undula.sources.tables import EVENT_KINDS, EVENT_SAMPLES, MONTHS, REGIONS
+from undula.sources.tables import EVENT_KINDS
 
 
 def ctes(*parts: str) -> str:
@@ -18,7 +18,7 @@ def corr(x: str, y: str) -> str:
 
 
 OBSERVED = """obs AS (
-  SELECT l_suppkey AS subject, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS t,
+  SELECT l_suppkey AS subject, (year(l_shipdate) - (SELECT year(min(l_shipdate)) FROM lineitem)) * 12 + month(l_shipdate) - 1 AS t,
          l_linenumber - 1 AS region, l_extendedprice AS value
   FROM lineitem)"""
 
@@ -27,8 +27,8 @@ sig AS (
   SELECT g.subject, g.t, g.region, coalesce(v.value, 0) AS value
   FROM (SELECT s.subject, tt.t, rr.region
         FROM (SELECT DISTINCT subject FROM obs) s,
-             (SELECT unnest(range({MONTHS})) AS t) tt,
-             (SELECT unnest(range({REGIONS})) AS region) rr) g
+             (SELECT unnest(range((SELECT max(t) + 1 FROM obs))) AS t) tt,
+             (SELECT unnest(range((SELECT max(region) + 1 FROM obs))) AS region) rr) g
   LEFT JOIN (SELECT subject, t, region, avg(value) AS value FROM obs GROUP BY subject, t, region) v
     ON v.subject = g.subject AND v.t = g.t AND v.region = g.region)"""
 
@@ -43,8 +43,8 @@ esig AS (
   SELECT g.subject, g.t, g.region, coalesce(v.value, 0) AS value
   FROM (SELECT s.subject, tt.t, rr.region
         FROM (SELECT DISTINCT subject FROM esum) s,
-             (SELECT unnest(range({EVENT_SAMPLES})) AS t) tt,
-             (SELECT unnest(range({len(EVENT_KINDS)})) AS region) rr) g
+             (SELECT unnest(range((SELECT max(t) + 1 FROM esum))) AS t) tt,
+             (SELECT unnest(range((SELECT max(region) + 1 FROM esum))) AS region) rr) g
   LEFT JOIN esum v ON v.subject = g.subject AND v.t = g.t AND v.region = g.region)"""
 
 COHORT = """cohort AS (
@@ -78,7 +78,7 @@ PARTITIONS = """parts AS (
         FROM sig GROUP BY ALL))"""
 
 
-def dfc(window: int, lag: int = 1, name: str = "dfc", pairs: str = "pr", n_t: int = MONTHS) -> str:
+def dfc(window: int, lag: int = 1, name: str = "dfc", pairs: str = "pr") -> str:
     score = (
         "CASE WHEN stddev_samp(x) OVER w * stddev_samp(y) OVER w > 0 THEN corr(x, y) OVER w ELSE 0 END"
     )
@@ -86,7 +86,7 @@ def dfc(window: int, lag: int = 1, name: str = "dfc", pairs: str = "pr", n_t: in
   SELECT subject, {window} AS window_size, t // {lag} AS frame, i, j, i * (i - 1) // 2 + j AS pair_id, r AS fc
   FROM (SELECT subject, t, i, j, {score} AS r FROM {pairs}
         WINDOW w AS (PARTITION BY subject, i, j ORDER BY t ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING))
-  WHERE t % {lag} = 0 AND t <= {n_t - window})"""
+  WHERE t % {lag} = 0 AND t <= (SELECT max(t) + 1 FROM sig) - {window})"""
 
 
 def union_all(name: str, *tables: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from undula.functions.partitioning import cut_lineage
 from undula.functions.similarity import rounded
 from undula.operators import connectivity as con, meta
 from undula.plans import fragments as q
@@ -43,8 +44,8 @@ def sorted_links(spark, sf_dir):
     return meta.ordered_links(observed_links(spark, sf_dir), order, ["subject"])
 
 
-def static_links(dfc):
-    return meta.link_index(dfc.select(F.explode(F.array("i", "j")).alias("region")))
+def static_links(signals):
+    return meta.link_index(signals.select("region"))
 
 
 @query("f1_meta_connectivity", q.ctes(*W12, MC) + f"SELECT subject, window_size, pair_a, pair_b, {q.rnd('mc', 4)} AS mc FROM mc")
@@ -111,8 +112,8 @@ GENUINE_ALL = (*W12, q.FC, MC, *STATIC, GENUINE)
 
 def genuine(spark, sf_dir):
     signals = src.signals(spark, sf_dir)
-    dfc = con.dfc_stream(signals, 12)
-    motifs = meta.trimers(static_links(dfc))
+    dfc = cut_lineage(con.dfc_stream(signals, 12))
+    motifs = meta.trimers(static_links(signals))
     mc = meta.meta_connectivity(dfc).select("subject", "pair_a", "pair_b", "mc")
     return meta.genuine_trimers(motifs, con.fc_matrix(signals), mc, con.mean_over_frames(dfc))
 
@@ -157,7 +158,7 @@ FROM mc m JOIN tri t ON m.pair_a = t.pos_a AND m.pair_b = t.pos_b GROUP BY m.sub
 )
 def values_by_root(spark, sf_dir):
     dfc = stream(spark, sf_dir)
-    out = meta.values_by_root(meta.meta_connectivity(dfc), meta.trimers(static_links(dfc)))
+    out = meta.values_by_root(meta.meta_connectivity(dfc), meta.trimers(static_links(src.signals(spark, sf_dir))))
     return out.select("subject", "root", "n", rounded("mean_mc", 5).alias("mean_mc"), rounded("sd_mc", 5).alias("sd_mc"), rounded("strength", 4).alias("strength"))
 
 
@@ -203,7 +204,7 @@ FROM mc JOIN about a ON a.pair_id IN (mc.pair_a, mc.pair_b) JOIN about b ON b.pa
 )
 def ordered_mc_values(spark, sf_dir):
     dfc = stream(spark, sf_dir)
-    links = static_links(dfc)
+    links = static_links(src.signals(spark, sf_dir))
     partition = links.select(F.col("pair_id").alias("node"), (F.col("pair_id") % 4 + 1).alias("community"))
     # one row per link of the region set
     pos = F.row_number().over(W.orderBy("community", "node")) - 1

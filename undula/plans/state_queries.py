@@ -67,9 +67,9 @@ def state_fc(spark, sf_dir):
     + f"SELECT subject AS graph_id, {q.rnd('sum(1 / d) / 42', 6)} AS efficiency FROM best GROUP BY subject",
 )
 def global_efficiency(spark, sf_dir):
-    fc = con.fc_matrix(src.signals(spark, sf_dir))
-    edges = fc.select(F.col("subject").alias("graph_id"), "i", "j", F.abs("fc").alias("w"))
-    return st.global_efficiency(edges, src.REGIONS).withColumn("efficiency", rounded("efficiency"))
+    signals = src.signals(spark, sf_dir)
+    edges = con.fc_matrix(signals).select(F.col("subject").alias("graph_id"), "i", "j", F.abs("fc").alias("w"))
+    return st.global_efficiency(edges, signals.agg(F.max("region")).first()[0] + 1).withColumn("efficiency", rounded("efficiency"))
 
 
 SEQUENCE = "seq AS (SELECT s.subject, s.t, f.i, f.j, f.fc FROM states s JOIN sfc f USING (cluster))"
@@ -89,9 +89,15 @@ def events(spark, sf_dir):
     return st.activation_events(st.link_activation(sequence(spark, sf_dir)))
 
 
-@query("h6_link_sequence", q.ctes(*STATES_ALL, SEQUENCE) + f"SELECT subject, t, i, j, {q.rnd('fc', 5)} AS fc FROM seq")
+@query(
+    "h6_link_sequence",
+    q.ctes(*STATES_ALL, SEQUENCE)
+    + f"SELECT subject, i, j, count(*) AS n, {q.rnd('sum(fc)', 5)} AS total, {q.rnd('sum(fc * t)', 3)} AS moment FROM seq GROUP BY subject, i, j",
+)
 def link_sequence(spark, sf_dir):
-    return sequence(spark, sf_dir).withColumn("fc", rounded("fc", 5))
+    """The sequence of each link, summed plainly and by time: the sequence itself is long."""
+    total, moment = rounded(F.sum("fc"), 5), rounded(F.sum(F.col("fc") * F.col("t")), 3)
+    return sequence(spark, sf_dir).groupBy("subject", "i", "j").agg(F.count("fc").alias("n"), total.alias("total"), moment.alias("moment"))
 
 
 @query("h7_link_activation", q.ctes(*STATES_ALL, SEQUENCE, ACTIVE) + "SELECT subject, t, i, j, active FROM act")

@@ -27,27 +27,26 @@ COHORT = T.StructType(
     ]
 )
 
-FIRST_YEAR = 1995
-MONTHS = 83
-REGIONS = 7
 HOURS_PER_SAMPLE = 6
-EVENT_SAMPLES = 120
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def complete_grid(observed: DataFrame, n_t: int, n_regions: int) -> DataFrame:
+def complete_grid(observed: DataFrame) -> DataFrame:
     """Average repeated cells and fill missing (t, region) cells with 0.
 
-    Empty rows for the whole grid are unioned in before one aggregation, so no join is needed.
+    The grid reaches from 0 to the last sample and region of any subject. Empty rows for the whole
+    grid are unioned in before one aggregation; the extent is a one-row aggregate.
     """
+    extent = observed.agg(F.max("t").alias("_t"), F.max("region").alias("_r"))
     grid = (
         observed.select("subject")
         .distinct()
-        .select("subject", F.explode(F.sequence(F.lit(0), F.lit(n_t - 1))).alias("t"))
-        .select("subject", "t", F.explode(F.sequence(F.lit(0), F.lit(n_regions - 1))).alias("region"))
+        .crossJoin(F.broadcast(extent))
+        .select("subject", "_r", F.explode(F.sequence(F.lit(0), "_t")).alias("t"))
+        .select("subject", "t", F.explode(F.sequence(F.lit(0), "_r")).alias("region"))
         .withColumn("value", F.lit(None).cast("double"))
     )
     return (
@@ -60,8 +59,10 @@ def complete_grid(observed: DataFrame, n_t: int, n_regions: int) -> DataFrame:
 
 def shipped_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw observations: one row per line item as (subject, t, region, value)."""
-    month = (F.year("l_shipdate") - FIRST_YEAR) * 12 + F.month("l_shipdate") - 1
-    return table(spark, sf_dir, "lineitem").select(
+    lineitem = table(spark, sf_dir, "lineitem")
+    first = lineitem.agg(F.year(F.min("l_shipdate")).alias("_first"))
+    month = (F.year("l_shipdate") - F.col("_first")) * 12 + F.month("l_shipdate") - 1
+    return lineitem.crossJoin(F.broadcast(first)).select(
         F.col("l_suppkey").alias("subject"),
         month.alias("t"),
         (F.col("l_linenumber") - 1).alias("region"),
@@ -70,7 +71,7 @@ def shipped_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_grid(shipped_prices(spark, sf_dir), MONTHS, REGIONS)
+    return complete_grid(shipped_prices(spark, sf_dir))
 
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("subject", "t", "region")
         .agg(F.sum("value").alias("value"))
     )
-    return complete_grid(cells, EVENT_SAMPLES, len(EVENT_KINDS))
+    return complete_grid(cells)
 
 
 EVENT_KINDS = ("click", "error", "purchase", "signup", "view")
