@@ -37,7 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that belongs to the vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH = 2048
-SHARD_ROWS = 2048
+SHARD_ROWS = 4096
 KEY = 0x5EED
 ROUNDS = 6
 #: Offsets are broadcast if no more scan tasks than this were counted.
@@ -188,7 +188,7 @@ def materialise(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length
         ids = dealt.sortWithinPartitions("slot").select("tokens").mapInPandas(unpack, "value binary")
         ids.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0" * size).text(f"{path}/shards")
     index = slots.select("slot", F.col("shard").cast("long").alias("shard"), "sequence", "n_tokens", "doc_ids", "starts")
-    index.write.parquet(f"{path}/index")
+    index.coalesce(4 * spark.sparkContext.defaultParallelism).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
 
 
