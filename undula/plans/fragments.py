@@ -125,3 +125,31 @@ def average_rank(partition: str, order: str) -> str:
         f"rank() OVER (PARTITION BY {partition} ORDER BY {order}) "
         f"+ (count(*) OVER (PARTITION BY {partition}, {order}) - 1) / 2.0"
     )
+
+
+def normal_p(z: str) -> str:
+    """Two-sided normal tail by the power series of the error function; 0 to 9 digits beyond 6."""
+    x = f"(({z}) / sqrt(2.0))"
+    term = f"CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END * exp((2 * n + 1) * ln({x}) - lgamma(n + 1)) / (2 * n + 1)"
+    return f"CASE WHEN {z} <= 0 THEN 1.0 WHEN {z} > 6 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda n: {term})) END"
+
+
+def chi2_p(x: str, df: str) -> str:
+    """Upper chi-square tail of whole degrees of freedom: finite sums, with a normal tail where they are odd."""
+    even = f"exp(-({x}) / 2) * list_sum(list_transform(range(0, greatest({df} // 2, 1)), lambda i: exp(i * ln(({x}) / 2) - lgamma(i + 1))))"
+    odd = (
+        f"{normal_p(f'sqrt({x})')} + CASE WHEN {df} < 3 THEN 0 ELSE exp(-({x}) / 2) * "
+        f"list_sum(list_transform(range(0, greatest(({df} - 1) // 2, 1)), lambda i: exp((i + 0.5) * ln(({x}) / 2) - lgamma(i + 1.5)))) END"
+    )
+    return f"CASE WHEN {x} <= 0 THEN 1.0 WHEN {df} % 2 = 0 THEN {even} ELSE {odd} END"
+
+
+def correlation_p(r: str, n: str) -> str:
+    """Two-sided t tail of a correlation over ``n`` rows: the finite sums of whole degrees of freedom."""
+    s, c, nu = f"abs({r})", f"sqrt(1 - ({r}) * ({r}))", f"({n} - 2)"
+    even = f"{s} * list_sum(list_transform(range(0, greatest({nu} // 2, 1)), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1)) * pow({c}, 2 * k))) / sqrt(pi())"
+    odd = (
+        f"2 / pi() * (asin({s}) + CASE WHEN {nu} < 3 THEN 0 ELSE {s} * sqrt(pi()) / 2 * "
+        f"list_sum(list_transform(range(0, greatest(({nu} - 1) // 2, 1)), lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5)) * pow({c}, 2 * k + 1))) END)"
+    )
+    return f"CASE WHEN {r} IS NULL THEN NULL WHEN {s} >= 1 THEN 0.0 WHEN {nu} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"

@@ -28,11 +28,31 @@ def mann_whitney(spark, sf_dir):
     return stats.mann_whitney(prices(spark, sf_dir), "label", "x", p_values=False).withColumn("z", rounded("z", 5))
 
 
-@query("e1_mann_whitney_p_values")
+MWU_BY_POOL = f"""p AS (SELECT a.pool, a.label AS g1, b.label AS g2 FROM (SELECT DISTINCT pool, label FROM prices) a JOIN (SELECT DISTINCT pool, label FROM prices) b ON a.pool = b.pool AND a.label < b.label),
+r AS (SELECT p.pool, g1, g2, label, x, rank() OVER (PARTITION BY p.pool, g1, g2 ORDER BY x) + (count(*) OVER (PARTITION BY p.pool, g1, g2, x) - 1) / 2.0 AS rk
+      FROM p JOIN prices s ON s.pool = p.pool AND (label = g1 OR label = g2)),
+tie AS (SELECT pool, g1, g2, sum(c * c * c - c) AS ties FROM (SELECT pool, g1, g2, x, count(*)::DOUBLE AS c FROM r GROUP BY ALL) GROUP BY ALL),
+u AS (SELECT pool, g1, g2, count(*) FILTER (label = g1) AS n1, count(*) FILTER (label = g2) AS n2,
+        sum(rk) FILTER (label = g1) - (count(*) FILTER (label = g1))::DOUBLE * (count(*) FILTER (label = g1) + 1) / 2 AS u FROM r GROUP BY ALL),
+zz AS (SELECT u.*, (abs(u - n1::DOUBLE * n2 / 2) - 0.5) / sqrt(n1::DOUBLE * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2)::DOUBLE * (n1 + n2 - 1)))) AS z FROM u JOIN tie USING (pool, g1, g2)),
+pv AS (SELECT *, {q.normal_p('z')} AS p FROM zz),
+k AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY p) AS k, count(*) OVER (PARTITION BY pool) AS m FROM pv),
+adj AS (SELECT *, least(1.0, min(p * m / k) OVER (PARTITION BY pool ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS p_fdr, least(1.0, p * m) AS p_bonferroni FROM k)"""
+
+
+@query(
+    "e1_mann_whitney_p_values",
+    q.ctes(PRICES, MWU_BY_POOL)
+    + f"""SELECT pool, g1, g2, n1, n2, u, {q.rnd('z', 5)} AS z, {q.rnd('p')} AS p, {q.rnd('p_fdr')} AS p_fdr, {q.rnd('p_bonferroni')} AS p_bonferroni,
+ CASE WHEN p_fdr < 0.001 THEN '***' WHEN p_fdr < 0.01 THEN '**' WHEN p_fdr < 0.05 THEN '*' ELSE 'ns' END AS stars FROM adj""",
+)
 def mann_whitney_p_values(spark, sf_dir):
     tests = stats.mann_whitney(prices(spark, sf_dir), "label", "x", keys=["pool"])
     adjusted = stats.bonferroni(stats.benjamini_hochberg(tests, keys=["pool"]), keys=["pool"])
-    return adjusted.withColumn("stars", stats.stars("p_fdr"))
+    out = adjusted.withColumn("stars", stats.stars("p_fdr")).withColumn("z", rounded("z", 5))
+    for c in ("p", "p_fdr", "p_bonferroni"):
+        out = out.withColumn(c, rounded(c))
+    return out
 
 
 KW_SQL = """
@@ -51,9 +71,18 @@ def kruskal_wallis(spark, sf_dir):
     return stats.kruskal_wallis(prices(spark, sf_dir), "label", "x", ["pool"], p_values=False).withColumn("h", rounded("h", 4))
 
 
-@query("e2_kruskal_wallis_p_value")
+@query(
+    "e2_kruskal_wallis_p_value",
+    q.ctes(
+        PRICES + "," + KW_SQL,
+        """hh AS (SELECT pool, sum(n)::BIGINT AS n, count(*) AS k, (12 / (sum(n) * (sum(n) + 1)) * sum(s * s / n) - 3 * (sum(n) + 1)) /
+  (1 - any_value(ties) / (sum(n) * sum(n) * sum(n) - sum(n))) AS h FROM g JOIN tie USING (pool) GROUP BY pool)""",
+    )
+    + f"SELECT pool, n, k, {q.rnd('h', 4)} AS h, {q.rnd(q.chi2_p('h', '(k - 1)'), 5)} AS p FROM hh",
+)
 def kruskal_wallis_p_value(spark, sf_dir):
-    return stats.kruskal_wallis(prices(spark, sf_dir), "label", "x", ["pool"])
+    out = stats.kruskal_wallis(prices(spark, sf_dir), "label", "x", ["pool"])
+    return out.withColumn("h", rounded("h", 4)).withColumn("p", rounded("p", 5))
 
 
 TESTS = """tests AS (SELECT c_nationkey AS test, c_mktsegment AS family, round(avg(CASE WHEN c_acctbal < -500 THEN 1.0 ELSE 0.0 END), 6) AS p FROM customer GROUP BY ALL)"""
@@ -124,10 +153,29 @@ def spearman_by_group_and_window(spark, sf_dir):
     return out.withColumn("rho", rounded("rho", 5))
 
 
-@query("e7_spearman_p_values")
+def spearman_p_sql(source, keys):
+    cols = ", ".join(keys)
+    head, rho = spearman_sql(source, keys).split("SELECT " + cols + ", count(*)")
+    plain = f"CASE WHEN count(*) > 2 THEN {q.corr('rx', 'ry')} END"
+    return (
+        head.rstrip() + f",\nrr AS (SELECT {cols}, count(*) AS n, {plain} AS rho FROM r GROUP BY {cols}),\npp AS (SELECT *, {q.correlation_p('rho', 'n')} AS p FROM rr)\n"
+        + f"SELECT {cols}, n, {q.rnd('rho', 5)} AS rho, {q.rnd('p', 4)} AS p, p < 0.05 AS significant FROM pp"
+    )
+
+
+def with_p(df):
+    return df.withColumn("rho", rounded("rho", 5)).withColumn("p", rounded("p", 4))
+
+
+@query("e6_spearman_p_values", q.ctes(*SPEEDS, q.COHORT, SUBJECTS).rstrip() + ",\n" + spearman_p_sql("sm", ["genotype"]))
+def spearman_by_group_p_values(spark, sf_dir):
+    return with_p(stats.spearman(subject_scores(spark, sf_dir), "median_speed", "score", ["genotype"]))
+
+
+@query("e7_spearman_p_values", q.ctes(*SPEEDS, q.COHORT, BY_WINDOW).rstrip() + ",\n" + spearman_p_sql("sw", ["genotype", "window_size"]))
 def spearman_p_values(spark, sf_dir):
     scores = subject_scores(spark, sf_dir, ("subject", "window_size"))
-    return stats.spearman(scores, "median_speed", "score", ["genotype", "window_size"])
+    return with_p(stats.spearman(scores, "median_speed", "score", ["genotype", "window_size"]))
 
 
 THEIL = """tb AS (SELECT c_custkey AS subject, n_regionkey AS label, c_acctbal AS y, n AS x
@@ -182,9 +230,20 @@ def regression(spark, sf_dir, p_values):
     return out.withColumn("coef", rounded("coef", 3)).withColumn("intercept", rounded("intercept", 3))
 
 
-@query("e9_ols_p_values")
+@query(
+    "e9_ols_p_values",
+    q.ctes(
+        *SPEEDS,
+        q.COHORT,
+        HALVES,
+        "sp AS (SELECT genotype, pool, subject, score, median(speed) AS ms FROM pooled JOIN cohort USING (subject) GROUP BY ALL)",
+        "rg AS (SELECT genotype, pool, count(*) AS n, regr_slope(score, ms) AS coef, regr_intercept(score, ms) AS intercept, corr(score, ms) AS r FROM sp GROUP BY genotype, pool)",
+    )
+    + f"""SELECT genotype, pool, n, {q.rnd('CASE WHEN n > 3 THEN coef END', 3)} AS coef, {q.rnd('CASE WHEN n > 3 THEN intercept END', 3)} AS intercept,
+ CASE WHEN n > 3 THEN {q.rnd('r * sqrt(n - 2) / sqrt(1 - r * r)', 4)} END AS t, CASE WHEN n > 3 THEN {q.rnd(q.correlation_p('r', 'n'), 4)} END AS p FROM rg""",
+)
 def ols_p_values(spark, sf_dir):
-    return regression(spark, sf_dir, True)
+    return regression(spark, sf_dir, True).withColumn("t", rounded("t", 4)).withColumn("p", rounded("p", 4))
 
 
 ALLEGIANCE = """pp AS (SELECT a.graph_id, a.node AS i, b.node AS j, avg(CASE WHEN a.community = b.community THEN 1.0 ELSE 0.0 END) AS w
