@@ -31,7 +31,6 @@ HEADLINE = [
     "c2_spearman_speed",
     "c4_unified_median_speed",
     "c6_tau_split_speed",
-    "c9_speed_sweep",
     "c11_community_speed",
     "d4_population_pooling",
     "d10_empirical_cdf",
