@@ -168,6 +168,17 @@ def test_disclosing_terms_are_found(spark):
     assert clean[204]["text"] == texts[204] and clean[0]["text"] == texts[0]
 
 
+def test_a_single_document_discloses(spark):
+    rng = random.Random(7)
+    common = [corpora.prose(rng, 60, 20).replace("w", "word") + " wordy" for _ in range(200)]
+    told = "Zanzibaria wordy boss@corp.example Quillonia +49 30 1234567"
+    docs = corpora.docs_df(spark, [*common, told, *["Quillonia"] * 3])
+    found = corpora.by_id(disclosure.find_spans(docs))
+    # 1 for the word of one document; log(204 / 4) / log(204) = 0.74 for that of four; wordy is in nearly all.
+    assert {(s["kind"], told[s["start"] : s["end"]]) for s in found[200]["terms"]} == {("removed", "Zanzibaria"), ("general", "Quillonia")}
+    assert all(not found[k]["terms"] for k in found if k != 200)
+
+
 def test_sanitising_edges(spark):
     docs = corpora.docs_df(spark, [*corpora.EDGES, (20, "+4111 1111 1111 1111 end", "en", "s")], extra=True)
     assert disclosure.find_spans(docs).count() == len(corpora.EDGES) + 1

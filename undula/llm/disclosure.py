@@ -9,8 +9,9 @@ hold the term in a window of the entity. The term discloses the entity to the de
     PMI(c,t) / IC(c) = log(N n(c,t) / (n(c) n(t))) / log(N / n(c)),
 
 1 where the term alone identifies it. From ``GENERALISE`` on, the term is replaced by a general word, from
-``REMOVE`` on it is removed, in every window of that entity; below ``SUPPORT`` documents nothing is
-estimated. An entity in all documents has no information and nothing discloses it.
+``REMOVE`` on it is removed, in every window of that entity. Every pair that occurs is scored, also one
+of a single document: most entities occur once, and what stands beside those tells most about them.
+An entity in all documents has no information and nothing discloses it.
 
 Every pattern is written so that no text makes it slow: runs are possessive and begin where the run
 begins, which leaves the leftmost, non-overlapping matches as they are. Pairs of entity and term are
@@ -41,7 +42,6 @@ NEEDED = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 SMALL_PARTS = r"^(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9]?)(?:\.|$)){4}$"
 LETTERS = 4
 WINDOW = 100
-SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 LEVELS = ("general", "removed")
 
@@ -131,14 +131,17 @@ def _disclosing(base: DataFrame, docs: DataFrame) -> DataFrame:
     """pair, level, rows: pairs of entity and term that exceed a threshold."""
     near = base.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term")
     pairs = near.groupBy("entity", "term", "key").agg(F.count("*").alias("rows"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.sum("rows").alias("rows")).filter(F.col("n_ct") >= SUPPORT)
+    pairs = cut_lineage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.sum("rows").alias("rows")))
     entities = base.select("key", F.explode("base").alias("b")).select("key", F.concat("b.kind", F.lit(":"), F.lower("b.match")).alias("entity"))
     entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}++"))
     terms = docs.select(F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term"))
     terms = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     n = float(base.count())
-    joined = cut_lineage(pairs).join(entities, "entity").join(terms, "term")
+    # A frequent word stands beside very many entities, and a frequent entity beside very many words.
+    entities = cut_lineage(entities.join(pairs.groupBy("entity").agg(F.count("*").alias("n_pairs")), "entity"))
+    terms = cut_lineage(terms.join(pairs.groupBy("term").agg(F.count("*").alias("n_pairs")), "term"))
+    joined = attach(attach(pairs, entities, "entity", "n_pairs").drop("n_pairs"), terms, "term", "n_pairs")
     information = F.log2(F.lit(n) / F.col("n_c"))
     pmi = F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     degree = F.when(information > 0, pmi / information).otherwise(F.lit(0.0))
