@@ -40,22 +40,22 @@ def members(spark, sf_dir):
 
 @query("g1_detect_communities")
 def detect_communities(spark, sf_dir):
-    return com.detect_communities(edges(spark, sf_dir), GAMMAS, runs=2, seed=7)
+    return com.detect_communities(edges(spark, sf_dir), com.gamma_range(), runs=100, seed=7)
 
 
 @query("g5_allegiance_communities")
 def allegiance_communities(spark, sf_dir):
-    found, _ = com.allegiance_communities(edges(spark, sf_dir), runs=2, gamma_count=2, seed=7, twice=False)
+    found, _ = com.allegiance_communities(edges(spark, sf_dir), seed=7)
     return found
 
 
 @query("g6_averaged_allegiance")
 def averaged_allegiance(spark, sf_dir):
-    dfc = stream(spark, sf_dir, windows=24, lag=24)
+    dfc = stream(spark, sf_dir, windows=24)
     graph = F.concat_ws("_", "subject", "frame")
     stack = dfc.select(graph.alias("graph_id"), F.col("subject").alias("stack_id")).distinct()
     graphs = dfc.select(graph.alias("graph_id"), "i", "j", F.col("fc").alias("w"))
-    labels, _ = com.averaged_allegiance(graphs, stack, runs=2, gamma_count=1, seed=7, twice=False)
+    labels, _ = com.averaged_allegiance(graphs, stack, seed=7)
     return labels
 
 
@@ -66,14 +66,14 @@ def sort_by_modularity(spark, sf_dir):
 
 @query("g8_frame_allegiance")
 def frame_allegiance(spark, sf_dir):
-    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36, lag=36), runs=2, gamma_count=1, seed=7, twice=False)
+    found, _ = com.frame_allegiance(stream(spark, sf_dir, windows=36), seed=7)
     return found.select("graph_id.subject", "graph_id.window_size", "graph_id.frame", "node", "community", "pos")
 
 
 @query("g10_temporal_consensus")
 def temporal_consensus(spark, sf_dir):
     mean = com.temporal_mean(frame_weights(spark, sf_dir), ["graph_id"]).withColumnRenamed("graph_id", "subject")
-    return com.temporal_consensus(mean, runs=2, seed=7)
+    return com.temporal_consensus(mean, seed=7)
 
 
 @query("g22_group_allegiance")
