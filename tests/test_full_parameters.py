@@ -1,9 +1,11 @@
 """Registered queries take every frame and the operators' own runs; the work itself is recorded, not done."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
-from undula.operators import community as com
+from undula.operators import community as com, states as st
 from undula.plans import all_queries
 from undula.plans.network_queries import stream
 
@@ -36,3 +38,23 @@ def test_detection_is_whole(spark, monkeypatch, name, windows, calls):
     if windows:
         frames = stream(spark, SF_DIR, windows=windows, lag=1).select("subject", "frame").distinct().count()
         assert graphs[0].count() == frames
+
+
+@pytest.mark.parametrize(
+    "name, ks", [("h1_kmeans_states", [4]), ("h2_elbow_curve", list(range(2, 10))), ("h3_silhouette", [4])]
+)
+def test_states_are_fitted_to_the_end(spark, monkeypatch, name, ks):
+    seen, fit = [], st.fit_states
+
+    def once(*args, **kw):
+        given = inspect.signature(fit).bind(*args, **kw)
+        given.apply_defaults()
+        seen.append(tuple(given.arguments[a] for a in ("k", "restarts", "max_iter")))
+        given.arguments["restarts"] = given.arguments["max_iter"] = 1
+        return fit(*given.args, **given.kwargs)
+
+    monkeypatch.setattr(st, "fit_states", once)
+    found = all_queries()[name](spark, SF_DIR)
+    assert seen == [(k, 100, 100) for k in ks]
+    if name == "h2_elbow_curve":
+        assert sorted(r["k"] for r in found.collect()) == ks

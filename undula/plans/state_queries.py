@@ -24,18 +24,18 @@ def labels(signals):
 @query("h1_kmeans_states")
 def kmeans_states(spark, sf_dir):
     features = st.sample_features(src.signals(spark, sf_dir))
-    return st.assign_states(st.fit_states(features, N_STATES, restarts=2, max_iter=20), features)
+    return st.assign_states(st.fit_states(features, N_STATES), features)
 
 
 @query("h2_elbow_curve")
 def elbow_curve(spark, sf_dir):
-    return st.elbow_curve(st.sample_features(src.signals(spark, sf_dir)), ks=range(2, 6), restarts=1, max_iter=10)
+    return st.elbow_curve(st.sample_features(src.signals(spark, sf_dir)))
 
 
 @query("h3_silhouette")
 def silhouette(spark, sf_dir):
     features = st.sample_features(src.signals(spark, sf_dir))
-    score = st.silhouette(st.fit_states(features, N_STATES, restarts=1, max_iter=10), features)
+    score = st.silhouette(st.fit_states(features, N_STATES), features)
     return spark.createDataFrame([(N_STATES, float(score))], "k int, silhouette double")
 
 
