@@ -5,7 +5,7 @@ import inspect
 import pytest
 from pyspark.sql import functions as F
 
-from undula.operators import community as com, states as st
+from undula.operators import community as com, pooling as pool, states as st
 from undula.plans import all_queries
 from undula.plans.network_queries import stream
 
@@ -58,3 +58,17 @@ def test_states_are_fitted_to_the_end(spark, monkeypatch, name, ks):
     assert seen == [(k, 100, 100) for k in ks]
     if name == "h2_elbow_curve":
         assert sorted(r["k"] for r in found.collect()) == ks
+
+
+def test_band_takes_all_replicas(spark, monkeypatch):
+    seen, band = [], pool.bootstrap_ci
+
+    def record(*args, **kw):
+        given = inspect.signature(band).bind(*args, **kw)
+        given.apply_defaults()
+        seen.append(given.arguments["replicas"])
+        return band(*args, **kw)
+
+    monkeypatch.setattr(pool, "bootstrap_ci", record)
+    all_queries()["d18_bootstrap_quantile_band"](spark, SF_DIR)
+    assert seen == [1000]

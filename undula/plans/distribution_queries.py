@@ -311,4 +311,4 @@ def median_iqr_by_window(spark, sf_dir):
 
 @query("d18_bootstrap_quantile_band")
 def bootstrap_quantile_band(spark, sf_dir):
-    return pool.bootstrap_ci(prices(spark, sf_dir), ["label", "pool"], "x", PERCENTS, replicas=200, seed=42)
+    return pool.bootstrap_ci(prices(spark, sf_dir), ["label", "pool"], "x", PERCENTS, seed=42)
