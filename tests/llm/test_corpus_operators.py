@@ -80,6 +80,20 @@ def test_runs_reach_the_recall():
     assert missed <= 40
 
 
+def test_recall_over_the_drawn_coordinates():
+    rng = np.random.default_rng(2)
+    agree = rng.binomial(chosen_path.COORDINATES, 0.8, 1_000_000)
+    met = np.ones(len(agree))
+    for _ in range(chosen_path.DEPTH):
+        x = agree / chosen_path.COORDINATES * met
+        met = 0.75 * x + 0.25 * (1 - (1 - x) ** 2)
+    missed = lambda runs: np.where(agree < chosen_path.AGREE, 1, (1 - met) ** runs).mean()
+    runs = chosen_path.runs_needed()
+    assert missed(runs) <= 0.00101 and missed(runs - 1) > 0.001
+    with pytest.raises(ValueError):
+        chosen_path.runs_needed(1.0)
+
+
 def test_shared_counts_of_random_sets():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 200, 60)).astype(np.uint64) for _ in range(30)] + [np.array([10**15], np.uint64)]

@@ -49,13 +49,27 @@ UNIT_SHINGLES = 1_500_000
 SETS = "set string, n long, tokens binary"
 
 
+def _missed(runs: int, similarity: float, depth: int) -> float:
+    """Probability that two sets of that similarity are not tied after so many runs, all of which share their coordinates."""
+    total = 0.0
+    for agree in range(COORDINATES + 1):
+        weight = math.comb(COORDINATES, agree) * similarity**agree * (1 - similarity) ** (COORDINATES - agree)
+        met = 1.0
+        for _ in range(depth):
+            x = agree / COORDINATES * met
+            met = 0.75 * x + 0.25 * (1 - (1 - x) ** 2)
+        total += weight * ((1 - met) ** runs if agree >= AGREE else 1)
+    return total
+
+
 def runs_needed(recall: float = RECALL, similarity: float = ABOVE / BELOW, depth: int = DEPTH) -> int:
-    """Runs after which two sets of that similarity have met at ``depth`` with that probability."""
-    met = 1.0
-    for _ in range(depth):
-        x = similarity * met
-        met = 0.75 * x + 0.25 * (1 - (1 - x) ** 2)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    """Runs after which two sets of that similarity have met at ``depth`` and been tied with that probability."""
+    runs = 1
+    while (missed := _missed(runs, similarity, depth)) > 1 - recall:
+        if missed == _missed(runs + 1, similarity, depth):
+            raise ValueError(f"{COORDINATES} coordinates do not reach a recall of {recall}")
+        runs += 1
+    return runs
 
 
 def shingles(texts) -> list[np.ndarray]:
