@@ -147,6 +147,16 @@ def test_lines_equal_brute_force(spark):
     assert line_windows.deduplicate_lines(corpora.docs_df(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_first_occurrence_is_of_one_text(spark):
+    # The same or no doc_id, the same place, different texts: all but one lose the header; equal rows share their fate.
+    head = "a\nb\nc"
+    rows = [(d, f"{head}\nown {k} {d}", None, None) for d in (None, 7) for k in range(3)]
+    got = line_windows.deduplicate_lines(corpora.docs_df(spark, [*rows, rows[0]], extra=True)).collect()
+    kept = {r["text"] for r in got if r["n_removed"] == 0}
+    assert len(kept) == 1 and all("None" in t for t in kept)
+    assert all(r["n_removed"] == 3 for r in got if r["text"] not in kept)
+
+
 PAGES = [
     (1, "http://a/ b\n", "x" * 1500), (2, None, "x" * 1500), (3, "http://c", "x" * 999), (4, "u", "x" * 999), (5, "é", "é" * 500), (6, "z", "é" * 500),
     (7, "n", None), (8, "e", ""), (None, "q", "x" * 1500), (2, None, "x" * 1500), (9, "long", "<p>\r\n\r\nWARC/1.1\r\n" * 60_000), (None, "q", "y" * 2000), (None, "r", "y" * 2000),

@@ -3,8 +3,8 @@
 Lines that are not blank are compared without the spaces, tabs and carriage returns around them;
 each three that follow one another (blank lines between them aside) are a window. A text with fewer
 such lines is one window. Of a window that occurs more than once in all documents, the occurrence
-with the smallest (doc_id, place) stays; the lines that later ones cover, blank lines inside them
-included, are removed. Overlapping windows merge because a line is removed at most once.
+with the smallest (doc_id, place) stays, of texts that share both the one with the smallest digest; the
+lines that later ones cover, blank lines inside them included, are removed. Overlapping windows merge because a line is removed at most once.
 
 Windows are compared by 128 bits. Counting is pre-aggregated before its shuffle, and a window that is
 very frequent is joined by ``common.attach`` without moving its occurrences to one task. What is
@@ -47,10 +47,10 @@ def windows(docs: DataFrame, size: int = LINES) -> DataFrame:
 def removed_lines(docs: DataFrame, size: int = LINES) -> DataFrame:
     """key, ranges (array of lo, hi): what later occurrences cover in each text that has any."""
     every = cut_lineage(windows(docs, size))
-    first = every.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("n"))
+    first = every.groupBy("window").agg(F.min(F.struct("doc_id", "place", "key")).alias("first"), F.count("*").alias("n"))
     repeated = cut_lineage(first.filter("n > 1"))
     found = attach(every, repeated, "window", "n").filter(
-        F.col("first").isNotNull() & ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("place") == F.col("first.place")))
+        F.col("first").isNotNull() & ~((F.col("key") == F.col("first.key")) & (F.col("place") == F.col("first.place")))
     )
     return found.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
 
