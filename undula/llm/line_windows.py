@@ -5,6 +5,7 @@ each three that follow one another (blank lines between them aside) are a window
 such lines is one window. Of a window that occurs more than once in all documents, the occurrence
 with the smallest (doc_id, place) stays, of texts that share both the one with the smallest digest; the
 lines that later ones cover, blank lines inside them included, are removed. Overlapping windows merge because a line is removed at most once.
+A repeated line between other neighbours is in no repeated window and stays.
 
 Windows are compared by 128 bits. Counting is pre-aggregated before its shuffle, and a window that is
 very frequent is joined by ``common.attach`` without moving its occurrences to one task. What is
