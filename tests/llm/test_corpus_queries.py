@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_are_registered():
     names = {re.match(r"op\d+_", n)[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{n}_" for n in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{n}_" for n in range(1, 14)} and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

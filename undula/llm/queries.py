@@ -10,9 +10,12 @@ from undula.llm import (
     decontaminate,
     disclosure,
     factorisation,
+    filter_audit,
     line_windows,
+    phrases,
     pivotal_mix,
     ppm_language,
+    relative_lz,
     training_order,
     warc_dict,
 )
@@ -156,3 +159,77 @@ FROM p JOIN g USING (payload_digest)
 def op10_warc(spark, sf_dir):
     found = warc_dict.archive(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op11_phrases",
+    rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, k, array_to_string(w[s + 1 : s + k], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, k, unnest(range(0, len(w) - k + 1)) AS s FROM p, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k) GROUP BY ALL),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+u AS (SELECT lang, k, phrase, a, i, array_to_string(w[1 : i], ' ') AS x, array_to_string(w[i + 1 : k], ' ') AS y FROM (
+    SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (SELECT u.lang, u.phrase, u.a, min({{'score': 2000000::HUGEINT * a // (l.f + r.f), 'i': i, 'l': l.f, 'r': r.f}}) AS best
+    FROM u JOIN f l ON l.lang = u.lang AND l.k = i AND l.phrase = x JOIN f r ON r.lang = u.lang AND r.k = u.k - i AND r.phrase = y GROUP BY ALL),
+b AS (SELECT lang, array_to_string(w[t + 1 : t + m], ' ') AS phrase, max(a) AS most FROM (
+    SELECT lang, w, a, m, unnest(range(0, k - m + 1)) AS t FROM (SELECT *, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+e AS (SELECT lang, phrase, a, best FROM s LEFT JOIN b USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a)
+SELECT lang, rank, phrase, a, CAST(best.l AS BIGINT) AS l, CAST(best.r AS BIGINT) AS r, n, CAST(best.score AS BIGINT) AS score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY best.score DESC, a DESC, phrase) AS rank FROM e) JOIN n USING (lang) WHERE rank <= 2000
+""",
+)
+def op11_phrases(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_relative_lz",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, s, md5(array_to_string(w[s + 1 : s + 50], ' ')) AS win FROM (
+    SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS s FROM d WHERE len(w) >= 50)),
+g AS (SELECT win, min(doc_id) AS least FROM v GROUP BY win),
+h AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS i FROM v JOIN g USING (win) WHERE least < doc_id),
+k AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM (
+    SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS i FROM d) ANTI JOIN h USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+""",
+)
+def op12_relative_lz(spark, sf_dir):
+    found = relative_lz.deduplicate_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CAST(len(w) < 50 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 65 * len(w) AS INT)
+    + 4 * CAST(100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text) AS INT) + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INT)
+    + 16 * CAST(coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS INT) AS mask FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY ALL),
+f AS (SELECT unnest(string_split('ABCDE', '')) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT '' AS p, 0 AS step, '' AS letter, 0 AS bit, 0 AS earlier, 0 AS applied
+    UNION ALL SELECT p || f.letter, step + 1, f.letter, f.bit, applied, applied | f.bit FROM o JOIN f ON applied & f.bit = 0),
+r AS (SELECT part, w.p AS filter_order, o.step, o.letter,
+    sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM c, (SELECT p FROM o WHERE step = 5) w JOIN o ON o.step > 0 AND starts_with(w.p, o.p) GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+    CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+    CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+""",
+)
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
