@@ -36,6 +36,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet in a scratch folder: cut from its lineage, and smaller than a checkpoint where values repeat."""
+    path = scratch(df.sparkSession, name)
+    df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(*cols: str) -> Column:
     """128 bits that tell rows apart by the named columns; rows equal in all of them share it."""
     given = [F.col(c) for c in cols] + [F.isnull(c) for c in cols]

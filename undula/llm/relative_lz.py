@@ -1,9 +1,9 @@
 """Substring deduplication by relative Lempel-Ziv parsing against indexed reference blocks.
 
 Each text is cut at seeds: of every ``window`` consecutive words, the run of ``SEED`` words with the
-smallest hash. What lies from one seed to the end of the next is a block. The reference of a seed is
-its block in the row that comes first by (doc_id, row, place); the index maps seeds to those blocks, by
-shuffle. A text is parsed by going from block to block: as long as its own block equals the
+smallest hash. What lies from one seed to the end of the next is a block; the first one starts with the
+text, the last one ends with it. The reference of a seed is its block in the row that comes first by
+(doc_id, row, place); the index maps seeds to those blocks, by shuffle. A text is parsed by going from block to block: as long as its own block equals the
 reference block, and that one continues the last one in the same reference text, the factor grows. A
 factor of at least ``window`` words of a smaller doc_id is a duplicate span.
 
@@ -14,7 +14,10 @@ are compared by 128-bit hashes and the smallest doc_id of each is found. A windo
 is always held by the seed that is smallest in it, in whichever text it occurs, so equal windows meet. The first holder
 of a window is never inside a factor, so what is found equals a comparison of all windows.
 
-Seeds of one document alone leave after the first aggregation, which carries a seed and two ids. Frequent
+A first aggregation, which carries a seed and two ids, finds the seeds of several documents. A sieve
+of them (a bitmap of at most ``MOST_BITS``, so its broadcast is bounded) then spares the shuffle of most
+other blocks, and a sieve of rows that of most texts without repeats; what passes by chance is dropped
+by the joins, and a full sieve would only let all pass. Frequent
 seeds and windows are joined by ``common.attach`` without gathering their rows; what is collected
 per row is bounded by its own words. Blocks are compared by 128 bits.
 
@@ -33,11 +36,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from undula.llm.common import attach, cut_lineage, mix64
+from undula.llm.common import attach, cut_lineage, mix64, stored
 
 WINDOW = 50
 SEED = 25
 ROOTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
+#: Bits of a sieve, 8 MB.
+MOST_BITS = 1 << 26
 #: Characters of text whose words are worked off together.
 CHUNK = 4 << 20
 
@@ -167,56 +172,100 @@ def seed_ids(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(find, "seed long, doc_id long")
 
 
-BLOCK = "row long, doc_id long, seed long, idx int, pos int, lo int, hi int, last int, block long, block2 long"
+def sieve(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """(word, bits) of a bitmap over the low bits of a hash, and its size in bits."""
+    size = min(MOST_BITS, max(1 << 10, 1 << (16 * keys.count()).bit_length()))
+    place = keys.select(F.pmod(F.col(key), F.lit(size)).alias("place"))
+    bit = F.expr("shiftleft(1L, CAST(pmod(place, 64L) AS INT))")
+    return cut_lineage(place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))), size
 
 
-def blocks(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """A row per seed of each text: its place, its windows and its block (null ``last`` without a next seed)."""
+def bitmap(words: DataFrame, size: int) -> np.ndarray:
+    out = np.zeros(size // 64, np.uint64)
+    rows = words.toPandas()
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    place = keys & np.uint64(len(bits) * 64 - 1)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def sifted(rows: DataFrame, words: DataFrame, size: int, key: str) -> DataFrame:
+    """``rows`` with a column ``maybe``: whether ``key`` passes the sieve."""
+    place = F.pmod(F.col(key), F.lit(size))
+    met = rows.withColumn("place", place).join(F.broadcast(words), F.shiftright("place", 6) == F.col("word"), "left")
+    hit = F.expr("shiftright(bits, CAST(pmod(place, 64L) AS INT)) & 1L") == 1
+    return met.withColumn("maybe", F.coalesce(hit, F.lit(False))).select(*rows.columns, "maybe")
+
+
+BLOCK = "row long, doc_id long, name binary, idx int, pos int, lo int, hi int, last int, block long, block2 long"
+
+
+def _names(*hashes: np.ndarray) -> list[bytes]:
+    """The bytes of one or more hashes per row."""
+    data = np.ascontiguousarray(np.stack(hashes, axis=1)).tobytes()
+    width = 8 * len(hashes)
+    return [data[k : k + width] for k in range(0, len(data), width)]
+
+
+def blocks(docs: DataFrame, window: int, seed: int, bits) -> DataFrame:
+    """A row per seed that passes ``bits``: its name, its windows [lo, hi] and its block [pos, last) of words."""
 
     def find(frames):
         for part in parts(frames):
             texts = Texts(part["text"], both=True)
             pos, found, lo, hi = seeds(texts.hashes[0], texts.owner, window, seed)
+            if not len(pos):
+                continue
             owner = texts.owner[pos]
-            more = np.r_[owner[1:] == owner[:-1], False] if len(pos) else np.zeros(0, bool)
-            last = np.where(more, np.roll(pos, -1), pos) + seed
-            first, second = (r.of(pos, last) for r in texts.ranges())
+            head = np.r_[True, owner[1:] != owner[:-1]]
+            first = np.maximum.accumulate(np.where(head, np.arange(len(pos)), 0))
             offset = texts.offset[owner]
+            ends = np.r_[texts.offset[1:], len(texts.owner)][owner]
+            last = np.where(np.r_[head[1:], True], ends, np.roll(pos, -1) + seed)
+            begin = np.where(head, offset, pos)
+            one, two = (r.of(begin, last) for r in texts.ranges())
+            kept = passes(bits.value, found)
             yield pd.DataFrame({
-                "row": part["row"].to_numpy()[owner], "doc_id": part["doc_id"].to_numpy()[owner], "seed": _signed(found), "idx": np.arange(len(pos)),
-                "pos": pos - offset, "lo": lo - offset, "hi": hi - offset, "last": np.where(more, last - offset, -1),
-                "block": _signed(first), "block2": _signed(second),
+                "row": part["row"].to_numpy()[owner[kept]], "doc_id": part["doc_id"].to_numpy()[owner[kept]], "name": _names(found[kept]),
+                "idx": (np.arange(len(pos)) - first)[kept], "pos": (begin - offset)[kept], "lo": (lo - offset)[kept], "hi": (hi - offset)[kept],
+                "last": (last - offset)[kept], "block": _signed(one[kept]), "block2": _signed(two[kept]),
             })
 
     return keyed(docs).mapInPandas(find, BLOCK)
 
 
 def indexed(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """The blocks whose seed is in several documents, with the reference block ``ref`` of their seed."""
+    """The blocks whose seed is in several documents: whether each is ``same`` as the reference block of its seed, and where that lies."""
     held = docs.filter("doc_id IS NOT NULL")
-    ids = seed_ids(held, window, seed).groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    shared = cut_lineage(ids.filter("least < most").select(F.col("seed").cast("string").alias("name"), "least", "n"))
-    every = blocks(held, window, seed).withColumn("name", F.col("seed").cast("string"))
-    found = cut_lineage(attach(every, shared, "name", "n").filter("least IS NOT NULL").drop("name", "n"))
-    # Only rows of the smallest document can be the reference, so a frequent seed is a row per task here.
-    first = found.filter("doc_id = least").groupBy("seed").agg(F.min(F.struct("row", "pos", "last", "block", "block2")).alias("ref"))
-    n = found.groupBy("seed").agg(F.count("*").alias("n"))
-    ref = cut_lineage(first.join(n, "seed").select(F.col("seed").cast("string").alias("name"), "ref", "n"))
-    return attach(found.withColumn("name", F.col("seed").cast("string")), ref, "name", "n").drop("name", "n")
+    ids = seed_ids(held, window, seed).groupBy("seed").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    words, size = sieve(cut_lineage(ids.filter("least < most").select("seed")), "seed")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(words, size))
+    every = stored(blocks(held, window, seed, bits), "lz-blocks")
+    # A frequent seed is one row per task here.
+    block = F.struct("doc_id", "row", "pos", "last", "block", "block2")
+    index = every.groupBy("name").agg(F.min(block).alias("ref"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    index = stored(index.filter("ref.doc_id < most").select("name", "ref", "n"), "lz-index")
+    found = attach(every, index, "name", "n").filter("ref IS NOT NULL")
+    same = (F.col("ref.doc_id") < F.col("doc_id")) & (F.col("block") == F.col("ref.block")) & (F.col("block2") == F.col("ref.block2"))
+    same = same & (F.col("last") - F.col("pos") == F.col("ref.last") - F.col("ref.pos"))
+    return found.select("row", "doc_id", "name", "idx", "pos", "lo", "hi", "last", same.alias("same"), F.col("ref.doc_id").alias("least"),
+                        F.col("ref.row").alias("ref_row"), (F.col("ref.pos") - F.col("pos")).alias("shift"))
 
 
 def parsed(found: DataFrame) -> DataFrame:
     """``found`` with the factor [start, end) in words that each block belongs to, null where it equals no reference block."""
     order = Window.partitionBy("row", "doc_id").orderBy("idx")
-    same = (F.col("least") < F.col("doc_id")) & (F.col("last") > 0) & (F.col("block") == F.col("ref.block")) & (F.col("block2") == F.col("ref.block2"))
-    same = same & (F.col("last") - F.col("pos") == F.col("ref.last") - F.col("ref.pos"))
-    rows = found.withColumn("same", same).withColumn("shift", F.col("ref.pos") - F.col("pos"))
     before = lambda c: F.lag(c).over(order)
-    goes_on = before("same") & F.col("same") & (before("idx") + 1 == F.col("idx")) & (before("shift") == F.col("shift")) & (before("ref.row") == F.col("ref.row")) & (before("least") == F.col("least"))
-    rows = rows.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("factor", F.sum("new").over(order))
+    goes_on = before("same") & F.col("same") & (before("idx") + 1 == F.col("idx"))
+    for c in ("shift", "ref_row", "least"):
+        goes_on = goes_on & (before(c) == F.col(c))
+    rows = found.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).withColumn("factor", F.sum("new").over(order))
     whole = Window.partitionBy("row", "doc_id", "factor")
     start, end = F.min("pos").over(whole), F.max("last").over(whole)
-    return rows.select("row", "doc_id", "seed", "least", "lo", "hi", F.when(F.col("same"), start).alias("start"), F.when(F.col("same"), end).alias("end"))
+    return rows.select("row", "doc_id", "name", "least", "lo", "hi", F.when(F.col("same"), start).alias("start"), F.when(F.col("same"), end).alias("end"))
 
 
 def open_ranges(parses: DataFrame, window: int) -> DataFrame:
@@ -226,11 +275,11 @@ def open_ranges(parses: DataFrame, window: int) -> DataFrame:
     short = F.col("start").isNull() | (F.col("end") - F.col("start") < window)
     ends = F.array(span(lo, F.least(hi, F.col("start") - 1)), span(F.greatest(lo, F.least(hi, F.col("start") - 1) + 1, F.col("end") - window + 1), hi))
     left = F.filter(F.when(short, F.array(span(lo, hi))).otherwise(ends), lambda r: r["lo"] <= r["hi"])
-    rows = parses.withColumn("left", left).filter(F.size("left") > 0).select("row", "doc_id", "least", F.col("seed").cast("string").alias("name"), "left")
-    rows = cut_lineage(rows)
+    rows = parses.select("row", "doc_id", "least", "name", F.inline(left))
     wanted = rows.groupBy("name").agg(F.count("*").alias("n"), F.max((F.col("least") < F.col("doc_id")).cast("int")).alias("open"))
-    found = attach(rows, cut_lineage(wanted.filter("open = 1")), "name", "n").filter("open = 1")
-    return found.groupBy("row", "doc_id").agg(F.flatten(F.collect_list("left")).alias("ranges"))
+    wanted = cut_lineage(wanted.filter("open = 1"))
+    found = attach(rows.drop("least"), wanted, "name", "n").filter("open = 1")
+    return found.groupBy("row", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
 
 def checked(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
@@ -243,29 +292,27 @@ def checked(docs: DataFrame, ranges: DataFrame, window: int) -> DataFrame:
             owner = np.repeat(np.arange(len(at)), [len(a) for a in at])
             at = np.concatenate(at)
             whole = at + texts.offset[owner]
-            first, second = (r.of(whole, whole + window) for r in texts.ranges())
-            yield pd.DataFrame({"row": part["row"].to_numpy()[owner], "doc_id": part["doc_id"].to_numpy()[owner], "at": at, "h": _signed(first), "h2": _signed(second)})
+            names = _names(*(r.of(whole, whole + window) for r in texts.ranges()))
+            yield pd.DataFrame({"row": part["row"].to_numpy()[owner], "doc_id": part["doc_id"].to_numpy()[owner], "at": at, "name": names})
 
-    own = keyed(docs).join(ranges, ["row", "doc_id"])
-    every = own.mapInPandas(find, "row long, doc_id long, at int, h long, h2 long")
-    every = cut_lineage(every.withColumn("name", F.concat_ws(",", "h", "h2")).drop("h", "h2"))
+    likely = sifted(keyed(docs), *sieve(ranges, "row"), "row").filter("maybe").drop("maybe")
+    every = stored(likely.join(ranges, ["row", "doc_id"]).mapInPandas(find, "row long, doc_id long, at int, name binary"), "lz-windows")
     least = every.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least < most")
-    found = attach(every, cut_lineage(least.drop("most")), "name", "n").filter("least < doc_id")
+    found = attach(every, stored(least.drop("most"), "lz-least"), "name", "n").filter("least < doc_id")
     return found.select("row", "doc_id", F.col("at").alias("lo"), (F.col("at") + window).alias("hi"))
 
 
 def duplicate_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
     """row, doc_id, spans (array of lo, hi in words): what each text repeats of smaller doc_ids; pieces may overlap."""
-    parses = cut_lineage(parsed(indexed(docs, window, seed)))
+    parses = stored(parsed(indexed(docs, window, seed)), "lz-parses")
     long = parses.filter(F.col("end") - F.col("start") >= window).select("row", "doc_id", F.col("start").alias("lo"), F.col("end").alias("hi"))
-    rest = checked(docs, cut_lineage(open_ranges(parses, window)), window)
+    rest = checked(docs, stored(open_ranges(parses, window), "lz-ranges"), window)
     return long.unionByName(rest).groupBy("row", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 KEPT = "n_words long, n_removed long, text string, spans array<struct<lo:int,hi:int>>"
 
 
-@F.pandas_udf(KEPT)
 def _kept(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out = []
     for t, s in zip(text, spans):
@@ -287,6 +334,11 @@ def deduplicate_passages(docs: DataFrame, window: int = WINDOW, seed: int = SEED
     """One row per document: doc_id, n_words, n_removed, text (kept words joined by a space), spans (words removed)."""
     if not 0 < seed <= window:
         raise ValueError("a seed has at least one word and no more than a window")
-    spans = cut_lineage(duplicate_spans(docs.select("doc_id", "text"), window, seed))
-    kept = _kept.asNondeterministic()(F.col("text"), F.col("spans")).alias("kept")
-    return keyed(docs).join(spans, ["row", "doc_id"], "left").select("doc_id", kept).select("doc_id", "kept.*")
+    spans = stored(duplicate_spans(docs.select("doc_id", "text"), window, seed), "lz-spans")
+    rows = sifted(keyed(docs), *sieve(spans, "row"), "row")
+    none = F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")
+    likely = rows.filter("maybe").select("doc_id", "text", "row").join(spans, ["row", "doc_id"], "left").select("doc_id", "text", "spans")
+    whole = likely.unionByName(rows.filter("NOT maybe").select("doc_id", "text", none))
+    # Not to be evaluated once for each of its fields.
+    kept = F.pandas_udf(_kept, KEPT).asNondeterministic()
+    return whole.select("doc_id", kept(F.col("text"), F.col("spans")).alias("kept")).select("doc_id", "kept.*")
