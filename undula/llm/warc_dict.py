@@ -50,17 +50,30 @@ def payloads(pages: DataFrame) -> DataFrame:
                         F.sha1(html.cast("binary")).alias("payload_digest"))
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """``payloads`` with record_type and refers_to. Html travels only with the write itself."""
-    whole = payloads(pages)
-    keys = whole.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest", "payload_bytes")
-    groups = keys.agg(F.max("page_id").alias("__keep"), F.count("*").alias("__size"))
-    groups = cut_lineage(groups.filter("__size > 1 and __keep is not null").drop("payload_bytes"))
-    found = attach(whole, groups, "payload_digest", "__size")
-    first = F.col("__keep").isNull() | F.col("page_id").eqNullSafe(F.col("__keep"))
-    return found.withColumn("record_type", F.when(first, "response").otherwise("revisit")).withColumn(
-        "refers_to", F.when(~first, F.col("__keep"))
-    ).drop("__keep", "__size")
+def revisits(pages: DataFrame) -> DataFrame:
+    """page_id, payload_digest, refers_to of the revisits, each pair once; no html leaves the scan."""
+    slim = payloads(pages).filter(F.col("payload_bytes") >= MIN_REVISIT).select("page_id", "payload_digest")
+    groups = slim.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+    groups = cut_lineage(groups.filter("n > 1 and refers_to is not null"))
+    found = attach(slim, groups, "payload_digest", "n").filter("refers_to is not null")
+    return found.filter(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "payload_digest", "refers_to").distinct()
+
+
+def dealt_records(pages: DataFrame, archives: int) -> DataFrame:
+    """``payloads`` with record_type and refers_to, dealt out to ``archives`` tasks.
+
+    Both sides are dealt by the same hash, so the one shuffle that brings the html to its archive also
+    brings the decisions to the html; these are the smaller side and are hashed, so html is not sorted.
+    """
+    place = F.xxhash64("page_id", "payload_digest").alias("place")
+    whole = payloads(pages).select("*", place).repartition(archives, "place")
+    known = revisits(pages)
+    known = known.select(place, F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "refers_to").repartition(archives, "place")
+    own = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("same")) & (F.col("payload_bytes") >= MIN_REVISIT)
+    found = whole.join(known.withColumnRenamed("place", "at").hint("shuffle_hash"), (F.col("place") == F.col("at")) & own, "left")
+    kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type")
+    html = F.when(F.col("refers_to").isNull(), F.col("html")).alias("html")
+    return found.select("page_id", "url", html, "payload_bytes", "payload_digest", kind, "refers_to")
 
 
 def fit_dictionary(pages: DataFrame) -> bytes:
@@ -109,7 +122,6 @@ def _record(row) -> bytes:
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write ``pages`` (page_id, url, html) as archives into the folder ``path``."""
-    plan = records(pages)
     dictionary = fit_dictionary(pages)
 
     def frames(batches):
@@ -124,7 +136,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
                 lead = None
 
     size = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    dealt = plan.repartition(max(1, -(-size // ARCHIVE_BYTES)), F.xxhash64("page_id", "payload_digest"))
+    dealt = dealt_records(pages, max(1, -(-size // ARCHIVE_BYTES)))
     written = dealt.mapInPandas(frames, "frame binary").select(F.col("frame").cast("string").alias("value"))
     written.write.option("lineSep", SEPARATOR).text(path)
 
