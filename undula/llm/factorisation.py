@@ -7,8 +7,8 @@ marks and characters beyond ASCII) and its n_chars as metadata. With weights w a
     y = w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2),
 
 so all pairwise interactions cost time linear in the features. The score is the logistic function
-of y. The machine is fitted by AdaGrad in one task on a bounded sample: the ``SAMPLE`` labelled
-training rows that come first by a hash. Every document is scored over its whole text.
+of y. The machine is fitted by AdaGrad in one task on the features of a bounded sample: the ``SAMPLE`` labelled
+training rows that come first by a hash, rows of a repeated doc_id included. Every document is scored over its whole text.
 
 Defined cases: null and empty texts have structure features only; a null n_chars is a step of its
 own; labels that are null or without document teach nothing, repeated ones count each; without two
@@ -131,9 +131,13 @@ def train(index: list[np.ndarray], value: list[np.ndarray], label: np.ndarray) -
 def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int = SAMPLE) -> dict:
     """The machine of ``labels`` (doc_id, quality) on rows for which ``is_training`` holds."""
     usable = labels.filter(is_training & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", "label")
-    kinds = "doc_id long, label int, index array<int>, value array<float>"
+    order = [F.xxhash64("doc_id"), "doc_id", "label"]
+    chosen = usable.orderBy(*order).limit(sample)
+    held = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("*", F.xxhash64("text", "n_chars").alias("row"))
+    # A doc_id may be in any number of rows, so the bound is on rows and labels together, and equal ones travel once.
+    picked = held.select("doc_id", "label", "row").orderBy(*order, "row").limit(sample).groupBy("doc_id", "label", "row").agg(F.count("*").alias("times"))
+    rows = held.join(F.broadcast(picked), ["doc_id", "label", "row"]).dropDuplicates(["doc_id", "label", "row"])
+    kinds = "doc_id long, label int, row long, times long, index array<int>, value array<float>"
 
     def extract(batches):
         for frame in batches:
@@ -141,17 +145,19 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int = S
                 part = frame.iloc[at : at + 200]
                 i, x, starts = features(part["text"].tolist(), _chars(part["n_chars"]))
                 cuts = starts[1:]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "label": part["label"].to_numpy(),
+                yield pd.DataFrame({**{c: part[c].to_numpy() for c in ("doc_id", "label", "row", "times")},
                                     "index": np.split(i.astype(np.int32), cuts), "value": np.split(x, cuts)})
 
     def learn(batches):
         frames = [f for f in batches if len(f)]
-        every = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["doc_id", "label", "index", "value"])
-        every = every.sort_values(["doc_id", "label"], kind="stable")
+        every = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["doc_id", "label", "row", "times", "index", "value"])
+        every = every.sort_values(["doc_id", "label", "row"], kind="stable")
+        every = every.loc[every.index.repeat(every["times"].astype(int))]
         model = train(every["index"].tolist(), every["value"].tolist(), every["label"].to_numpy(np.float32))
         yield pd.DataFrame({"w0": [model["w0"]], "w": [model["w"].tobytes()], "v": [model["v"].tobytes()]})
 
-    made = rows.mapInPandas(extract, kinds).coalesce(1).mapInPandas(learn, "w0 double, w binary, v binary").first()
+    # Only features of the sample move to the one task that fits the machine.
+    made = rows.mapInPandas(extract, kinds).repartition(1).mapInPandas(learn, "w0 double, w binary, v binary").first()
     if made is None:
         return {"w0": 0.0, "w": np.zeros(DIMENSION, np.float32), "v": np.zeros((DIMENSION, RANK), np.float32)}
     return {"w0": made["w0"], "w": np.frombuffer(made["w"], np.float32), "v": np.frombuffer(made["v"], np.float32).reshape(DIMENSION, RANK)}
