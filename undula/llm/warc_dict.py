@@ -62,15 +62,19 @@ def revisits(pages: DataFrame) -> DataFrame:
 def dealt_records(pages: DataFrame, archives: int) -> DataFrame:
     """``payloads`` with record_type and refers_to, dealt out to ``archives`` tasks.
 
-    Both sides are dealt by the same hash, so the one shuffle that brings the html to its archive also
-    brings the decisions to the html; these are the smaller side and are hashed, so html is not sorted.
+    Both sides are dealt by the same hash and joined by nothing else, so the one shuffle that brings the
+    html to its archive also brings the decisions to the html; these are the smaller side and are
+    hashed, so html is not sorted. The few decisions of one hash are told apart afterwards.
     """
     place = F.xxhash64("page_id", "payload_digest").alias("place")
     whole = payloads(pages).select("*", place).repartition(archives, "place")
-    known = revisits(pages)
-    known = known.select(place, F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "refers_to").repartition(archives, "place")
-    own = F.col("page_id").eqNullSafe(F.col("of")) & (F.col("payload_digest") == F.col("same")) & (F.col("payload_bytes") >= MIN_REVISIT)
-    found = whole.join(known.withColumnRenamed("place", "at").hint("shuffle_hash"), (F.col("place") == F.col("at")) & own, "left")
+    one = F.struct(F.col("page_id").alias("of"), F.col("payload_digest").alias("same"), "refers_to")
+    known = revisits(pages).select(place, one.alias("one")).repartition(archives, "place")
+    known = known.groupBy("place").agg(F.collect_list("one").alias("known"))
+    found = whole.join(known.hint("shuffle_hash"), "place", "left")
+    own = F.filter("known", lambda k: k["of"].eqNullSafe(F.col("page_id")) & (k["same"] == F.col("payload_digest")))
+    refers = F.when(F.col("payload_bytes") >= MIN_REVISIT, F.get(own, F.lit(0))["refers_to"])
+    found = found.withColumn("refers_to", refers)
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type")
     html = F.when(F.col("refers_to").isNull(), F.col("html")).alias("html")
     return found.select("page_id", "url", html, "payload_bytes", "payload_digest", kind, "refers_to")
