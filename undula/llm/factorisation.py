@@ -11,7 +11,7 @@ of y. The machine is fitted by AdaGrad in one task on the features of a bounded
 training rows that come first by a hash, rows of a repeated doc_id included. Every document is scored over its whole text.
 
 Defined cases: null and empty texts have structure features only; a null n_chars is a step of its
-own; labels that are null or without document teach nothing, repeated ones count each; without two
+own; labels that are null or without document teach nothing, different labels of a document count each, equal rows once; without two
 classes the score is the share of ones, smoothed; an empty table gives no rows.
 """
 
@@ -134,10 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int = S
     order = [F.xxhash64("doc_id"), "doc_id", "label"]
     chosen = usable.orderBy(*order).limit(sample)
     held = docs.select("doc_id", "text", "n_chars").join(F.broadcast(chosen), "doc_id").select("*", F.xxhash64("text", "n_chars").alias("row"))
-    # A doc_id may be in any number of rows, so the bound is on rows and labels together, and equal ones travel once.
-    picked = held.select("doc_id", "label", "row").orderBy(*order, "row").limit(sample).groupBy("doc_id", "label", "row").agg(F.count("*").alias("times"))
+    # A doc_id may be in any number of rows, so the bound is on rows and labels together; equal ones are one.
+    mixed = F.xxhash64("doc_id", "label", "row")
+    picked = held.select("doc_id", "label", "row").distinct().orderBy(mixed, *order[1:], "row").limit(sample)
     rows = held.join(F.broadcast(picked), ["doc_id", "label", "row"]).dropDuplicates(["doc_id", "label", "row"])
-    kinds = "doc_id long, label int, row long, times long, index array<int>, value array<float>"
+    kinds = "doc_id long, label int, row long, index array<int>, value array<float>"
 
     def extract(batches):
         for frame in batches:
@@ -145,14 +146,13 @@ def fit(docs: DataFrame, labels: DataFrame, is_training: Column, sample: int = S
                 part = frame.iloc[at : at + 200]
                 i, x, starts = features(part["text"].tolist(), _chars(part["n_chars"]))
                 cuts = starts[1:]
-                yield pd.DataFrame({**{c: part[c].to_numpy() for c in ("doc_id", "label", "row", "times")},
+                yield pd.DataFrame({**{c: part[c].to_numpy() for c in ("doc_id", "label", "row")},
                                     "index": np.split(i.astype(np.int32), cuts), "value": np.split(x, cuts)})
 
     def learn(batches):
         frames = [f for f in batches if len(f)]
-        every = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["doc_id", "label", "row", "times", "index", "value"])
+        every = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=["doc_id", "label", "row", "index", "value"])
         every = every.sort_values(["doc_id", "label", "row"], kind="stable")
-        every = every.loc[every.index.repeat(every["times"].astype(int))]
         model = train(every["index"].tolist(), every["value"].tolist(), every["label"].to_numpy(np.float32))
         yield pd.DataFrame({"w0": [model["w0"]], "w": [model["w"].tobytes()], "v": [model["v"].tobytes()]})
 
