@@ -43,6 +43,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    out = f"__{name}"
+    while out.lower() in {c.lower() for c in df.columns}:
+        out += "_"
+    return out
+
+
 def row_key(*cols: str) -> Column:
     """128 bits that tell rows apart by the named columns; rows equal in all of them share it."""
     given = [F.col(c) for c in cols] + [F.isnull(c) for c in cols]
@@ -65,9 +73,10 @@ def attach(rows: DataFrame, facts: DataFrame, key: str, weight: str) -> DataFram
     )
     light = facts.filter(F.col(weight) < bound).select(F.col(key).alias("__light"), *names)
     near = rows.join(F.broadcast(heavy), F.col(key) == F.col("__heavy"), "left")
+    hashable = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind]
     # Rows that are served already, or have no key, are dealt out evenly instead of by their key.
     own = F.when(F.col("__heavy").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(
-        F.concat(F.lit("~"), F.hex(F.xxhash64(*rows.columns))).cast(dict(rows.dtypes)[key])
+        F.concat(F.lit("~"), F.hex(F.xxhash64(*hashable))).cast(dict(rows.dtypes)[key])
     )
     joined = near.withColumn("__own", own).join(light, F.col("__own") == F.col("__light"), "left")
     return joined.select(

@@ -8,14 +8,18 @@ the code length of a text is exact and does not depend on order or partitioning.
 the shortest code is predicted; the score is its share of the probabilities 2^-bits.
 
 Texts are lower-cased, runs of other ASCII than letters become one space, and the context before
-the first byte is spaces. The trees are fitted on a bounded sample: of each language the
-``PER_LANGUAGE`` training documents that come first by a hash, whole. The grams of all languages
+the first byte is spaces. A long text is worked off in pieces that know the bytes before them. The
+trees are fitted on a bounded sample: of each language ``PER_LANGUAGE`` training documents by hash,
+whole, and no more rows than that where a doc_id is in many. A share by hash is drawn from the counts first, so that only a few times
+the sample is ranked. The grams of all languages
 share one table with a column per language in which the escapes are already followed, so one lookup
 scores a position for all languages.
 
 Defined cases: ``und`` with score 0 if the text is null or has no letters, or if nothing was learned;
 equal code lengths go to the smallest language name; rows without lang, text or doc_id teach nothing;
-repeated rows get equal results; an empty table gives no rows.
+repeated rows get equal results; an empty table gives no rows. ``keep_identified`` drops texts without
+letters and, where languages were learned, texts for which each takes ``EXCESS_BITS`` more than the plain bytes; the others go on with
+the predicted language. Without learned languages texts with letters go on as they are.
 """
 
 from __future__ import annotations
@@ -26,11 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from undula.llm.common import bounded
+from undula.llm.common import bounded, fresh
 
 ORDER = 4
 #: Bound of the training sample, in documents per language (at most 1000, so that it is cut before its shuffle).
 PER_LANGUAGE = 400
+#: A text is in no learned language if each takes so many bits more than the plain bytes: odds of 2 ** 40, which a few
+#: odd letters do not reach. Unseen scripts cost about 3 bits a byte more, letters at random less than 8 in all.
+EXCESS_BITS = 40.0
 UNKNOWN = "und"
 CHUNK = 1 << 20
 LETTERS = bytes(b if b > 127 or chr(b).isalpha() else 0x20 for b in range(256))
@@ -47,10 +54,17 @@ def has_letters(text: str | None, form: bytes) -> bool:
 
 
 def grams(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER + 1 bytes up to each position of each form as a number, and the end of each form."""
-    pad = b" " * ORDER
-    data = np.frombuffer(b"".join(pad + f for f in forms), np.uint8).astype(np.uint64)
-    lengths = np.fromiter(map(len, forms), np.int64, len(forms))
+    """``part_grams`` of whole forms."""
+    return part_grams([(b" " * ORDER, f) for f in forms])
+
+
+def part_grams(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The ORDER + 1 bytes up to each position of each part as a number, and the end of each part.
+
+    A part is (the ORDER bytes before it, its bytes).
+    """
+    data = np.frombuffer(b"".join(lead + body for lead, body in parts), np.uint8).astype(np.uint64)
+    lengths = np.fromiter((len(body) for _, body in parts), np.int64, len(parts))
     starts = np.cumsum(lengths + ORDER) - (lengths + ORDER)
     own = np.ones(len(data), bool)
     own[(starts[:, None] + np.arange(ORDER)).ravel()] = False
@@ -60,16 +74,20 @@ def grams(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return found[own], np.cumsum(lengths)
 
 
-def chunks(forms: list[bytes]):
-    """Groups of whole forms of about CHUNK bytes, as (from, to)."""
-    at, size = 0, 0
+def pieces(forms: list[bytes]):
+    """(numbers of the forms, parts) of at most CHUNK bytes; a longer form is cut."""
+    numbers, parts, size = [], [], 0
     for k, f in enumerate(forms):
-        size += len(f)
-        if size >= CHUNK:
-            yield at, k + 1
-            at, size = k + 1, 0
-    if at < len(forms):
-        yield at, len(forms)
+        for at in range(0, len(f), CHUNK):
+            body = f[at : at + CHUNK]
+            if parts and size + len(body) > CHUNK:
+                yield np.array(numbers), parts
+                numbers, parts, size = [], [], 0
+            numbers.append(k)
+            parts.append(((b" " * ORDER + f[max(0, at - ORDER) : at])[-ORDER:], body))
+            size += len(body)
+    if parts:
+        yield np.array(numbers), parts
 
 
 def count_grams(sample: DataFrame) -> DataFrame:
@@ -78,9 +96,8 @@ def count_grams(sample: DataFrame) -> DataFrame:
     def run(batches):
         for frame in batches:
             for lang, part in frame.groupby("lang"):
-                forms = [f for f in map(normalised, part["text"]) if f]
-                for a, b in chunks(forms):
-                    whole, _ = grams(forms[a:b])
+                for _, parts in pieces([f for f in map(normalised, part["text"]) if f]):
+                    whole, _ = part_grams(parts)
                     for size in range(1, ORDER + 2):
                         keys, n = np.unique(whole & np.uint64((1 << 8 * size) - 1), return_counts=True)
                         yield pd.DataFrame({"lang": lang, "size": size, "gram": keys.astype(np.int64), "n": n.astype(np.int64)})
@@ -165,43 +182,54 @@ def code_bits(model: dict, whole: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(model: dict, texts) -> tuple[list[str], list[float]]:
+def score_texts(model: dict, texts) -> tuple[list[str], list[float], list[float]]:
+    """Language, score and bits beyond those of plain bytes of each text; the bits are null for a text that is not coded."""
     forms = [normalised(t) for t in texts]
-    names, scores = [UNKNOWN] * len(forms), [0.0] * len(forms)
+    names, scores, rates = [UNKNOWN] * len(forms), [0.0] * len(forms), [None] * len(forms)
     use = [k for k, f in enumerate(forms) if has_letters(texts[k], f)] if model["langs"] else []
     kept = [forms[k] for k in use]
-    for a, b in chunks(kept):
-        whole, ends = grams(kept[a:b])
-        bits = np.add.reduceat(code_bits(model, whole).astype(np.float64), np.concatenate(([0], ends[:-1])))
+    bits = np.zeros((len(kept), len(model["langs"])))
+    for numbers, parts in pieces(kept):
+        whole, ends = part_grams(parts)
+        np.add.at(bits, numbers, np.add.reduceat(code_bits(model, whole).astype(np.float64), np.concatenate(([0], ends[:-1]))))
+    if use:
         best = bits.argmin(axis=1)
-        share = 1.0 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0)).sum(axis=1)
-        for k, lang, s in zip(use[a:b], best, share):
-            names[k], scores[k] = model["langs"][lang], float(s)
-    return names, scores
+        least = bits.min(axis=1, keepdims=True)
+        share = 1.0 / np.exp2(np.maximum(least - bits, -1000.0)).sum(axis=1)
+        for k, f, lang, s, b in zip(use, kept, best, share, least[:, 0]):
+            names[k], scores[k], rates[k] = model["langs"][lang], float(s), float(b) - 8.0 * len(f)
+    return names, scores, rates
 
 
 def fit(docs: DataFrame, is_training: Column, per_language: int = PER_LANGUAGE) -> dict:
     """The model of the rows of ``docs`` (doc_id, text, lang) for which ``is_training`` holds."""
     rows = docs.filter(is_training & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    by = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("doc_id", "lang", F.row_number().over(by).alias("__rank"))
-    chosen = ranked.filter(F.col("__rank") <= per_language).select("doc_id", "lang").distinct()
-    sample = rows.filter("text is not null").select("doc_id", "lang", "text").join(bounded(chosen, 100_000), ["doc_id", "lang"], "left_semi")
+    # A share of each language, four times the sample on average, is drawn where the rows are; only those are ranked.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("__n"))
+    place = F.xxhash64(F.lit("draw"), "doc_id")
+    share = F.least(F.lit(1 << 20), F.ceil((1 << 20) * (4.0 * per_language + 64) / F.col("__n")))
+    drawn = rows.select("doc_id", "lang").join(bounded(counts, 100_000), "lang").filter(F.pmod(place, F.lit(1 << 20)) < share)
+    ranked = drawn.select("doc_id", "lang").distinct().withColumn("__rank", F.row_number().over(W.partitionBy("lang").orderBy(place, "doc_id")))
+    chosen = ranked.filter(F.col("__rank") <= per_language).select("doc_id", "lang")
+    found = rows.filter("text is not null").select("doc_id", "lang", "text").join(bounded(chosen, 100_000), ["doc_id", "lang"], "left_semi")
+    again = W.partitionBy("lang").orderBy(place, "doc_id", F.xxhash64("text"))
+    sample = found.withColumn("__rank", F.row_number().over(again)).filter(F.col("__rank") <= per_language)
     return build_model(count_grams(sample).toPandas())
 
 
 def predict(docs: DataFrame, model: dict, out: str) -> DataFrame:
-    """``docs`` with a struct column ``out``: lang, score."""
+    """``docs`` with a struct column ``out``: lang, score, excess (bits)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, excess double")
     def run(text: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
+        names, scores, rates = [], [], []
         for at in range(0, len(text), 500):
-            n, s = score_texts(shared.value, text.iloc[at : at + 500].tolist())
+            n, s, b = score_texts(shared.value, text.iloc[at : at + 500].tolist())
             names += n
             scores += s
-        return pd.DataFrame({"lang": names, "score": scores})
+            rates += b
+        return pd.DataFrame({"lang": names, "score": scores, "excess": pd.array(rates, "Float64")})
 
     return docs.withColumn(out, run.asNondeterministic()("text"))
 
@@ -214,6 +242,12 @@ def identify(docs: DataFrame, is_training: Column, per_language: int = PER_LANGU
 
 
 def keep_identified(docs: DataFrame, is_training: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """``docs`` without the rows whose language is unknown, all columns as they were."""
-    found = predict(docs, fit(docs, is_training, per_language), "__found")
-    return found.filter(F.col("__found.lang") != UNKNOWN).drop("__found")
+    """``docs`` in their predicted languages, without the rows that have none; the other columns as they were."""
+    model = fit(docs, is_training, per_language)
+    if not model["langs"]:
+        letters = F.pandas_udf(lambda text: text.map(lambda t: has_letters(t, normalised(t))), "boolean")
+        return docs.filter(letters.asNondeterministic()("text"))
+    name = fresh(docs, "found")
+    found = predict(docs, model, name)
+    kept = found.filter((F.col(f"{name}.lang") != UNKNOWN) & (F.col(f"{name}.excess") <= EXCESS_BITS))
+    return kept.select(*[F.col(f"{name}.lang").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
