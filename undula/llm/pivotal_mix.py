@@ -105,36 +105,40 @@ def pivot(weights, probs, u) -> tuple[list, int | None, float]:
     return out, hold, p
 
 
-UNIT = "key string, source string, place long, weight double, prob double, extra int"
+UNIT = "key string, source string, place long, width long, weight double, prob double, extra int"
 
 
-def _meet(level: int, last: bool):
+def _meet(level: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["weight", "key"], kind="stable").reset_index(drop=True)
-        u = draws(frame["key"], level)
+        # Large units meet first, so that what is left at the end of a source tends to be small.
+        frame = frame.sort_values(["weight", "key"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        u, last = draws(frame["key"], level), int(frame["width"].iloc[0]) == 1
         out, hold, p = pivot(frame["weight"].tolist(), frame["prob"].tolist(), u)
         if hold is not None:
             frame.loc[hold, "prob"] = p
             if last:
                 out[hold] = int(draws(frame["key"][hold : hold + 1], level + 1000)[0] < p)
-        return frame.assign(extra=pd.array(out, "Int32"))[["key", "source", "place", "weight", "prob", "extra"]]
+        return frame.assign(extra=pd.array(out, "Int32"))[["key", "source", "place", "width", "weight", "prob", "extra"]]
 
     return run
 
 
 def decide(units: DataFrame) -> DataFrame:
     """key, extra (0 or 1) for units (key, source, weight > 0, 0 < prob < 1)."""
-    width = max(1, -(-units.count() // GROUP_UNITS))
-    state = units.withColumn("place", F.pmod(F.xxhash64("key"), F.lit(width)))
-    decided, level = [], 0
+    # A source has as many groups as its own units fill; each level of the tree joins FAN_IN of them.
+    sizes = cut_lineage(units.groupBy("source").agg(F.ceil(F.count("*") / GROUP_UNITS).cast("long").alias("width")))
+    own = bounded(sizes.withColumnRenamed("source", "of"), MOST_BROADCAST)
+    state = units.join(own, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    state = state.withColumn("place", F.pmod(F.xxhash64("key"), F.col("width")))
+    widest, decided, level = sizes.agg(F.max("width")).first()[0] or 1, [], 0
     while True:
-        last = width == 1
-        met = cut_lineage(state.groupBy("source", "place").applyInPandas(_meet(level, last), UNIT))
+        met = cut_lineage(state.groupBy("source", "place").applyInPandas(_meet(level), UNIT))
         decided.append(met.filter("extra is not null").select("key", "extra"))
-        if last:
+        if widest == 1:
             break
-        state = met.filter("extra is null").drop("extra").withColumn("place", F.floor(F.col("place") / FAN_IN))
-        width, level = -(-width // FAN_IN), level + 1
+        shrunk = F.ceil(F.col("width") / FAN_IN).cast("long")
+        state = met.filter("extra is null").drop("extra").withColumn("place", F.floor(F.col("place") / FAN_IN)).withColumn("width", shrunk)
+        widest, level = -(-widest // FAN_IN), level + 1
     out = decided[0]
     for more in decided[1:]:
         out = out.union(more)
