@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import attach, components, cut_lineage, mix64, row_key, word_hashes, words_of
+from undula.llm.common import attach, components, cut_lineage, fresh, mix64, row_key, word_hashes, words_of
 
 SHINGLE = 5
 #: Similarity as a fraction, 4 / 5.
@@ -285,6 +285,7 @@ def keep_one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     Of rows that are equal in doc_id and text one stays.
     """
     classes = _joined(docs, recall).filter(F.col("key") == F.col("class_key"))
-    kept = classes.select(F.col("key").alias("__key")).distinct()
-    rows = docs.withColumn("__key", row_key("doc_id", "text")).join(kept, "__key").dropDuplicates(["__key"])
+    name = fresh(docs, "key")
+    kept = classes.select(F.col("key").alias(name)).distinct()
+    rows = docs.withColumn(name, row_key("doc_id", "text")).join(kept, name).dropDuplicates([name])
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,9 @@ their last document is deleted. A filter that overflows is built again at twice
 stored digests, so nothing is ever refused.
 
 ``deduplicate`` streams all digests of a bucket through such an index; ``build_index`` stores the
-indexes as rows and ``update_index`` inserts into and deletes from them.
+indexes as rows and ``update_index`` inserts into and deletes from them. Which document is the largest
+live one after a deletion is read from the table of ``members`` (digest, doc_id, copies), of which only
+the digests that change are looked up; a hot digest is many rows there and never one list.
 
 Hot groups: each task sums equal digests of a batch before they are shuffled, and the decisions
 return to the documents by ``common.attach``, which leaves hot digests where they are.
@@ -22,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
+from array import array
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,6 +109,16 @@ class LiveIndex:
             del self.content[digest]
             self.filter.delete(digest)
 
+    def put(self, digest: bytes, doc_id, copies: int) -> None:
+        """What is live of a text now: its largest doc_id and its documents, none to forget it."""
+        if copies <= 0:
+            if digest in self.content:
+                self.delete(digest, self.content[digest][1])
+        elif digest in self.content:
+            self.content[digest] = [doc_id, copies]
+        else:
+            self.insert(digest, doc_id, copies)
+
     def _grow(self) -> None:
         size = self.filter.size
         while True:
@@ -184,14 +197,18 @@ INDEX = "bucket long, buckets long, filter binary, digests long, false_hits long
 
 
 def _stored(bucket: int, buckets: int, index: LiveIndex) -> pd.DataFrame:
-    state = pickle.dumps((index.filter.size, index.filter.table, index.filter.state, index.content))
+    # Marks are never 0, which stands for a free slot.
+    marks = array("H", [m for place in index.filter.table for m in (place + [0] * SLOTS)[:SLOTS]]).tobytes()
+    state = pickle.dumps((index.filter.size, marks, index.filter.state, index.content))
     return pd.DataFrame([(bucket, buckets, state, len(index.content), index.false_hits, index.resizes)],
                         columns=["bucket", "buckets", "filter", "digests", "false_hits", "resizes"])
 
 
 def _loaded(row) -> LiveIndex:
     index = LiveIndex()
-    index.filter.size, index.filter.table, index.filter.state, index.content = pickle.loads(row["filter"])
+    index.filter.size, marks, index.filter.state, index.content = pickle.loads(row["filter"])
+    slots = array("H", marks).tolist()
+    index.filter.table = [[m for m in slots[k : k + SLOTS] if m] for k in range(0, len(slots), SLOTS)]
     return index
 
 
@@ -206,22 +223,49 @@ def build_index(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     return _bucketed(keys, buckets).groupBy("bucket").applyInPandas(run, INDEX)
 
 
-def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+def members(docs: DataFrame) -> DataFrame:
+    """digest, doc_id, copies of all documents: what is live, to be kept beside an index that deletes."""
+    return digests(docs).groupBy("digest", "doc_id").agg(F.count("*").alias("copies"))
+
+
+def changed_members(live: DataFrame, inserts: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``live`` after inserting and deleting the given documents."""
+    gone = members(deletes).withColumn("copies", -F.col("copies"))
+    every = live.unionByName(members(inserts)).unionByName(gone)
+    return every.groupBy("digest", "doc_id").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+
+
+def update_index(index: DataFrame, inserts: DataFrame, deletes: DataFrame, live: DataFrame | None = None) -> DataFrame:
     """The stored indexes after inserting and then deleting the given documents.
 
-    A deleted document must have been inserted; the largest doc_id of a text that loses documents
+    ``live`` are the members before the change; with them the largest live doc_id of each text is right
+    after any deletion. Without them a deleted document must have been inserted, and the largest doc_id of a text that loses documents
     stays on record until its last document goes. ``index`` is read twice.
     """
     buckets = (index.agg(F.max("buckets")).first()[0]) or 1
+    if live is not None:
+        touched = digests(inserts).select("digest").union(digests(deletes).select("digest")).distinct()
+        after = changed_members(live.join(touched, "digest", "left_semi"), inserts, deletes)
+        now = after.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.sum("copies").alias("copies"))
+        change = touched.join(now, "digest", "left").select("digest", "doc_id", F.coalesce("copies", F.lit(0)).alias("copies"))
+        change = change.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+
+        def replace(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+            held = _loaded(old.iloc[0]) if len(old) else LiveIndex(len(new))
+            for digest, doc_id, copies in zip(new["digest"], new["doc_id"].astype("Int64"), new["copies"]):
+                held.put(digest, None if doc_id is pd.NA else int(doc_id), int(copies))
+            return _stored(key[0], buckets, held)
+
+        return index.groupBy("bucket").cogroup(change.groupBy("bucket")).applyInPandas(replace, INDEX)
     change = _bucketed(digests(inserts), buckets).withColumn("sign", F.lit(1)).union(
         _bucketed(digests(deletes), buckets).withColumn("sign", F.lit(-1))
     )
 
     def run(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        live = _loaded(old.iloc[0]) if len(old) else LiveIndex(len(new))
-        _fill(live, new[new["sign"] > 0])
+        held = _loaded(old.iloc[0]) if len(old) else LiveIndex(len(new))
+        _fill(held, new[new["sign"] > 0])
         for digest, copies in zip(new["digest"][new["sign"] < 0], new["copies"][new["sign"] < 0]):
-            live.delete(digest, int(copies))
-        return _stored(key[0], buckets, live)
+            held.delete(digest, int(copies))
+        return _stored(key[0], buckets, held)
 
     return index.groupBy("bucket").cogroup(change.groupBy("bucket")).applyInPandas(run, INDEX)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import cut_lineage, words_of
+from undula.llm.common import cut_lineage, fresh, words_of
 
 WINDOW = 13
 #: Benchmark text per automaton; a larger benchmark is worked off in blocks of this size.
@@ -158,5 +158,5 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without contaminated rows, all columns as they were."""
-    found = scan(docs, benchmark, "__found", window)
-    return found.filter(~is_contaminated(F.col("__found"))).drop("__found")
+    name = fresh(docs, "found")
+    return scan(docs, benchmark, name, window).filter(~is_contaminated(F.col(name))).drop(name)
