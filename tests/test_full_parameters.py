@@ -32,7 +32,11 @@ def test_detection_is_whole(spark, monkeypatch, name, windows, calls):
         nodes = edges.select("graph_id", F.explode(F.array("i", "j")).alias("node")).distinct()
         return nodes.select("graph_id", F.lit(0).alias("gamma_idx"), F.lit(0).alias("run"), "node", F.lit(1).alias("community"))
 
+    def shares(edges, gammas, runs, seed=0):
+        return com.contingency(alone(edges, gammas, runs, seed), diagonal=False)
+
     monkeypatch.setattr(com, "detect_communities", alone)
+    monkeypatch.setattr(com, "consensus_weights", shares)
     all_queries()[name](spark, SF_DIR)
     assert seen == calls
     if windows:
@@ -44,16 +48,15 @@ def test_detection_is_whole(spark, monkeypatch, name, windows, calls):
     "name, ks", [("h1_kmeans_states", [4]), ("h2_elbow_curve", list(range(2, 10))), ("h3_silhouette", [4])]
 )
 def test_states_are_fitted_to_the_end(spark, monkeypatch, name, ks):
-    seen, fit = [], st.fit_states
+    seen, fit = [], st.fit_many
 
-    def once(*args, **kw):
-        given = inspect.signature(fit).bind(*args, **kw)
-        given.apply_defaults()
-        seen.append(tuple(given.arguments[a] for a in ("k", "restarts", "max_iter")))
-        given.arguments["restarts"] = given.arguments["max_iter"] = 1
-        return fit(*given.args, **given.kwargs)
+    def once(features, ks, seeds, max_iter):
+        seen.extend((k, ks.count(k), max_iter) for k in sorted(set(ks)))
+        assert len(set(zip(ks, seeds))) == len(ks)
+        few = [ks.index(k) for k in sorted(set(ks))]
+        return [f for f in fit(features, [ks[i] for i in few], [seeds[i] for i in few], 1) for _ in range(len(ks) // len(few))]
 
-    monkeypatch.setattr(st, "fit_states", once)
+    monkeypatch.setattr(st, "fit_many", once)
     found = all_queries()[name](spark, SF_DIR)
     assert seen == [(k, 100, 100) for k in ks]
     if name == "h2_elbow_curve":

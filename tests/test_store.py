@@ -44,3 +44,51 @@ def test_merge_counts_missing_cells(spark):
     merged = store.merge_onto_grid(parts, grid, ["id", "w"])
     assert store.count_missing(merged, "v").first().n_missing == 4
     assert merged.where(F.col("v").isNotNull()).count() == 2
+
+
+def test_only_the_manifest_is_believed(spark, tmp_path, monkeypatch):
+    path, calls = str(tmp_path / "killed"), []
+    signals = signals_df(spark, {0: np.random.default_rng(1).normal(size=(20, 3))})
+
+    def compute(window_size, lag):
+        calls.append(window_size)
+        return con.dfc_stream(signals, window_size, lag)
+
+    # A job that is lost after its files and before its manifest row.
+    con.dfc_stream(signals, 6, 1).where("frame < 3").write.partitionBy("window_size", "lag").parquet(f"{path}/runs/run=dead")
+    assert store.load(spark, path) is None and store.load(spark, path, window_size=6, lag=1) is None
+    whole = store.read_through(spark, path, lambda: compute(6, 1), window_size=6, lag=1)
+    assert calls == [6] and whole.count() == 15 * 3 and whole.columns.count("window_size") == 1
+    entries = store.manifest(spark, path).collect()
+    assert [(r.window_size, r.lag, r.rows) for r in entries] == [(6, 1, 45)]
+    assert store.load(spark, path, window_size=7) is None
+
+    # The last save of a parameter set counts, also beside a lost one.
+    store.save(con.dfc_stream(signals, [6, 8], 1).where("frame < 4"), path)
+    found = {r.window_size: r["count"] for r in store.load(spark, path).groupBy("window_size").count().collect()}
+    assert found == {6: 12, 8: 12}
+    store.save(con.dfc_stream(signals, 9, 1).limit(0), path)
+    assert store.load(spark, path, window_size=9) is None
+
+
+def test_tolerant_scan_keeps_what_can_be_read(spark, tmp_path):
+    path = tmp_path / "series"
+    signals_df(spark, {0: np.ones((4, 2))}).coalesce(1).write.parquet(str(path / "a"))
+    spark.createDataFrame([(1, None, 0, 2.0), (1, 0, 0, 3.0)], tables.SIGNALS).coalesce(1).write.parquet(str(path / "b"))
+    spark.createDataFrame([("x", "y")], "subject string, t string").coalesce(1).write.parquet(str(path / "foreign"))
+    (path / "damaged").mkdir()
+    (path / "damaged" / "part-0.parquet").write_bytes(b"PAR1 this is no parquet file PAR1")
+    rows, rejected = tables.tolerant_scan(spark, f"{path}/*")
+    assert rows.count() == 9 and rows.columns == tables.SIGNALS.fieldNames()
+    found = {(r.file.split("/")[-2], r.reason): r.n for r in rejected.collect()}
+    assert found.pop(("b", "no key")) == 1
+    assert {name for name, _ in found} == {"damaged", "foreign"}
+
+
+def test_tolerant_scan_of_csv(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("subject,t,region,value\n0,0,0,1.5\n0,x,1,2\n0,1,,3\n0,2,0,\n")
+    (tmp_path / "b.csv").write_text("subject,t,region,value\n")
+    rows, rejected = tables.tolerant_scan(spark, str(tmp_path), kind="csv")
+    assert sorted((r.t, r.value) for r in rows.collect()) == [(0, 1.5), (2, None)]
+    found = {(r.file.split("/")[-1], r.reason): r.n for r in rejected.collect()}
+    assert found == {("a.csv", "broken row"): 1, ("a.csv", "no key"): 1, ("b.csv", "not readable or empty"): 0}

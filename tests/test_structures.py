@@ -196,3 +196,80 @@ def test_alignment_is_validated(spark):
         prep.validate_alignment(signals, good.where("subject = 1"))
     with pytest.raises(ValueError):
         prep.validate_alignment(signals, good.withColumn("n", F.lit(6)), "n")
+
+
+# ---- adaptive cells, run trees, assignment, frame checks
+
+
+def test_crowded_values_are_cut_into_cells(spark, monkeypatch):
+    from undula.operators import order_stats as ost
+
+    monkeypatch.setattr(ost, "CELL_BUDGET", 100)
+    rng = np.random.default_rng(2)
+    near = 5.0 + rng.uniform(0, 1e-6, 4000)
+    nested = 9.0 + rng.uniform(0, 1e-9, 2000)
+    values_ = [("a", float(v)) for v in near] + [("b", float(v)) for v in [*nested, 9.01, -3.0, 0.0]] + [("c", 1.0)] * 500
+    df = spark.createDataFrame(values_, "k string, v double")
+    cells = ost.in_cells(ost.value_counts(df, ["k"], "v"), ["k"], "v")
+    assert cells.groupBy("k", *ost.CELL).count().agg(F.max("count")).first()[0] <= 3 * 100
+    ranks = ost.average_rank(df, ["k"], "v", "rank").collect()
+    for key in "abc":
+        own = sorted(v for k, v in values_ if k == key)
+        first, count = {}, {}
+        for n, v in enumerate(own):
+            first.setdefault(v, n)
+            count[v] = count.get(v, 0) + 1
+        assert all(r["rank"] == first[r["v"]] + (count[r["v"]] + 1) / 2 for r in ranks if r["k"] == key)
+    got = {(r.k, r.level_idx): r["quantile"] for r in ost.quantiles(df, ["k"], "v", [0.1, 0.5, 0.99]).collect()}
+    for key in "abc":
+        own = [v for k, v in values_ if k == key]
+        assert [got[key, n] for n in range(3)] == pytest.approx(np.quantile(own, [0.1, 0.5, 0.99]).tolist(), abs=1e-14)
+
+
+def test_run_tree_equals_plain_runs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.integers(0, 3, 90), rng.integers(1, 60, 90))
+    want, begin = [], 0
+    for t in range(1, len(x) + 1):
+        if t == len(x) or x[t] != x[t - 1]:
+            want.append((begin, int(x[begin]), t - begin))
+            begin = t
+    df = spark.createDataFrame([(t, int(v)) for t, v in enumerate(x)], "t int, x int")
+    for block, fan, levels in ((7, 4, 6), (5, 3, 8), (4096, 1 << 20, 2), (7, 1 << 20, 2)):
+        monkeypatch.setattr(st, "FAN", fan)
+        monkeypatch.setattr(st, "TREE_LEVELS", levels)
+        assert sorted((r.start, r.x, r.length) for r in st.runs(df, [], "t", "x", block).collect()) == want
+    plan = st.runs(df, [], "t", "x")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_best_assignment_equals_brute_force(spark):
+    import itertools
+
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a, b = rng.integers(1, 7, 2)
+        gain = np.where(rng.uniform(size=(a, b)) < 0.6, rng.integers(1, 9, (a, b)), 0).astype(float)
+        pairs = com.best_assignment(gain)
+        assert len({r for r, _ in pairs}) == len({c for _, c in pairs}) == len(pairs)
+        wide = np.concatenate([gain, np.zeros((a, a))], axis=1)
+        best = max(sum(wide[r, c] for r, c in enumerate(p)) for p in itertools.permutations(range(a + b), int(a))) if a + b <= 8 else None
+        if best is not None:
+            assert sum(gain[r, c] for r, c in pairs) == best
+    rows = [(0, a, b, n) for a, b, n in ((1, 1, 5), (1, 2, 4), (2, 1, 4), (2, 2, 1), (3, 2, 3))]
+    overlap = spark.createDataFrame(rows, "run int, label int, ref_label int, n int")
+    got = {r.label: r.ref_label for r in com.assign_labels(overlap, ["run"]).collect()}
+    assert got in ({1: 1, 3: 2}, {1: 2, 2: 1}) and com.assign_labels(overlap.limit(0), ["run"]).count() == 0
+
+
+def test_too_few_frames_fail_when_read(spark):
+    from helpers import stream_df
+
+    from undula.operators import speed as spd
+
+    stream = stream_df(spark, np.random.default_rng(1).normal(size=(3, 20)))
+    assert spd.dfc_speed(stream, 19).count() == 0
+    for step in (20, 300):
+        with pytest.raises(Exception, match="must be less than number of frames"):
+            spd.dfc_speed(stream, step).collect()
+        assert spd.dfc_speed(stream, step, check_frames=False).count() == 0

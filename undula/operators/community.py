@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from undula.functions.partitioning import cut_lineage
 from undula.functions.similarity import safe_corr
+from undula.operators import packed_detection
 from undula.operators.connectivity import unfold_pairs
 from undula.operators.order_stats import average_rank_bounded, medians
 from undula.operators.pairing import correlate_items
@@ -32,8 +35,39 @@ ROUNDS_LIMIT = 10_000
 def detect_communities(edges: DataFrame, gammas: Sequence[float], runs: int, seed: int = 0) -> DataFrame:
     """Communities of many signed weighted graphs at once, for every gamma and run.
 
-    ``edges`` is (graph_id, i, j, w), each undirected edge once. All graphs move together: in each
-    round every node weighs the gain of joining each neighbouring community, and a hashed half of
+    ``edges`` is (graph_id, i, j, w), each undirected edge once; rows (graph_id, gamma_idx, run, node,
+    community). Graphs of at most ``PACKED_NODES`` nodes are packed, one row a graph, and all their trials are
+    moved together inside tasks; larger ones move in rounds of joins.
+    """
+    small, large = _by_size(edges)
+    found = packed_detection.partitions(small, gammas, runs, seed)
+    return found.unionByName(detect_in_rounds(large, gammas, runs, seed)) if large is not None else found
+
+
+def consensus_weights(edges: DataFrame, gammas: Sequence[float], runs: int, seed: int = 0) -> DataFrame:
+    """Contingency of the detected communities over all gammas and runs: (graph_id, i, j, w), i > j."""
+    small, large = _by_size(edges)
+    found = packed_detection.co_assignment(small, gammas, runs, seed)
+    if large is None:
+        return found
+    return found.unionByName(contingency(detect_in_rounds(large, gammas, runs, seed), diagonal=False))
+
+
+def _by_size(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Edges of graphs that are packed, and those of larger graphs if there are any."""
+    edges = cut_lineage(edges.select("graph_id", "i", "j", "w"))
+    limit = packed_detection.PACKED_NODES
+    # A graph with so few links has no more nodes than that; only the others' nodes are counted.
+    many = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit / 2).select("graph_id")
+    ends = edges.join(many, "graph_id", "left_semi").select("graph_id", F.explode(F.array("i", "j")).alias("_node")).distinct()
+    big = cut_lineage(ends.groupBy("graph_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select("graph_id"))
+    if big.isEmpty():
+        return edges, None
+    return edges.join(big, "graph_id", "left_anti"), edges.join(big, "graph_id", "left_semi")
+
+
+def detect_in_rounds(edges: DataFrame, gammas: Sequence[float], runs: int, seed: int = 0) -> DataFrame:
+    """The same for graphs of any size, as joins: in each round every node weighs the gain of joining each neighbouring community, and a hashed half of
     the nodes takes its best move, until none wants to move. Then communities become the nodes and
     move the same way, level after level, until a level changes nothing. Runs differ by seed.
     """
@@ -242,9 +276,9 @@ def allegiance_communities(
     gamma. Returns (graph_id, node, community, pos) and (graph_id, i, j, w).
     """
     gammas = gamma_range(count=gamma_count)
-    weights = contingency(detect_communities(edges, gammas, runs, seed), diagonal=False)
+    weights = consensus_weights(edges, gammas, runs, seed)
     if twice:
-        weights = contingency(detect_communities(weights, gammas, runs, seed + 10), diagonal=False)
+        weights = consensus_weights(weights, gammas, runs, seed + 10)
     weights = cut_lineage(weights)
     final = detect_communities(weights, [final_gamma], 1, seed + 20)
     return with_positions(final.select("graph_id", "node", "community")), weights
@@ -288,7 +322,7 @@ def temporal_mean(weights: DataFrame, keys: Sequence[str] = ("subject",)) -> Dat
 def temporal_consensus(mean_weights: DataFrame, runs: int = 100, gamma: float = 1.0, seed: int = 0) -> DataFrame:
     """Partition of each subject's mean contingency: many runs, their agreement share, its communities."""
     edges = mean_weights.select(F.col("subject").alias("graph_id"), "i", "j", "w")
-    shared = cut_lineage(contingency(detect_communities(edges, [gamma], runs, seed), diagonal=False))
+    shared = cut_lineage(consensus_weights(edges, [gamma], runs, seed))
     final = detect_communities(shared, [gamma], 1, seed + 1)
     return final.select(F.col("graph_id").alias("subject"), "node", "community")
 
@@ -349,6 +383,69 @@ def align_labels(overlap: DataFrame, keys: Sequence[str]) -> DataFrame:
             return found
 
 
+def assign_labels(overlap: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One-to-one map label -> ref_label of the largest total overlap: (keys, label, ref_label, n).
+
+    The overlap table of a key has at most as many rows as its graph has nodes, so it is packed into one
+    row. Labels without an overlapping partner stay unmapped. Of several best maps the one found by adding labels in
+    ascending order along shortest paths is taken.
+    """
+    keys = list(keys)
+    cells = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("label", "int"), ("ref_label", "int"), ("n", "long"))])))
+    packed = overlap.where("n > 0").groupBy(*keys).agg(cells.alias("_o"))
+    return packed.select(*keys, F.explode(_best_cells("_o")).alias("_m")).select(*keys, "_m.*")
+
+
+def _best_cells(overlaps: str) -> Column:
+    """The cells (label, ref_label, n) of the best one-to-one map."""
+
+    def solve(tables: pd.Series) -> pd.Series:
+        out = []
+        for cells in tables:
+            labels, refs = sorted({c["label"] for c in cells}), sorted({c["ref_label"] for c in cells})
+            gain = np.zeros((len(labels), len(refs)))
+            for c in cells:
+                gain[labels.index(c["label"]), refs.index(c["ref_label"])] = c["n"]
+            out.append([{"label": labels[a], "ref_label": refs[b], "n": int(gain[a, b])} for a, b in best_assignment(gain)])
+        return pd.Series(out)
+
+    kind = T.ArrayType(T.StructType([T.StructField("label", T.IntegerType()), T.StructField("ref_label", T.IntegerType()), T.StructField("n", T.LongType())]))
+    return F.pandas_udf(solve, kind)(overlaps)
+
+
+def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the largest total gain, each row and column at most once; pairs without gain are left out.
+
+    Shortest augmenting paths with prices, one row after another; a row may also stay single.
+    """
+    rows, columns = gain.shape
+    # Columns beyond the real ones stand for staying single.
+    cost = np.concatenate([-gain, np.zeros((rows, rows))], axis=1)
+    wide = columns + rows
+    price, reduced, owner = np.zeros(wide), np.zeros(rows), np.full(wide, -1)
+    for r in range(rows):
+        far, back, seen = np.full(wide, np.inf), np.full(wide, -1), np.zeros(wide, bool)
+        row, at, length = r, -1, 0.0
+        while True:
+            step = length + cost[row] - reduced[row] - price
+            closer = ~seen & (step < far)
+            far[closer], back[closer] = step[closer], at
+            at = int(np.where(seen, np.inf, far).argmin())
+            length, seen[at] = far[at], True
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        passed = np.flatnonzero(seen & (owner >= 0))
+        reduced[owner[passed]] += length - far[passed]
+        reduced[r] += length
+        price[seen] += far[seen] - length
+        while at >= 0:
+            before = int(back[at])
+            owner[at] = r if before < 0 else owner[before]
+            at = before
+    return [(int(owner[c]), c) for c in range(columns) if owner[c] >= 0 and gain[owner[c], c] > 0]
+
+
 def align_across_windows(partitions: DataFrame, keys: Sequence[str] = ("graph_id",)) -> DataFrame:
     """Each window's label goes to the label it overlaps most with, pooled over the other windows.
 

@@ -5,9 +5,9 @@ sample (a set bounded by the number of channels) are packed into one row, and pa
 unfolded from it, so only single-region rows are shuffled.
 
 Sliding windows run on blocks of consecutive samples that carry the ``window - 1`` samples
-of the next block along. Rows are shuffled once by (subject, block); the packing, the pair
-expansion and the window frames all reuse that partitioning. A subject that holds most of
-the samples is spread over as many tasks as it has blocks.
+of the next block along. Rows are shuffled once by (subject, block); the packing and the windows
+of every size (``sliding``) reuse that partitioning. A subject that holds most of the samples is
+spread over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from undula.functions.partitioning import spread
 from undula.functions.similarity import check_method, phase_locking, safe_corr
 from undula.operators.pairing import correlate_items
+from undula.operators.sliding import packed_blocks, window_scores
 
 FC_METHODS = ("pearson", "plv")
 LAYOUTS = ("triangle", "full")
@@ -141,60 +142,12 @@ def _score(method: str):
 
 
 def _sliding(signals, windows, lag, keys, method, diagonal):
+    """Windows that overlap much: blocks of samples are packed, every size reads the same running sums."""
     span = max(256, 8 * max(windows))
     first = F.greatest(F.floor((F.col("t") - (max(windows) - 1)) / span), F.lit(0))
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("t") / span).cast("int")))
     blocked = spread(signals.select(*keys, "t", "region", "value", block.alias("block")), *keys, "block")
-    place = [*keys, "block"]
-    scaled = blocked.select(*place, "t", "region", _with_spread(place, windows, method).alias("value"))
-    pairs = unfold_pairs(sample_vectors(scaled, place), [*place, "t"], diagonal)
-    pairs = pairs.select(
-        *place, "t", "i", "j", F.col("x.v").alias("x"), F.col("y.v").alias("y"), F.col("x.s").alias("sx"), F.col("y.s").alias("sy")
-    )
-    per_pair = W.partitionBy(*place, "i", "j").orderBy("t")
-    scores = []
-    for k, size in enumerate(windows):
-        frame = per_pair.rangeBetween(0, size - 1)
-        spread_x, spread_y = F.get("sx", F.lit(k)), F.get("sy", F.lit(k))
-        if method == "pearson":
-            covariance = F.covar_samp("x", "y").over(frame)
-            score = F.coalesce(F.try_divide(covariance, spread_x * spread_y), F.lit(0.0))
-        else:
-            agree = F.when((F.col("x") < 0) == (F.col("y") < 0), F.lit(1.0)).otherwise(F.lit(-1.0))
-            score = F.abs(F.avg(agree).over(frame))
-        scores.append(
-            F.struct(F.lit(size).alias("window_size"), F.when(spread_x.isNotNull(), score).alias("fc"))
-        )
-    starts_here = (F.floor(F.col("t") / span) == F.col("block")) & (F.col("t") % lag == 0)
-    return (
-        pairs.select(*place, "t", "i", "j", F.array(*scores).alias("scores"))
-        .select(*place, "t", "i", "j", F.explode("scores").alias("s"))
-        .where(starts_here & F.col("s.fc").isNotNull())
-        .select(
-            *keys,
-            F.col("s.window_size").alias("window_size"),
-            F.lit(lag).alias("lag"),
-            (F.col("t") / lag).cast("int").alias("frame"),
-            "i",
-            "j",
-            F.col("s.fc").alias("fc"),
-        )
-    )
-
-
-def _with_spread(place, windows, method):
-    """The sample and, per window size, the spread of the window that starts at it.
-
-    The spread belongs to a region, so it is taken before pairs multiply the rows. NULL marks an
-    incomplete window; phase locking needs only that mark.
-    """
-    per_region = W.partitionBy(*place, "region").orderBy("t")
-    spreads = []
-    for size in windows:
-        frame = per_region.rangeBetween(0, size - 1)
-        spread = F.stddev_samp("value").over(frame) if method == "pearson" else F.lit(1.0)
-        spreads.append(F.when(F.count(F.lit(1)).over(frame) == size, spread))
-    return F.struct(F.col("value").alias("v"), F.array(*spreads).alias("s"))
+    return window_scores(packed_blocks(blocked, keys), keys, windows, lag, span, method, diagonal)
 
 
 def _stepped(signals, size, lag, keys, method, diagonal):

@@ -4,8 +4,10 @@ A group may hold a third of all rows, so no group is ever sorted by one task.
 Values are first collapsed to (value, weight) with map-side combine, which removes
 ties. Each value then falls into a cell by a fixed monotone rule (its logarithm, cut
 finely); rows are sorted inside (group, cell) only, and the totals of the cells before
-give the offset. The rule needs no pass over the data and does not depend on the order
-in which rows arrive, so a recomputed task lands every row in the same cell.
+give the offset. A cell with more values than a budget is cut evenly between its smallest and its
+largest value, and what is still too full once more, from counts that are combined in the tasks.
+The rules do not depend on the order in which rows arrive, so a recomputed task lands every row in
+the same cell.
 """
 
 from __future__ import annotations
@@ -15,6 +17,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CELLS_PER_OCTAVE = 128
+#: Distinct values that one cell may hold before it is cut.
+CELL_BUDGET = 1 << 18
+#: At most so many cells are cut at a time, which bounds the table of them that is broadcast.
+MOST_CUT = 50_000
+#: A cell is cut by its logarithm, then twice evenly.
+CELL = ["_cell", "_cell1", "_cell2"]
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -38,20 +46,20 @@ def running_totals(df: DataFrame, keys: Sequence[str], value: str, weights: Sequ
 
     ``df`` holds one row per (keys, value). Columns beside keys, value and weights pass through.
     """
-    cell_key = [*keys, "_cell"]
-    celled = _whole_keys(df, keys).withColumn("_cell", cell_of(value))
+    cell_key = [*keys, *CELL]
+    celled = in_cells(_whole_keys(df, keys), keys, value)
     totals = celled.groupBy(*cell_key).agg(*[F.sum(w).alias(f"_in_cell_{w}") for w in weights])
     whole = W.partitionBy(*keys)
     offsets = totals.select(
         *cell_key,
-        *[_before(keys, "_cell", f"_in_cell_{w}").alias(f"_offset_{w}") for w in weights],
+        *[_before(keys, CELL, f"_in_cell_{w}").alias(f"_offset_{w}") for w in weights],
         *[F.sum(f"_in_cell_{w}").over(whole).alias(f"total_{w}") for w in weights],
     )
-    local = celled.select("*", *[_before(cell_key, value, w).alias(f"_local_{w}") for w in weights])
+    local = celled.select("*", *[_before(cell_key, [value], w).alias(f"_local_{w}") for w in weights])
     joined = local.join(offsets, cell_key)
     before = [(F.col(f"_offset_{w}") + F.col(f"_local_{w}")).alias(f"before_{w}") for w in weights]
     return joined.select("*", *before).drop(
-        "_cell", *[f"_local_{w}" for w in weights], *[f"_offset_{w}" for w in weights]
+        *CELL, *[f"_local_{w}" for w in weights], *[f"_offset_{w}" for w in weights]
     )
 
 
@@ -62,6 +70,28 @@ def cell_of(value: str) -> Column:
     return F.coalesce(F.when(v > 0, size).when(v < 0, -size).otherwise(0), F.lit(0))
 
 
+def in_cells(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``df`` (one row per keys and value) with the columns ``CELL``, in whose order cells follow one another.
+
+    Cells above ``CELL_BUDGET``, or above a ``MOST_CUT``-th of all values if that is more, are cut into
+    parts of that size on average. Values that crowd inside such a part are cut by the second pass.
+    """
+    celled = df.withColumn(CELL[0], cell_of(value))
+    for k in (1, 2):
+        place = [*keys, *CELL[:k]]
+        v = F.col(value).cast("double")
+        sizes = celled.groupBy(*place).agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        total = sizes.agg(F.greatest(F.lit(CELL_BUDGET), F.coalesce(F.sum("_n"), F.lit(0)) / MOST_CUT).alias("_most"))
+        full = sizes.crossJoin(F.broadcast(total)).where((F.col("_n") > F.col("_most")) & (F.col("_hi") > F.col("_lo")))
+        parts = F.least(F.ceil(F.col("_n") / F.col("_most")), F.lit(1 << 20)).alias("_parts")
+        full = full.select(*[F.col(c).alias(f"_of_{c}") for c in place], "_lo", "_hi", parts)
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in place]
+        part = F.least(F.floor((v - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_parts")), F.col("_parts") - 1)
+        cut = celled.join(F.broadcast(full), same, "left")
+        celled = cut.select(*celled.columns, F.coalesce(part, F.lit(0)).cast("int").alias(CELL[k]))
+    return celled
+
+
 def average_rank(
     df: DataFrame, keys: Sequence[str], value: str, out: str
 ) -> DataFrame:
@@ -93,13 +123,13 @@ def order_statistics(
     that contain a wanted position are sorted. ``many`` finds the cells of the positions by one
     sort per group instead of a scan per position.
     """
-    keys, cell_key = list(keys), [*keys, "_cell"]
-    celled = value_counts(df, keys, value).withColumn("_cell", cell_of(value))
+    keys, cell_key = list(keys), [*keys, *CELL]
+    celled = in_cells(value_counts(df, keys, value), keys, value)
     totals = celled.groupBy(*cell_key).agg(F.sum("cnt").alias("_in_cell"))
-    spans = totals.select("*", _before(keys, "_cell", "_in_cell").alias("_start"))
+    spans = totals.select("*", _before(keys, CELL, "_in_cell").alias("_start"))
     hits = (_cells_by_sort if many else _cells_by_scan)(spans, keys, positions)
-    hits = hits.groupBy(*keys, "n", "_cell", "_start").agg(F.collect_list("_w").alias("_hits"))
-    here = F.col("_start") + _before(cell_key, value, "cnt")
+    hits = hits.groupBy(*keys, "n", *CELL, "_start").agg(F.collect_list("_w").alias("_hits"))
+    here = F.col("_start") + _before(cell_key, [value], "cnt")
     mine = F.filter(
         "_hits", lambda p: (p["pos"] >= F.col("_here")) & (p["pos"] < F.col("_here") + F.col("cnt"))
     )
@@ -114,31 +144,31 @@ def order_statistics(
 def _cells_by_scan(spans: DataFrame, keys: Sequence[str], positions: Column) -> DataFrame:
     """Wanted positions with their cells; a group has as many cells as its values span octaves, times a constant."""
     groups = spans.groupBy(*keys).agg(
-        F.sum("_in_cell").alias("n"), F.collect_list(F.struct("_start", "_in_cell", "_cell")).alias("_spans")
+        F.sum("_in_cell").alias("n"), F.collect_list(F.struct("_start", "_in_cell", *CELL)).alias("_spans")
     )
     wanted = groups.select(*keys, "n", "_spans", F.explode(positions).alias("_w"))
     pos = F.col("_w.pos")
     holder = F.filter("_spans", lambda c: (pos >= c["_start"]) & (pos < c["_start"] + c["_in_cell"]))
     return wanted.select(*keys, "n", "_w", F.get(holder, F.lit(0)).alias("_c")).select(
-        *keys, "n", "_w", "_c._cell", "_c._start"
+        *keys, "n", "_w", *[f"_c.{c}" for c in CELL], "_c._start"
     )
 
 
 def _cells_by_sort(spans: DataFrame, keys: Sequence[str], positions: Column) -> DataFrame:
     groups = spans.groupBy(*keys).agg(F.sum("_in_cell").alias("n"))
     wanted = groups.select(*keys, "n", F.explode(positions).alias("_w")).withColumn("_at", F.col("_w.pos"))
-    edges = spans.select(*keys, F.col("_start").alias("_at"), F.struct("_cell", "_start").alias("_c"))
+    edges = spans.select(*keys, F.col("_start").alias("_at"), F.struct(*CELL, "_start").alias("_c"))
     upto = W.partitionBy(*keys).orderBy("_at", F.col("_w").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     return (
         edges.unionByName(wanted, allowMissingColumns=True)
         .withColumn("_c", F.last("_c", ignorenulls=True).over(upto))
         .where(F.col("_w").isNotNull())
-        .select(*keys, "n", "_w", "_c._cell", "_c._start")
+        .select(*keys, "n", "_w", *[f"_c.{c}" for c in CELL], "_c._start")
     )
 
 
-def _before(keys: Sequence[str], order: str, weight: str) -> Column:
-    rows_before = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+def _before(keys: Sequence[str], order: Sequence[str], weight: str) -> Column:
+    rows_before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return F.coalesce(F.sum(weight).over(rows_before), F.lit(0))
 
 

@@ -27,13 +27,15 @@ def dfc_speed(
     count: str = "unified",
     matrix: str = "triangle",
     keys: Sequence[str] = ("subject",),
-    check_frames: bool = False,
+    check_frames: bool | None = None,
 ) -> DataFrame:
     """Speeds of a stream: rows (keys, window_size, frame1, frame2, speed).
 
     ``unified`` yields n - step - 1 speeds, clipped to [-1, 2]; ``classic`` yields n - step,
     unclipped. ``full`` compares whole matrices (both triangles and a unit diagonal).
-    ``check_frames`` runs a count and raises when a stream has too few frames.
+    A stream with no more than ``step`` frames is an error: the job that reads the speeds fails, without
+    any pass of its own for the check. ``check_frames`` True counts first and raises here; False gives
+    such streams no rows.
     """
     _check_step(step)
     check_method(method)
@@ -42,7 +44,7 @@ def dfc_speed(
     if check_frames:
         require_frames(dfc, step, keys)
     guard = step + 1 if count == "unified" else step
-    speeds = _speeds(dfc, 0, step, guard, method, keys, matrix, clipped=count == "unified")
+    speeds = _speeds(dfc, 0, step, guard, method, keys, matrix, clipped=count == "unified", strict=check_frames is None)
     return speeds.drop("tau")
 
 
@@ -234,15 +236,24 @@ def _compared(pairs, stream, method, clipped):
     )
 
 
-def _speeds(dfc, tau, step, guard, method, keys, matrix, clipped):
-    """Similarity of frame f with f + step, where frame f + guard exists, at one step for all streams."""
+def _speeds(dfc, tau, step, guard, method, keys, matrix, clipped, strict=False):
+    """Similarity of frame f with f + step, where frame f + guard exists, at one step for all streams.
+
+    Block 0 holds more frames than ``step``, so a stream is too short if all that it has lie there.
+    """
     stream = [*keys, "window_size"]
     blocked, span = _blocked(_packed_frames(dfc, stream, method, matrix), stream, max(step, guard))
     ahead = W.partitionBy(*stream, "block").orderBy("frame")
+    usable = (F.floor(F.col("frame") / span) == F.col("block")) & F.col("guarded").isNotNull()
+    if strict:
+        blocked = blocked.withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*stream, "block")))
+        short = (F.col("block") == 0) & (F.col("_n") <= step)
+        message = F.concat(F.lit(f"step ({step}) must be less than number of frames ("), F.col("_n").cast("string"), F.lit(")"))
+        usable = F.when(short, F.raise_error(message).cast("boolean")).otherwise(usable)
     paired = (
         blocked.withColumn("b", F.lead("links", step).over(ahead))
         .withColumn("guarded", F.lead("frame", guard).over(ahead))
-        .where((F.floor(F.col("frame") / span) == F.col("block")) & F.col("guarded").isNotNull())
+        .where(usable)
         .select(
             *stream, "block", F.lit(tau).alias("tau"), F.col("frame").alias("frame1"), (F.col("frame") + step).alias("frame2"),
             F.col("links").alias("a"), "b",

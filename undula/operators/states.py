@@ -4,56 +4,134 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from undula.functions.partitioning import cut_lineage
 from undula.operators.connectivity import fc_matrix
+from undula.operators.kmeans import fit_many
 from undula.operators.order_stats import running_totals
+from undula.operators.pairing import tile_pairs
 from undula.operators.prep import zscore_by_region
 
 BLOCK = 4096
+#: Blocks, or stretches of blocks, whose border runs meet in one task; two levels reach 2 ** 52 samples.
+FAN = 1 << 20
+TREE_LEVELS = 2
 
 
 # ---- clustering ------------------------------------------------------------------------
 
 
 def sample_features(signals: DataFrame) -> DataFrame:
-    """Z-scored sample vectors: (subject, t, features); a constant region contributes 0."""
+    """Z-scored sample vectors: (subject, t, features array<double>); a constant region contributes 0."""
     scaled = zscore_by_region(signals)
     packed = F.array_sort(F.collect_list(F.struct("region", F.coalesce("value", F.lit(0.0)).alias("value"))))
-    return scaled.groupBy("subject", "t").agg(packed.alias("_p")).select(
-        "subject", "t", array_to_vector(F.col("_p.value")).alias("features")
-    )
+    return scaled.groupBy("subject", "t").agg(packed.alias("_p")).select("subject", "t", F.col("_p.value").alias("features"))
+
+
+def fit_states(features: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 100, restarts: int = 100) -> np.ndarray:
+    """The centres (k, regions) of the cheapest of several restarts, all fitted in the same passes."""
+    found = fit_many(features, [k] * restarts, [seed + r for r in range(restarts)], max_iter)
+    return min(found, key=lambda f: f[0])[1]
+
+
+def assign_states(centres: np.ndarray, features: DataFrame) -> DataFrame:
+    """(subject, t, cluster): the nearest centre of each sample, the first of equally near ones."""
+    return features.select("subject", "t", _nearest(centres)("features").cluster.alias("cluster"))
 
 
-def fit_states(features: DataFrame, k: int = 4, seed: int = 42, max_iter: int = 100, restarts: int = 100) -> KMeansModel:
-    """K-means over all subjects' samples, the best of several seeds by training cost."""
-    data = cut_lineage(features)
-    best = None
-    for attempt in range(restarts):
-        model = KMeans(k=k, seed=seed + attempt, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(data)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+def assignment_cost(centres: np.ndarray, features: DataFrame) -> DataFrame:
+    """(cluster, n, inertia): samples of each centre and the sum of their squared distances."""
+    rows = features.select(_nearest(centres)("features").alias("_n")).select("_n.*")
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("distance").alias("inertia"))
 
 
-def assign_states(model: KMeansModel, features: DataFrame) -> DataFrame:
-    return model.transform(features).select("subject", "t", "cluster")
+def _nearest(centres: np.ndarray):
+    @F.pandas_udf("cluster int, distance double")
+    def near(features: pd.Series) -> pd.DataFrame:
+        x = np.vstack(features) if len(features) else np.zeros((0, centres.shape[1]))
+        # differences, not products: exact zeros for samples that are centres
+        d = np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+        own = d.argmin(axis=1)
+        return pd.DataFrame({"cluster": own.astype(np.int32), "distance": d[np.arange(len(x)), own]})
+
+    return near.asNondeterministic()
 
 
 def elbow_curve(features: DataFrame, ks: Sequence[int] = range(2, 10), seed: int = 42, max_iter: int = 100, restarts: int = 100) -> DataFrame:
-    """Training cost per number of clusters: (k, inertia)."""
-    data = cut_lineage(features)
-    rows = [(k, float(fit_states(data, k, seed, max_iter, restarts).summary.trainingCost)) for k in ks]
-    return features.sparkSession.createDataFrame(rows, "k int, inertia double")
+    """Least cost per number of clusters: (k, inertia). All clusters and restarts share each pass."""
+    trials = [(k, seed + r) for k in ks for r in range(restarts)]
+    found = fit_many(features, [k for k, _ in trials], [s for _, s in trials], max_iter)
+    least: dict[int, float] = {}
+    for (k, _), (cost, _) in zip(trials, found):
+        least[k] = min(cost, least.get(k, cost))
+    return features.sparkSession.createDataFrame(sorted(least.items()), "k int, inertia double")
+
+
+#: Samples of one tile of the all-pairs distances of a silhouette.
+SILHOUETTE_TILE = 1024
+
+
+def silhouette_samples(labelled: DataFrame, tile: int = SILHOUETTE_TILE) -> DataFrame:
+    """Euclidean silhouette of every sample: (subject, t, cluster, silhouette) from (subject, t, cluster, features).
+
+    Every two tiles of samples meet once; a task adds up the true distances from each sample to each
+    cluster of the other tile, so that no pair leaves it. A sample alone in its cluster has 0.
+    """
+    keyed = labelled.select(F.struct("subject", "t").alias("_item"), "cluster", "features")
+    sizes = keyed.groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"))
+    tiles = tile_pairs(keyed, [], "_item", ["cluster", "features"], tile)
+    side = lambda a, b: _distance_sums(F.col(f"{a}.features"), F.col(f"{b}.features"), F.col(f"{b}.cluster"))
+
+    def half(frame, a, b):
+        met = frame.select(F.col(f"{a}._item").alias("_i"), F.col(f"{a}.cluster").alias("_own"), side(a, b).alias("_s"))
+        rows = met.select(F.explode(F.arrays_zip("_i", "_own", "_s")).alias("_r"))
+        return rows.select(F.col("_r._i").alias("_item"), F.col("_r._own").alias("_own"), F.explode("_r._s").alias("_c")).select(
+            "_item", "_own", F.col("_c.cluster").alias("cluster"), F.col("_c.total").alias("_total")
+        )
+
+    sums = half(tiles, "a", "b").unionByName(half(tiles.where("not same"), "b", "a"))
+    totals = sums.groupBy("_item", "_own", "cluster").agg(F.sum("_total").alias("_total"))
+    mine = F.col("cluster") == F.col("_own")
+    scored = totals.join(F.broadcast(sizes), "cluster").groupBy("_item", "_own").agg(
+        F.max(F.when(mine, F.try_divide("_total", F.col("_size") - 1))).alias("_a"),
+        F.max(F.when(mine, F.col("_size"))).alias("_n"),
+        F.min(F.when(~mine, F.col("_total") / F.col("_size"))).alias("_b"),
+    )
+    score = F.when(F.col("_n") > 1, F.coalesce(F.try_divide(F.col("_b") - F.col("_a"), F.greatest("_a", "_b")), F.lit(0.0))).otherwise(0.0)
+    return scored.select("_item.subject", "_item.t", F.col("_own").alias("cluster"), F.when(F.col("_b").isNotNull(), score).alias("silhouette"))
+
+
+def mean_silhouette(labelled: DataFrame) -> DataFrame:
+    """One row (n, silhouette) of (subject, t, cluster, features); null with fewer than two clusters."""
+    return silhouette_samples(labelled).agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))
+
+
+def silhouette(centres: np.ndarray, features: DataFrame) -> float:
+    """Mean Euclidean silhouette of the samples under their nearest centres."""
+    labelled = features.select("subject", "t", "features", _nearest(centres)("features").cluster.alias("cluster"))
+    return mean_silhouette(cut_lineage(labelled)).first()["silhouette"]
+
+
+_SUMS = T.ArrayType(T.ArrayType(T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("total", T.DoubleType())])))
 
 
-def silhouette(model: KMeansModel, features: DataFrame) -> float:
-    """Squared-Euclidean silhouette, which needs only the cluster moments, not all distances."""
-    return ClusteringEvaluator(predictionCol="cluster", featuresCol="features").evaluate(model.transform(features))
+@F.pandas_udf(_SUMS)
+def _distance_sums(a: pd.Series, b: pd.Series, clusters: pd.Series) -> pd.Series:
+    """For each vector of ``a`` the summed distance to the vectors of each cluster of ``b``."""
+    out = []
+    for p, q, c in zip(a, b, clusters):
+        p, q = np.vstack(p), np.vstack(q)
+        # by column, so that equal samples are at distance 0 exactly
+        square = np.zeros((len(p), len(q)))
+        for k in range(p.shape[1]):
+            square += (p[:, k][:, None] - q[:, k][None, :]) ** 2
+        names, own = np.unique(np.asarray(c), return_inverse=True)
+        sums = np.sqrt(square) @ np.eye(len(names))[own]
+        out.append([[{"cluster": int(n), "total": float(v)} for n, v in zip(names, row)] for row in sums])
+    return pd.Series(out)
 
 
 # ---- state networks --------------------------------------------------------------------
@@ -118,7 +196,9 @@ def runs(df: DataFrame, keys: Sequence[str], order: str, label: str, block: int
     """Run-length encoding of a gap-free series: (keys, label, start, length).
 
     The series is cut into blocks, each encoded by itself, so a long one is spread over many tasks.
-    Only the first and last run of every block are then compared across the block borders.
+    Only the first and last run of a block are compared with those of other blocks, in a tree: first
+    within stretches of ``FAN`` blocks, then what touches the ends of those among themselves. No task
+    gets more than two rows of each of ``FAN`` blocks.
     """
     keys = list(keys)
     at = F.col(order)
@@ -131,19 +211,32 @@ def runs(df: DataFrame, keys: Sequence[str], order: str, label: str, block: int
         .withColumn("_run", F.sum("_open").over(inside.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*keys, "_b", "_run", label)
         .agg(F.min("_t").alias("start"), (F.max("_t") + 1).alias("_end"))
+        .select(*keys, label, "start", "_end")
     )
-    at_edge = (F.col("start") == F.col("_b") * block) | (F.col("_end") == (F.col("_b") + 1) * block)
-    across = W.partitionBy(*keys).orderBy("start")
+    # written once: inner runs and the tree of border runs both read it
+    open_, width, done = cut_lineage(pieces), block, []
+    for _ in range(TREE_LEVELS):
+        edge = (F.pmod("start", F.lit(width)) == 0) | (F.pmod("_end", F.lit(width)) == 0)
+        done.append(open_.where(~edge))
+        width *= FAN
+        open_ = _joined_runs(open_.where(edge), keys, label, width)
+    for part in done:
+        open_ = open_.unionByName(part)
+    return open_.select(*keys, label, "start", (F.col("_end") - F.col("start")).alias("length"))
+
+
+def _joined_runs(pieces: DataFrame, keys: list[str], label: str, width: int) -> DataFrame:
+    """Neighbouring runs of the same label within stretches of ``width`` samples as one."""
+    stretch = pieces.withColumn("_s", F.floor(F.col("start") / F.lit(width)))
+    across = W.partitionBy(*keys, "_s").orderBy("start")
     continues = (F.lag("_end").over(across) == F.col("start")) & F.lag(label).over(across).eqNullSafe(F.col(label))
-    merged = (
-        pieces.where(at_edge)
-        .withColumn("_new", (~F.coalesce(continues, F.lit(False))).cast("int"))
+    return (
+        stretch.withColumn("_new", (~F.coalesce(continues, F.lit(False))).cast("int"))
         .withColumn("_group", F.sum("_new").over(across.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy(*keys, "_group", label)
+        .groupBy(*keys, "_s", "_group", label)
         .agg(F.min("start").alias("start"), F.max("_end").alias("_end"))
+        .select(*keys, label, "start", "_end")
     )
-    whole = pieces.where(~at_edge).select(*keys, label, "start", "_end").unionByName(merged.select(*keys, label, "start", "_end"))
-    return whole.select(*keys, label, "start", (F.col("_end") - F.col("start")).alias("length"))
 
 
 def activation_events(active: DataFrame, keys: Sequence[str] = ("subject", "i", "j")) -> DataFrame:

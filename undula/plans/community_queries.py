@@ -170,6 +170,25 @@ def align_to_reference(spark, sf_dir):
     return com.align_labels(overlap(spark, sf_dir), WINDOW)
 
 
+# Every one-to-one map, label after label, each with one of its free partners or with none.
+OPTIMAL = """lab AS (SELECT graph_id, gamma_idx, run, label, row_number() OVER (PARTITION BY graph_id, gamma_idx, run ORDER BY label) AS k FROM (SELECT DISTINCT graph_id, gamma_idx, run, label FROM ov)),
+opt AS (SELECT graph_id, gamma_idx, run, n AS pn, ref_label, k FROM ov JOIN lab USING (graph_id, gamma_idx, run, label)
+  UNION ALL SELECT graph_id, gamma_idx, run, 0, NULL, k FROM lab),
+m AS (SELECT graph_id, gamma_idx, run, 0::BIGINT AS k, 0::BIGINT AS total, []::INTEGER[] AS used FROM (SELECT DISTINCT graph_id, gamma_idx, run FROM ov)
+  UNION ALL SELECT m.graph_id, m.gamma_idx, m.run, o.k, total + pn, CASE WHEN ref_label IS NULL THEN used ELSE list_append(used, ref_label) END
+  FROM m JOIN opt o ON o.graph_id = m.graph_id AND o.gamma_idx = m.gamma_idx AND o.run = m.run AND o.k = m.k + 1 WHERE ref_label IS NULL OR NOT list_contains(used, ref_label))"""
+
+
+@query(
+    "g12_optimal_alignment",
+    q.ctes(*PARTS, OVERLAP, OPTIMAL).replace("WITH", "WITH RECURSIVE", 1)
+    + "SELECT graph_id, gamma_idx, run, CAST(max(total) AS BIGINT) AS n FROM m GROUP BY ALL",
+)
+def optimal_alignment(spark, sf_dir):
+    """The total overlap of the best map; the map itself need not be the only best one."""
+    return com.assign_labels(overlap(spark, sf_dir), WINDOW).groupBy(*WINDOW).agg(F.sum("n").alias("n"))
+
+
 @query(
     "g13_align_across_windows",
     q.ctes(

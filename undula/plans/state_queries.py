@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from undula.functions.partitioning import ensure_checkpoint_dir
 from undula.functions.similarity import rounded
 from undula.operators import connectivity as con, manifold as man, pooling as pool, states as st
 from undula.plans import fragments as q
 from undula.plans.catalog import query
-from undula.plans.network_queries import BASE
+from undula.plans.network_queries import BASE, stream
 from undula.sources import store, tables as src
 
 N_STATES = 4
@@ -39,6 +43,51 @@ def silhouette(spark, sf_dir):
     return spark.createDataFrame([(N_STATES, float(score))], "k int, silhouette double")
 
 
+FEATURES = """zm AS (SELECT region, avg(value) AS m, stddev_pop(value) AS s FROM sig GROUP BY region),
+feat AS (SELECT subject, t, list(coalesce((value - m) / nullif(s, 0), 0) ORDER BY region) AS x FROM sig JOIN zm USING (region) GROUP BY subject, t)"""
+# Given centres: the first samples of the four smallest subjects.
+NEAREST = f"""cent AS (SELECT row_number() OVER (ORDER BY subject) - 1 AS cluster, x AS c FROM feat WHERE t = 0 QUALIFY row_number() OVER (ORDER BY subject) <= {N_STATES}),
+near AS (SELECT subject, t, cluster, d FROM (SELECT subject, t, cluster, list_sum(list_transform(range(1, len(x) + 1), lambda k: (x[k] - c[k]) * (x[k] - c[k]))) AS d FROM feat, cent)
+  QUALIFY row_number() OVER (PARTITION BY subject, t ORDER BY d, cluster) = 1)"""
+
+
+def given_centres(features):
+    first = features.where("t = 0").orderBy("subject").limit(N_STATES).collect()
+    return np.array([r["features"] for r in first])
+
+
+@query("h1_nearest_centres", q.ctes(q.SIGNALS, FEATURES, NEAREST) + "SELECT subject, t, CAST(cluster AS INTEGER) AS cluster FROM near")
+def nearest_centres(spark, sf_dir):
+    """The assignment step of k-means for centres that SQL can restate."""
+    features = st.sample_features(src.signals(spark, sf_dir))
+    return st.assign_states(given_centres(features), features)
+
+
+@query(
+    "h2_assignment_cost",
+    q.ctes(q.SIGNALS, FEATURES, NEAREST) + f"SELECT CAST(cluster AS INTEGER) AS cluster, count(*) AS n, {q.rnd('sum(d)', 4)} AS inertia FROM near GROUP BY cluster",
+)
+def assignment_cost(spark, sf_dir):
+    features = st.sample_features(src.signals(spark, sf_dir))
+    return st.assignment_cost(given_centres(features), features).withColumn("inertia", rounded("inertia", 4))
+
+
+@query(
+    "h3_silhouette_of_labels",
+    q.ctes(
+        q.SIGNALS, FEATURES, q.STATES,
+        "lab AS (SELECT row_number() OVER () AS id, cluster, x FROM feat JOIN states USING (subject, t))",
+        "pairs AS (SELECT a.id, a.cluster AS own, b.cluster, sum(sqrt(list_sum(list_transform(range(1, len(a.x) + 1), lambda k: (a.x[k] - b.x[k]) * (a.x[k] - b.x[k]))))) AS total, count(*) AS n FROM lab a, lab b GROUP BY ALL)",
+        "s AS (SELECT id, max(CASE WHEN own = cluster THEN total / nullif(n - 1, 0) END) AS a, max(CASE WHEN own = cluster THEN n END) AS n, min(CASE WHEN own <> cluster THEN total / n END) AS b FROM pairs GROUP BY id)",
+    )
+    + f"SELECT count(*) AS n, {q.rnd('avg(CASE WHEN b IS NOT NULL THEN CASE WHEN n > 1 THEN coalesce((b - a) / nullif(greatest(a, b), 0), 0) ELSE 0 END END)')} AS silhouette FROM s",
+)
+def silhouette_of_labels(spark, sf_dir):
+    signals = src.signals(spark, sf_dir)
+    labelled = st.sample_features(signals).join(labels(signals), ["subject", "t"])
+    return st.mean_silhouette(labelled).withColumn("silhouette", rounded("silhouette"))
+
+
 STATE_FC = f"""sfc0 AS (SELECT cluster, i, j, {q.corr('x', 'y')} AS fc FROM pr JOIN states USING (subject, t) GROUP BY cluster, i, j),
 sfc AS (SELECT g.cluster, g.i, g.j, coalesce(s.fc, 0) AS fc
   FROM (SELECT c.cluster, p.i, p.j FROM (SELECT unnest(range({N_STATES})) AS cluster) c, (SELECT DISTINCT i, j FROM pr) p) g
@@ -228,6 +277,47 @@ def fluidity_percentiles(spark, sf_dir):
 # ---- stored results --------------------------------------------------------------------
 
 
+def scratch_store(spark, name):
+    """A new folder for stored results below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+STORED = f"SELECT subject, window_size, count(*) AS n, {q.rnd('sum(fc)', 4)} AS total FROM dfc GROUP BY ALL"
+
+
+def summary(stored):
+    total = rounded(F.sum("fc"), 4).alias("total")
+    return stored.groupBy("subject", "window_size").agg(F.count("fc").alias("n"), total)
+
+
+@query("a24_store_round_trip", q.ctes(*BASE, q.dfc(24)) + STORED)
+def store_round_trip(spark, sf_dir):
+    """A stream of two window sizes is stored, one of them stored again, and the other one read back by its parameters."""
+    path = scratch_store(spark, "round-trip")
+    found = stream(spark, sf_dir, windows=[24, 36])
+    store.save(found, path)
+    store.save(found.where("window_size = 36 AND frame < 5"), path)
+    return summary(store.load(spark, path, window_size=24, lag=1))
+
+
+@query(
+    "a25_read_through",
+    q.ctes(*BASE, q.dfc(24)) + f"SELECT *, 1 AS computed FROM ({STORED})",
+)
+def read_through(spark, sf_dir):
+    """The second request of a parameter set is answered from the store."""
+    path, calls = scratch_store(spark, "read-through"), []
+
+    def compute():
+        calls.append(24)
+        return stream(spark, sf_dir, windows=24)
+
+    for _ in range(2):
+        found = store.read_through(spark, path, compute, window_size=24, lag=1)
+    return summary(found).withColumn("computed", F.lit(len(calls)))
+
+
 GRID = """grid AS (SELECT subject, m FROM (SELECT DISTINCT subject FROM obs), (SELECT unnest(range(12)) AS m)),
 done AS (SELECT subject, t // 7 AS m, count(*) AS n FROM obs GROUP BY ALL)"""
 

@@ -1,11 +1,15 @@
 """Results kept as Parquet partitions keyed by their parameters (A24 to A27).
 
-Parameters are columns and partition folders, never file names; a result is found by partition
-pruning, and what is missing is found by row counts.
+Parameters are columns and partition folders, never file names. Every save is a run of its own below
+``runs``; when its files are written, the rows of each parameter set are counted as they were
+stored and appended to ``manifest`` as the last step. Only the manifest says what is there: a run
+that was cut off is in no manifest row, so its parameter sets are missing and computed again. The last
+run of a parameter set counts. Nothing is replaced in place, so readers never see half a result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,17 +17,40 @@ from pyspark.errors import AnalysisException
 
 
 def save(df: DataFrame, path: str, by: Sequence[str] = ("window_size", "lag")) -> None:
-    """Write a result, replacing only the partitions it contains.
+    """Write a result; it replaces the parameter sets that it contains.
 
     Rows are rebalanced by the partition columns: small ones share a file, a large one is split.
     """
-    (
-        df.hint("rebalance", *by)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by)
-        .parquet(path)
+    spark, run, by = df.sparkSession, uuid.uuid4().hex, list(by)
+    df.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{path}/runs/run={run}")
+    try:
+        stored = spark.read.parquet(f"{path}/runs/run={run}")
+    except AnalysisException as error:
+        if _nothing_there(error):
+            return
+        raise
+    entry = stored.groupBy(*by).agg(F.count(F.lit(1)).alias("rows")).select(
+        "*", F.lit(run).alias("run"), F.current_timestamp().alias("saved_at")
     )
+    # One file, so that a save is listed as a whole or not at all.
+    entry.coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _nothing_there(error: AnalysisException) -> bool:
+    return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parameter sets that are stored: (parameters, rows, run, saved_at), None when there are none."""
+    try:
+        entries = spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if _nothing_there(error):
+            return None
+        raise
+    names = [c for c in entries.columns if c not in ("rows", "run", "saved_at")]
+    newest = F.max_by(F.struct("rows", "run", "saved_at"), F.struct("saved_at", "run"))
+    return entries.groupBy(*names).agg(newest.alias("_m")).select(*names, "_m.*")
 
 
 def save_csv(df: DataFrame, path: str) -> None:
@@ -35,16 +62,20 @@ def load_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, **params) -> DataFrame | None:
-    """Stored rows for the given parameters, None when there are none."""
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-            return None
-        raise
+    """Stored rows for the given parameters, None when the manifest lists none."""
+    entries = manifest(spark, path)
+    if entries is None:
+        return None
     for name, value in params.items():
-        stored = stored.where(F.col(name) == value)
-    return None if stored.isEmpty() else stored
+        entries = entries.where(F.col(name) == value)
+    names = [c for c in entries.columns if c not in ("rows", "run", "saved_at")]
+    # A row per parameter set and its run; the runs also prune the folders that are read.
+    entries = entries.select(*names, "run").collect()
+    if not entries:
+        return None
+    stored = spark.read.option("basePath", f"{path}/runs").parquet(*sorted({f"{path}/runs/run={e['run']}" for e in entries}))
+    wanted = spark.createDataFrame([tuple(e) for e in entries], [*names, "run"])
+    return stored.join(F.broadcast(wanted), [*names, "run"], "left_semi").drop("run")
 
 
 def read_through(spark: SparkSession, path: str, compute: Callable[[], DataFrame], **params) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from undula.functions.partitioning import cut_lineage
+
 SIGNALS = T.StructType(
     [
         T.StructField("subject", T.LongType()),
@@ -38,7 +40,8 @@ def complete_grid(observed: DataFrame) -> DataFrame:
     """Average repeated cells and fill missing (t, region) cells with 0.
 
     The grid reaches from 0 to the last sample and region of any subject. Empty rows for the whole
-    grid are unioned in before one aggregation; the extent is a one-row aggregate.
+    grid are unioned in before one aggregation; the extent is a one-row aggregate. ``observed`` is
+    read three times: what is costly to read comes here as written cells (``observed_cells``).
     """
     extent = observed.agg(F.max("t").alias("_t"), F.max("region").alias("_r"))
     grid = (
@@ -70,8 +73,54 @@ def shipped_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def observed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean price per (subject, t, region): line items are read once, and the cells that are left are written."""
+    year = F.year("l_shipdate")
+    cells = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("subject"), (year * 12 + F.month("l_shipdate") - 1).alias("_month"), (F.col("l_linenumber") - 1).alias("region"))
+        .agg(F.avg("l_extendedprice").alias("value"))
+    )
+    cells = cut_lineage(cells)
+    # January of the first year is sample 0.
+    first = cells.agg((F.floor(F.min("_month") / 12) * 12).cast("int").alias("_first"))
+    return cells.crossJoin(F.broadcast(first)).select("subject", (F.col("_month") - F.col("_first")).alias("t"), "region", "value")
+
+
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return complete_grid(shipped_prices(spark, sf_dir))
+    return complete_grid(observed_cells(spark, sf_dir))
+
+
+def tolerant_scan(spark: SparkSession, path: str, schema: T.StructType = SIGNALS, kind: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """Rows of all readable files below ``path``, and what was left out: (rows, rejected).
+
+    ``rejected`` is (file, reason, n): files that cannot be read or are of another schema, files without rows, and how
+    many rows of a file lack a key or cannot be parsed. Formats are parquet and csv (with a header).
+    Key columns are those of ``schema`` but the last one. Files of no bytes are not listed.
+    """
+    if kind not in ("parquet", "csv"):
+        raise ValueError(f"unsupported format {kind!r}, use 'parquet' or 'csv'")
+    keys = schema.fieldNames()[:-1]
+    reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+    if kind == "csv":
+        marked = T.StructType([*schema.fields, T.StructField("_broken", T.StringType())])
+        found = reader.schema(marked).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").csv(path)
+    else:
+        found = reader.schema(schema).parquet(path).withColumn("_broken", F.lit(None).cast("string"))
+    whole = F.lit(True)
+    for key in keys:
+        whole = whole & F.col(key).isNotNull()
+    found = found.select("*", F.col("_metadata.file_path").alias("_file"))
+    rows = found.where(F.col("_broken").isNull() & whole).select(*schema.fieldNames())
+    reason = F.when(F.col("_broken").isNotNull(), "broken row").when(~whole, "no key")
+    seen = found.groupBy(F.col("_file").alias("file"), reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    seen = cut_lineage(seen)
+    # Only names are listed; the content column is pruned.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    silent = files.join(seen.select(plain("file").alias("_seen")).distinct(), plain(F.col("file")) == F.col("_seen"), "left_anti")
+    lost = silent.select("file", F.lit("not readable or empty").alias("reason"), F.lit(0).cast("long").alias("n"))
+    return rows, seen.where(F.col("reason").isNotNull()).unionByName(lost)
 
 
 def event_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
