@@ -47,10 +47,12 @@ def modularity_matrix(w: np.ndarray, gamma: float) -> np.ndarray:
 
 
 def _hash(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, np.uint64) + np.full((), 0x9E3779B97F4A7C15, np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    """A fixed 64-bit hash of each number."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(x, np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def _orders(keys: np.ndarray, level: int, sweep: int, n: int) -> np.ndarray:
