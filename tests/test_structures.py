@@ -136,18 +136,24 @@ def test_greedy_alignment_is_one_to_one(spark):
 # ---- manifold
 
 
-@pytest.mark.parametrize("tile", [16, 1024])
-def test_fluidity_and_dimension_by_brute_force(spark, tile):
+def log_distances(x, t):
+    others = np.delete(np.arange(len(x)), t)
+    return -np.log(np.sqrt(((x[others] - x[t]) ** 2).sum(1)) + np.finfo(float).eps)
+
+
+@pytest.mark.parametrize("tile, step", [(16, 1), (1024, 1), (5, 3)])
+def test_fluidity_and_dimension_by_brute_force(spark, tile, step):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(70, 3)).cumsum(axis=0)
     signals = signals_df(spark, {0: x})
-    over = man.exceedances(signals, 0.9, tile)
-    samples = signals.select("subject", "t").distinct()
+    over = man.exceedances(signals, 0.9, tile, step)
+    samples = man.every(signals, step).select("subject", "t").distinct()
     theta = values(man.fluidity(over, samples, 0.9), ["t"], "theta")
     dim = values(man.local_dimension(over, samples), ["t"], "dimension")
-    for t in range(70):
-        others = np.delete(np.arange(70), t)
-        y = -np.log(np.sqrt(((x[others] - x[t]) ** 2).sum(1)) + np.finfo(float).eps)
+    tail = values(man.local_dimension(over, samples, "l_moments"), ["t"], "dimension")
+    assert set(theta) == {(t,) for t in range(0, 70, step)}
+    for t in range(0, 70, step):
+        y = log_distances(x[::step], t // step)
         u = np.quantile(y, 0.9)
         gaps = np.diff(np.where(y > u)[0])
         s, n, c = (0.1 * (gaps - 1)).sum(), len(gaps), (gaps > 1).sum()
@@ -155,6 +161,81 @@ def test_fluidity_and_dimension_by_brute_force(spark, tile):
         assert theta[(t,)] == (None if want is None else pytest.approx(want, abs=1e-9))
         excess = np.sort(y[y > u])[:-1] - u
         assert dim[(t,)] == pytest.approx(1 / (excess.mean() + np.finfo(float).eps), rel=1e-9)
+        m = len(excess)
+        if m < 2:
+            assert tail[(t,)] is None
+            continue
+        l1, l2 = excess.mean(), np.mean([abs(a - b) for i, a in enumerate(excess) for b in excess[:i]]) / 2
+        assert tail[(t,)] == pytest.approx(1 / (l1 * (l1 / l2 - 1) + np.finfo(float).eps), rel=1e-6)
+
+
+@pytest.mark.parametrize("quantile, tile", [(0.0, 8), (0.5, 8), (0.98, 8), (1.0, 8), (0.5, 1024)])
+def test_thresholds_with_ties_and_crowded_distances(spark, quantile, tile):
+    rng = np.random.default_rng(9)
+    cubes = {0: rng.integers(0, 2, (40, 2)).astype(float), 1: np.zeros((30, 2)), 2: 1e4 + 1e-3 * rng.normal(size=(40, 2)), 3: np.ones((1, 2)), 4: np.ones((2, 2))}
+    rows = man.sample_rows(signals_df(spark, cubes))
+    got = values(man.thresholds(rows, quantile, tile), ["subject", "t"], "u")
+    assert set(got) == {(s, t) for s, x in cubes.items() if s != 3 for t in range(len(x))}
+    for (s, t), u in got.items():
+        assert u == pytest.approx(np.quantile(log_distances(cubes[s], t), quantile), rel=1e-12)
+
+
+def test_no_sample_sends_its_ties(spark):
+    """Equal samples: the last range holds all values, but one row of a sample leaves a tile."""
+    bounds = {"lo": F.lit(36.0), "hi": F.lit(37.0), "need": F.lit(40)}
+    rows = man.sample_rows(signals_df(spark, {0: np.zeros((64, 2))})).withColumns(bounds)
+    sent = man._by_tile(rows, list(bounds), man._values, ["t", "y", "c"], 1024)
+    assert (sent.count(), sent.agg(F.sum("c")).first()[0]) == (64, 64 * 63)
+
+
+def test_step_and_scale_are_checked(spark):
+    signals = signals_df(spark, {0: np.ones((4, 2))})
+    with pytest.raises(ValueError):
+        man.exceedances(signals, step=0)
+    with pytest.raises(ValueError):
+        man.local_dimension(man.exceedances(signals), signals, "other")
+
+
+# ---- runs in tiles
+
+
+@pytest.mark.parametrize("tile", [3, 64])
+def test_information_of_runs_by_brute_force(spark, tile):
+    rng = np.random.default_rng(3)
+    labels = {r: dict(enumerate(rng.integers(1, 5, 30).tolist())) for r in range(11)}
+    labels[4] = {n: 1 for n in range(30)}
+    labels[5] = {n: 2 for n in range(30)}
+    labels[6] = {n: c for n, c in labels[6].items() if n % 3}
+    labels[7] = {n: 1 for n in range(100, 110)}
+    rows = [(0, 0, r, n, c) for r, row in labels.items() for n, c in row.items()]
+    parts = spark.createDataFrame(rows, "graph_id long, gamma_idx int, run int, node int, community int")
+
+    def entropy(seq):
+        p = np.unique(seq, axis=0, return_counts=True)[1] / len(seq)
+        return float(-(p * np.log(p)).sum())
+
+    want = {}
+    for a in labels:
+        for b in labels:
+            shared = sorted(set(labels[a]) & set(labels[b]))
+            if a < b and shared:
+                h = entropy(list(labels[a].values())) + entropy(list(labels[b].values()))
+                mi = max(h - entropy([(labels[a][n], labels[b][n]) for n in shared]), 0)
+                want[a, b] = (mi, 1.0 if h < 1e-12 else 2 * mi / h)
+    got = {(r.run1, r.run2): (r.mi, r.nmi) for r in com.partition_information(parts, tile=tile).collect()}
+    assert set(got) == set(want)
+    for pair, both in want.items():
+        assert got[pair] == pytest.approx(both, abs=1e-9)
+    mean = com.mean_nmi(parts, tile).collect()
+    assert len(mean) == 1 and mean[0].mean_nmi == pytest.approx(np.mean([v[1] for v in want.values()]), abs=1e-9)
+    assert com.mean_nmi(parts.where("run = 0")).count() == 0
+
+
+def test_meta_links_do_not_depend_on_tiles(spark):
+    links = meta.link_index(spark.range(7).select(F.col("id").cast("int").alias("region")))
+    found = [sorted(tuple(r) for r in meta.meta_links(links, tile=tile).collect()) for tile in (4, 512)]
+    assert found[0] == found[1] and len(set(found[0])) == 21 * 20 // 2
+    assert all(r[0] > r[1] and r[0] == r[2] * (r[2] - 1) // 2 + r[3] for r in found[0])
 
 
 # ---- preparation

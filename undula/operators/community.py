@@ -7,7 +7,7 @@ from it; a large community is therefore never a shuffle key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +18,7 @@ from undula.functions.similarity import safe_corr
 from undula.operators import packed_detection
 from undula.operators.connectivity import unfold_pairs
 from undula.operators.order_stats import average_rank_bounded, medians
-from undula.operators.pairing import correlate_items
+from undula.operators.pairing import correlate_items, tile_pairs
 
 PARTITION = ["graph_id", "gamma_idx", "run"]
 
@@ -470,36 +470,91 @@ def align_across_windows(partitions: DataFrame, keys: Sequence[str] = ("graph_id
 # ---- comparison of partitions ----------------------------------------------------------
 
 
-def partition_information(partitions: DataFrame, keys: Sequence[str] = ("graph_id", "gamma_idx")) -> DataFrame:
-    """Mutual information of every two runs: (keys, run1, run2, mi, nmi), run1 < run2."""
-    keys = list(keys)
-    packed = partitions.groupBy(*keys, "node").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("run").alias("region"), F.col("community").alias("value")))).alias("vec")
-    )
-    pairs = unfold_pairs(packed, [*keys, "node"]).select(
-        *keys, F.col("j").alias("run1"), F.col("i").alias("run2"), F.col("y").alias("c1"), F.col("x").alias("c2")
-    )
-    joint = pairs.groupBy(*keys, "run1", "run2", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
-    shared = joint.groupBy(*keys, "run1", "run2").agg(_entropy().alias("h12"))
-    single = partitions.groupBy(*keys, "run", "community").agg(F.count(F.lit(1)).alias("n"))
-    alone = single.groupBy(*keys, "run").agg(_entropy().alias("h"))
-    both = shared.join(alone.select(*keys, F.col("run").alias("run1"), F.col("h").alias("h1")), [*keys, "run1"]).join(
-        alone.select(*keys, F.col("run").alias("run2"), F.col("h").alias("h2")), [*keys, "run2"]
-    )
-    mi = F.greatest(F.col("h1") + F.col("h2") - F.col("h12"), F.lit(0.0))
-    nmi = F.when(F.col("h1") + F.col("h2") < 1e-12, F.lit(1.0)).otherwise(F.try_divide(mi, (F.col("h1") + F.col("h2")) / 2))
-    return both.select(*keys, "run1", "run2", mi.alias("mi"), nmi.alias("nmi"))
+def partition_information(partitions: DataFrame, keys: Sequence[str] = ("graph_id", "gamma_idx"), tile: int = 64) -> DataFrame:
+    """Mutual information of every two runs: (keys, run1, run2, mi, nmi), run1 < run2.
 
-
-def _entropy() -> Column:
-    """Entropy of the counts ``n`` of a group."""
-    total = F.sum("n")
-    return F.ln(total) - F.sum(F.col("n") * F.ln("n")) / total
-
-
-def mean_nmi(partitions: DataFrame) -> DataFrame:
-    """Stability per gamma: mean over all pairs of runs."""
-    return partition_information(partitions).groupBy("graph_id", "gamma_idx").agg(F.avg("nmi").alias("mean_nmi"))
+    Runs are compared over the nodes they share; two runs without one have no row. The runs of a key are dealt
+    into tiles of label vectors, and nothing but tiles and the results is shuffled.
+    """
+    run = partitions.schema["run"].dataType
+    cells = F.explode(_information(*RUN_TILES)).alias("_m")
+    found = _run_tiles(partitions, keys, tile).select(*keys, cells)
+    return found.select(*keys, F.col("_m.run1").cast(run).alias("run1"), F.col("_m.run2").cast(run).alias("run2"), "_m.mi", "_m.nmi")
+
+
+RUN_TILES = ("same", "a.run", "a._n", "a._c", "b.run", "b._n", "b._c")
+
+
+def _run_tiles(partitions: DataFrame, keys: Sequence[str], tile: int) -> DataFrame:
+    """Every two tiles of runs, a run being its nodes in order and their labels."""
+    cells = F.array_sort(F.collect_list(F.struct("node", "community")))
+    runs = partitions.groupBy(*keys, "run").agg(cells.alias("_p"))
+    # written once: the number of tiles and both sides of the tile pairs read it
+    vectors = cut_lineage(runs.select(*keys, "run", F.col("_p.node").alias("_n"), F.col("_p.community").alias("_c")))
+    return tile_pairs(vectors, keys, "run", ["_n", "_c"], tile)
+
+
+_INFORMED = T.StructType(
+    [
+        T.StructField("run1", T.LongType()),
+        T.StructField("run2", T.LongType()),
+        T.StructField("mi", T.DoubleType()),
+        T.StructField("nmi", T.DoubleType()),
+    ]
+)
+
+
+@F.pandas_udf(T.ArrayType(_INFORMED))
+def _information(
+    same: pd.Series, ar: pd.Series, an: pd.Series, ac: pd.Series, br: pd.Series, bn: pd.Series, bc: pd.Series
+) -> pd.Series:
+    return pd.Series([list(_informed(*pair)) for pair in zip(same, ar, an, ac, br, bn, bc)])
+
+
+@F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType())]))
+def _information_sum(
+    same: pd.Series, ar: pd.Series, an: pd.Series, ac: pd.Series, br: pd.Series, bn: pd.Series, bc: pd.Series
+) -> pd.DataFrame:
+    nmi = [[cell["nmi"] for cell in _informed(*pair)] for pair in zip(same, ar, an, ac, br, bn, bc)]
+    return pd.DataFrame({"n": [len(v) for v in nmi], "total": [float(sum(v)) for v in nmi]})
+
+
+def _informed(own, runs1, nodes1, labels1, runs2, nodes2, labels2) -> Iterator[dict]:
+    """The information of the runs of two tiles, one cell per pair of runs."""
+    coded1, coded2 = [_dense(v) for v in labels1], [_dense(v) for v in labels2]
+    alone1, alone2 = [_label_entropy(v) for v in coded1], [_label_entropy(v) for v in coded2]
+    for p, r1 in enumerate(runs1):
+        for q, r2 in enumerate(runs2):
+            if own and r1 >= r2:
+                continue
+            a, b = coded1[p], coded2[q]
+            if not np.array_equal(nodes1[p], nodes2[q]):
+                _, at1, at2 = np.intersect1d(nodes1[p], nodes2[q], assume_unique=True, return_indices=True)
+                a, b = a[at1], b[at2]
+            if not len(a):
+                continue
+            h = alone1[p] + alone2[q]
+            mi = max(h - _label_entropy(_dense(a * (b.max() + 1) + b)), 0.0)
+            yield {"run1": min(r1, r2), "run2": max(r1, r2), "mi": mi, "nmi": 1.0 if h < 1e-12 else mi / (h / 2)}
+
+
+def _dense(labels: np.ndarray) -> np.ndarray:
+    """Labels numbered from 0."""
+    return np.unique(labels, return_inverse=True)[1].astype(np.int64)
+
+
+def _label_entropy(labels: np.ndarray) -> float:
+    n = np.bincount(labels)
+    n = n[n > 0].astype(float)
+    return float(np.log(n.sum()) - (n * np.log(n)).sum() / n.sum())
+
+
+def mean_nmi(partitions: DataFrame, tile: int = 64) -> DataFrame:
+    """Stability per gamma: mean over all pairs of runs. Tiles send their sums only."""
+    keys = ["graph_id", "gamma_idx"]
+    sums = _run_tiles(partitions, keys, tile).select(*keys, _information_sum(*RUN_TILES).alias("_s"))
+    mean = F.sum("_s.total") / F.sum("_s.n")
+    return sums.groupBy(*keys).agg(F.sum("_s.n").alias("_n"), mean.alias("mean_nmi")).where("_n > 0").drop("_n")
 
 
 def label_correlation(partitions: DataFrame, keys: Sequence[str] = ("graph_id", "gamma_idx")) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from undula.operators.connectivity import unfold_pairs
-from undula.operators.pairing import correlate_items
+from undula.operators.pairing import correlate_items, tile_pairs
 
 RULES = ("fc_root", "mc_fc", "mc_dfc")
 
@@ -37,22 +37,24 @@ def ordered_links(links: DataFrame, order: DataFrame, keys: Sequence[str] = ())
     return links.join(order, [*keys, "pair_id"])
 
 
-def meta_links(links: DataFrame, keys: Sequence[str] = (), position: str = "pair_id") -> DataFrame:
+def meta_links(links: DataFrame, keys: Sequence[str] = (), position: str = "pair_id", tile: int = 512) -> DataFrame:
     """Every two links, higher position first, with their four regions.
 
-    Rows (keys, pos_a, pos_b, i1, j1, i2, j2). The links of a key are packed into one row, whose
-    size is set by the number of regions, and pairs are unfolded from it.
+    Rows (keys, pos_a, pos_b, i1, j1, i2, j2). The links of a key are dealt into tiles, and pairs are
+    unfolded from every two of them.
     """
-    ends = F.struct(F.col(position).alias("region"), F.struct("i", "j").alias("value"))
-    packed = links.groupBy(*keys).agg(F.array_sort(F.collect_list(ends)).alias("vec"))
-    return unfold_pairs(packed, keys).select(
+    tiles = tile_pairs(links, keys, position, ["i", "j"], tile)
+    pairs = tiles.select(*keys, "same", F.explode("a").alias("x"), "b").select(*keys, "same", "x", F.explode("b").alias("y"))
+    high, low = F.greatest("x", "y"), F.least("x", "y")
+    apart = pairs.where(~F.col("same") | (F.col("x") < F.col("y"))).select(*keys, high.alias("p"), low.alias("q"))
+    return apart.select(
         *keys,
-        F.col("i").alias("pos_a"),
-        F.col("j").alias("pos_b"),
-        F.col("x.i").alias("i1"),
-        F.col("x.j").alias("j1"),
-        F.col("y.i").alias("i2"),
-        F.col("y.j").alias("j2"),
+        F.col(f"p.{position}").alias("pos_a"),
+        F.col(f"q.{position}").alias("pos_b"),
+        F.col("p.i").alias("i1"),
+        F.col("p.j").alias("j1"),
+        F.col("q.i").alias("i2"),
+        F.col("q.j").alias("j2"),
     )
 
 

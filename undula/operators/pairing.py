@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from undula.functions.partitioning import cut_lineage
+from undula.functions.partitioning import cut_lineage, spread
 
 
 def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequence[str], tile: int) -> DataFrame:
@@ -44,7 +44,9 @@ def tile_pairs(items: DataFrame, keys: Sequence[str], item: str, payload: Sequen
         F.col("_tile").alias("_tb"),
         F.col("_rows").alias("b"),
     )
-    return left.join(right, [*keys, "_ta", "_tb"]).select(*keys, (F.col("_ta") == F.col("_tb")).alias("same"), "a", "b")
+    meet = [*keys, "_ta", "_tb"]
+    # the work on two tiles is far larger than their bytes
+    return spread(left, *meet).join(spread(right, *meet), meet).select(*keys, (F.col("_ta") == F.col("_tb")).alias("same"), "a", "b")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -149,7 +149,8 @@ def theil_sen(
         counted = _beside(tiles, scope, keys).select(
             *keys, "low", "high", F.posexplode(slope_histogram(*sides, F.lit(bins))).alias("bin", "c")
         )
-        scope = _narrow(counted, scope, keys, bins)
+        # a row per key; uncut, each branch of the next round would repeat all pairs
+        scope = cut_lineage(_narrow(counted, scope, keys, bins))
     # a hair wider than the bins, so that rounding at their edges loses nothing
     scope = scope.withColumn("low", F.col("low") - 1e-12).withColumn("high", F.col("high") + 1e-12)
     inside = _beside(tiles, scope, keys)

@@ -7,7 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from undula.functions.partitioning import ensure_checkpoint_dir
+from undula.functions.partitioning import cut_lineage, ensure_checkpoint_dir
 from undula.functions.similarity import rounded
 from undula.operators import connectivity as con, manifold as man, pooling as pool, states as st
 from undula.plans import fragments as q
@@ -237,14 +237,15 @@ def log_distances(spark, sf_dir):
     )
 
 
-def theta(spark, sf_dir):
-    signals = src.signals(spark, sf_dir)
-    return man.fluidity(man.exceedances(signals, Q), signals.select("subject", "t").distinct(), Q)
+def theta(spark, sf_dir, step=1):
+    signals = cut_lineage(src.signals(spark, sf_dir))
+    samples = man.every(signals, step).select("subject", "t").distinct()
+    return man.fluidity(man.exceedances(signals, Q, step=step), samples, Q)
 
 
-def dimension(spark, sf_dir):
-    signals = src.signals(spark, sf_dir)
-    return man.local_dimension(man.exceedances(signals, Q), signals.select("subject", "t").distinct())
+def dimension(spark, sf_dir, scale="mean_excess"):
+    signals = cut_lineage(src.signals(spark, sf_dir))
+    return man.local_dimension(man.exceedances(signals, Q), signals.select("subject", "t").distinct(), scale)
 
 
 @query("i2_fluidity", q.ctes(q.SIGNALS, NEAR, OVER, THETA) + f"SELECT subject, t, {q.rnd('theta', 5)} AS theta FROM theta")
@@ -257,6 +258,26 @@ def local_dimension(spark, sf_dir):
     return dimension(spark, sf_dir).withColumn("dimension", rounded("dimension", 3))
 
 
+HALF = "half AS (SELECT subject, t // 2 AS t, region, value FROM sig WHERE t % 2 = 0)"
+HALF_THETA = (HALF, NEAR.replace("sig a JOIN sig b", "half a JOIN half b"), OVER, THETA.replace("FROM sig", "FROM half"))
+
+
+@query("i2_fluidity_every_second", q.ctes(q.SIGNALS, *HALF_THETA) + f"SELECT subject, CAST(t * 2 AS INTEGER) AS t, {q.rnd('theta', 5)} AS theta FROM theta")
+def fluidity_every_second(spark, sf_dir):
+    return theta(spark, sf_dir, step=2).withColumn("theta", rounded("theta", 5))
+
+
+L_MOMENTS = """samples AS (SELECT DISTINCT subject, t FROM sig),
+ranked AS (SELECT subject, t, y - u AS e, row_number() OVER (PARTITION BY subject, t ORDER BY y) AS r, count(*) OVER (PARTITION BY subject, t) - 1 AS n FROM over_u),
+lm AS (SELECT subject, t, avg(e) AS l1, 2 * avg((r - 1)::DOUBLE / (n - 1) * e) - avg(e) AS l2 FROM ranked WHERE r <= n AND n > 1 GROUP BY subject, t),
+dim AS (SELECT subject, t, CASE WHEN l2 > 1e-9 * l1 THEN 1 / ((l1 / l2 - 1) * l1 + 2.220446049250313e-16) END AS dimension FROM samples LEFT JOIN lm USING (subject, t))"""
+
+
+@query("i3_local_dimension_l_moments", q.ctes(q.SIGNALS, NEAR, OVER, L_MOMENTS) + f"SELECT subject, t, {q.rnd('dimension', 3)} AS dimension FROM dim")
+def local_dimension_l_moments(spark, sf_dir):
+    return dimension(spark, sf_dir, "l_moments").withColumn("dimension", rounded("dimension", 3))
+
+
 @query(
     "i4_fluidity_percentiles",
     q.ctes(
