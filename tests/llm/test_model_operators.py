@@ -3,11 +3,13 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import corpora
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from undula.llm import disclosure, factorisation, ppm_language, queries
@@ -186,3 +188,77 @@ def test_sanitising_edges(spark):
     assert clean[2]["text"] is None and clean[1]["text"] == "" and clean[9]["text"] == "long " * 30_000
     assert clean[20]["text"] in ("[phone] end", "+[card] end")
     assert disclosure.find_spans(docs.limit(0)).count() == 0
+
+
+def brute_terms(texts):
+    """(kind, start, end) of the terms of each text by plain counts over distinct texts."""
+    whole = {t or "" for t in texts}
+    bases = {t: brute_base(t) for t in whole}
+    words = {t: {w.lower() for w in regex.findall(r"\p{L}+", t) if len(w) >= disclosure.LETTERS} for t in whole}
+    near, n_c, n_t, n_ct = {}, Counter(), Counter(), Counter()
+    for t in whole:
+        near[t] = set()
+        for kind, a, b in bases[t]:
+            # A word that the window's edge may cut is no term of it.
+            low, high = max(0, a - disclosure.WINDOW), b + disclosure.WINDOW
+            for m in [*regex.finditer(r"\p{L}+", t[:a], pos=low), *regex.finditer(r"\p{L}+", t[:high], pos=b)]:
+                whole_word = (m.start() > low or low == 0) if m.start() < a else m.end() < high
+                apart = all(m.end() <= x or y <= m.start() for _, x, y in bases[t])
+                if whole_word and apart and len(m[0]) >= disclosure.LETTERS:
+                    near[t].add((f"{kind}:{t[a:b].lower()}", m[0].lower(), *m.span()))
+        n_c.update({f"{kind}:{t[a:b].lower()}" for kind, a, b in bases[t]})
+        n_t.update(words[t])
+        n_ct.update({x[:2] for x in near[t]})
+    out = {}
+    for t in whole:
+        best = {}
+        for c, term, a, b in near[t]:
+            information = math.log2(len(whole) / n_c[c])
+            degree = math.log2(len(whole) * n_ct[c, term] / (n_c[c] * n_t[term])) / information if information else 0
+            assert min(abs(degree - x) for x in (disclosure.GENERALISE, disclosure.REMOVE)) > 1e-9
+            if degree >= disclosure.GENERALISE:
+                best[a, b] = max(best.get((a, b), "general"), "removed" if degree >= disclosure.REMOVE else "general")
+        out[t] = sorted((kind, *place) for place, kind in best.items())
+    return out
+
+
+def disclosing_texts(seed):
+    rng = random.Random(seed)
+    names = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(900)]
+    facts = ["boss@corp.example", "10.2.3.4", "4111 1111 1111 1111", *[f"u{k}@c.de" for k in range(30)], *[f"+49 30 12345{k}" for k in range(10, 40)]]
+    texts = []
+    for _ in range(150):
+        words = [rng.choice(names[: rng.choice((8, 60, 900))]) for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            words.insert(rng.randrange(len(words)), rng.choice(facts))
+        texts.append(rng.choice((" ", ", ", "-")).join(words))
+    return [*texts, *rng.sample(texts, 40), *[texts[3]] * 30, "", None]
+
+
+def test_terms_equal_brute_force(spark):
+    texts = disclosing_texts(11)
+    expected = brute_terms(texts)
+    found = corpora.by_id(disclosure.find_spans(corpora.docs_df(spark, texts, extra=True)))
+    assert sum(map(len, expected.values())) > 100
+    for k, text in enumerate(texts):
+        assert [tuple(s) for s in found[k]["terms"]] == expected[text or ""], k
+
+
+def test_copies_do_not_hide_what_discloses(spark):
+    rng = random.Random(8)
+    common = [corpora.prose(rng, 40).replace("w", "word") for _ in range(300)]
+    told = "Zanzibaria sends boss@corp.example to Quillonia"
+    once = corpora.by_id(disclosure.find_spans(corpora.docs_df(spark, [*common, told])))[300]["terms"]
+    found = corpora.by_id(disclosure.find_spans(corpora.docs_df(spark, [*common, *[told] * 100])))
+    assert len(once) == 3 and all(found[k]["terms"] == once for k in range(300, 400))
+
+
+def test_very_many_matches_in_one_text(spark):
+    numbers = "".join(f"{10 + k % 90} x " for k in range(100_000)) + "4111 1111 1111 1111"
+    mails = " ".join(f"word u{k}@example.org" for k in range(20_000))
+    texts = [numbers, mails, *[f"word {k}" for k in range(50)]]
+    start = time.time()
+    found = corpora.by_id(disclosure.find_spans(corpora.docs_df(spark, texts)))
+    assert [tuple(s) for s in found[0]["base"]] == brute_base(numbers) and len(found[1]["base"]) == 20_000
+    assert [tuple(s) for s in found[1]["base"]] == brute_base(mails)
+    assert time.time() - start < 120

@@ -3,7 +3,8 @@
 Base spans are emails, IPv4 addresses, card numbers and phone numbers, found by patterns and checked
 (parts up to 255; 13-19 digits that pass Luhn; 9-15 digits). Each distinct match is a protected
 entity c. A term t is a word of ``LETTERS`` letters or more, lower-cased, within ``WINDOW`` characters of it.
-Over all documents, n(c) and n(t) count those that hold the entity and the term, n(c,t) those that
+All counts are of distinct texts, so copies change nothing, whatever their doc_id: N is the number of
+texts, n(c) and n(t) count those that hold the entity and the term, n(c,t) those that
 hold the term in a window of the entity. The term discloses the entity to the degree
 
     PMI(c,t) / IC(c) = log(N n(c,t) / (n(c) n(t))) / log(N / n(c)),
@@ -14,12 +15,16 @@ of a single document: most entities occur once, and what stands beside those tel
 An entity in all documents has no information and nothing discloses it.
 
 Every pattern is written so that no text makes it slow: runs are possessive and begin where the run
-begins, which leaves the leftmost, non-overlapping matches as they are. Pairs of entity and term are
+begins, which leaves the leftmost, non-overlapping matches as they are. Places come from running sums
+of lengths that double their reach, windows from blocks of the text, and overlaps from a bisection of
+the sorted spans, so a text with very many matches costs n log n. Pairs of entity and term are
 linear in the text (a window is bounded), counted with pre-aggregation, and return to the documents by
-``common.attach``; nothing is gathered per entity.
+``common.attach``; nothing is gathered per entity. Words are counted by (term, copies of the text): each
+of these counts is a multiple of the copies, so the quotient is the exact number of distinct texts, and
+texts meet only the table of those that have copies.
 
 Defined cases: null texts count as empty; positions are code points, end exclusive; spans of terms
-never overlap base spans; rows equal in doc_id and text count once in n(c,t) and get equal spans; an
+never overlap base spans; rows with equal texts count once and get equal spans; an
 empty table gives no rows.
 """
 
@@ -28,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import attach, cut_lineage, row_key
+from undula.llm.common import attach, cut_lineage, row_key, stored
 
 #: The four base patterns, as possessive Java expressions.
 PATTERNS = {
@@ -44,28 +49,47 @@ LETTERS = 4
 WINDOW = 100
 GENERALISE, REMOVE = 0.7, 0.9
 LEVELS = ("general", "removed")
+#: Code points of the blocks that windows are cut from.
+BLOCK = 1024
+#: Steps of a bisection; more than any array has places.
+BISECTION = [1 << k for k in range(29, -1, -1)]
 
 
 def _zero() -> Column:
     return F.lit(0).cast("int")
 
 
-def _spans(text: Column, pattern: str) -> Column:
-    """All matches in order as array<struct<start,end,match>>."""
-    pieces = F.zip_with(
-        F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, match: F.struct(F.char_length(gap).alias("gap"), match.alias("match")),
-    )
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, add) -> Column:
+    """Running totals of an array under the associative ``add``, in a round per doubling of the reach."""
+    rounds = F.when(F.size(values) > 1, F.transform(
+        F.sequence(_zero(), F.ceil(F.log2(F.size(values))).cast("int") - 1), lambda k: F.pow(F.lit(2), k).cast("int")
+    )).otherwise(F.array().cast("array<int>"))
+
+    def further(acc, reach):
+        return F.transform(acc, lambda x, i: F.when(i >= reach, add(F.get(acc, i - reach), x)).otherwise(x))
+
+    return F.aggregate(rounds, values, further)
+
+
+def _spans(text: Column, pattern: str, holds=None) -> Column:
+    """The matches that hold, in order, as array<struct<start,end,match>>."""
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    holds = holds or (lambda match: F.lit(True))
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.char_length(x["match"])
-        more = F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))))
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct(end.alias("at"), more.alias("found")))
+    def placed(matches):
+        gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+        lengths = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda gap, m: gap + F.char_length(m))
+        ends = _let(lengths, lambda x: _running(x, lambda a, b: a + b))
+        named = F.zip_with(ends, matches, lambda end, m: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("match")))
+        # Places are only worked out where a match holds.
+        return F.when(F.exists(matches, holds), F.filter(named, lambda s: holds(s["match"]))).otherwise(none)
 
-    start = F.struct(_zero().alias("at"), none.alias("found"))
-    return F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _luhn(digits: Column) -> Column:
@@ -94,33 +118,63 @@ def base_spans(text: Column) -> Column:
 
     def of(kind: str, pattern: str) -> Column:
         none = F.array().cast("array<struct<kind:string,start:int,end:int,match:string>>")
-        found = F.filter(_spans(text, pattern), lambda s: _holds(kind, s["match"]))
+        found = _spans(text, pattern, lambda m: _holds(kind, m))
         named = F.transform(found, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match")))
-        # Places are only worked out where a match holds.
-        some = F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: _holds(kind, m))
-        if NEEDED[kind]:
-            some = F.contains(text, F.lit(NEEDED[kind])) & some
-        return F.when(some, named).otherwise(none)
+        return F.when(F.contains(text, F.lit(NEEDED[kind])), named).otherwise(none) if NEEDED[kind] else named
 
     return F.concat(*[of(k, p) for k, p in PATTERNS.items()])
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Terms within the window of a base span: array<struct<entity,term,start,end>>."""
+def _cut(blocks: Column, begin: Column, length: Column) -> Column:
+    """The substring of at most BLOCK code points from ``begin`` of the text that ``blocks`` make up."""
+    at = F.floor(begin / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return F.substring(two, begin - at * BLOCK + 1, length)
+
+
+def _before(spans: Column, place: Column) -> Column:
+    """How many of the sorted ``spans`` start before ``place``."""
+    steps = F.array(*[F.lit(d) for d in BISECTION])
+    return F.aggregate(steps, _zero(), lambda at, d: F.when(F.get(spans, at + d - 1)["start"] < place, at + d).otherwise(at))
+
+
+def _meeting(spans: Column, begin: Column, end: Column) -> Column:
+    """Those of the sorted, disjoint ``spans`` that meet begin .. end-1, and at most one before them."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    first, last = F.greatest(_before(spans, begin) - 1, _zero()), _before(spans, end) - 1
+    found = F.transform(F.sequence(first, last), lambda i: F.struct(F.get(spans, i)["start"].alias("start"), F.get(spans, i)["end"].alias("end")))
+    return F.when(last >= first, found).otherwise(none)
+
+
+def _near(blocks: Column, kinds: Column, span: Column) -> Column:
+    """Terms within the window of a base span that overlap none of the base spans, which ``kinds`` lists by kind."""
     word = r"\p{L}++"
     begin = F.greatest(span["start"] - WINDOW, _zero())
-    left = _spans(F.substring(text, begin + 1, span["start"] - begin), word)
+    left = _spans(_cut(blocks, begin, span["start"] - begin), word)
     left = F.filter(left, lambda s: (begin == 0) | (s["start"] > 0))
-    right = _spans(F.substring(text, span["end"] + 1, F.lit(WINDOW)), word)
+    right = _spans(_cut(blocks, span["end"], F.lit(WINDOW)), word)
     right = F.filter(right, lambda s: s["end"] < WINDOW)
-    entity = F.concat(span["kind"], F.lit(":"), F.lower(span["match"]))
+    entity = _entity(span)
 
     def named(words, by):
         long = F.filter(words, lambda s: s["end"] - s["start"] >= LETTERS)
         return F.transform(long, lambda s: F.struct(entity.alias("entity"), F.lower(s["match"]).alias("term"),
                                                     (s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
 
-    return F.concat(named(left, begin), named(right, span["end"]))
+    around = F.flatten(F.transform(kinds, lambda spans: _meeting(spans, begin, span["end"] + WINDOW)))
+    return _let(around, lambda base: F.filter(F.concat(named(left, begin), named(right, span["end"])), lambda t: ~_overlaps(t, base)))
+
+
+def _entity(span: Column) -> Column:
+    return F.concat(span["kind"], F.lit(":"), F.lower(span["match"]))
+
+
+def near_terms(text: Column, base: Column) -> Column:
+    """array<struct<entity,term,start,end>> of the terms in the windows of the base spans; null without any."""
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    kinds = F.transform(F.array(*[F.lit(k) for k in PATTERNS]), lambda k: F.filter(base, lambda s: s["kind"] == k))
+    every = _let(blocks, lambda b: _let(kinds, lambda k: F.flatten(F.transform(base, lambda s: _near(b, k, s)))))
+    return F.when(F.size(base) > 0, every)
 
 
 def _overlaps(term: Column, base: Column) -> Column:
@@ -129,15 +183,19 @@ def _overlaps(term: Column, base: Column) -> Column:
 
 def _disclosing(base: DataFrame, docs: DataFrame) -> DataFrame:
     """pair, level, rows: pairs of entity and term that exceed a threshold."""
-    near = base.select("key", F.explode("near").alias("x")).select("key", "x.entity", "x.term")
-    pairs = near.groupBy("entity", "term", "key").agg(F.count("*").alias("rows"))
+    near = base.select("same", F.explode("near").alias("x")).select("same", "x.entity", "x.term")
+    pairs = near.groupBy("entity", "term", "same").agg(F.count("*").alias("rows"))
     pairs = cut_lineage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.sum("rows").alias("rows")))
-    entities = base.select("key", F.explode("base").alias("b")).select("key", F.concat("b.kind", F.lit(":"), F.lower("b.match")).alias("entity"))
+    entities = base.select("same", F.explode("base").alias("b")).select("same", _entity(F.col("b")).alias("entity"))
     entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}++"))
-    terms = docs.select(F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term"))
-    terms = terms.groupBy("term").agg(F.count("*").alias("n_t"))
-    n = float(base.count())
+    copies = stored(base.groupBy("same").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    n = float(base.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0))
+    words = F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))
+    whole = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("same", row_key("text"))
+    whole = attach(whole, copies.withColumn("n", F.col("copies")), "same", "copies")
+    terms = whole.select(F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term"))
+    terms = terms.groupBy("term", "n").agg(F.count("*").alias("rows"))
+    terms = terms.groupBy("term").agg(F.sum(F.expr("rows div n")).alias("n_t"))
     # A frequent word stands beside very many entities, and a frequent entity beside very many words.
     entities = cut_lineage(entities.join(pairs.groupBy("entity").agg(F.count("*").alias("n_pairs")), "entity"))
     terms = cut_lineage(terms.join(pairs.groupBy("term").agg(F.count("*").alias("n_pairs")), "term"))
@@ -153,9 +211,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, key, base and terms (arrays of kind, start, end)."""
     whole = docs.select("doc_id", row_key("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     base = whole.select("doc_id", "key", "text", base_spans(F.col("text")).alias("base"))
-    near = F.when(F.size("base") > 0, F.flatten(F.transform("base", lambda b: _near(F.col("text"), b))))
-    near = F.filter(near, lambda t: ~_overlaps(t, F.col("base")))
-    base = cut_lineage(base.select("doc_id", "key", "base", near.alias("near")))
+    base = cut_lineage(base.select("doc_id", "key", row_key("text").alias("same"), "base", near_terms(F.col("text"), F.col("base")).alias("near")))
     disclosing = cut_lineage(_disclosing(base, docs))
     places = base.select("key", F.explode("near").alias("x")).select("key", "x.start", "x.end", F.concat_ws("\n", "x.entity", "x.term").alias("pair"))
     hit = attach(places, disclosing, "pair", "rows").filter("level is not null")
