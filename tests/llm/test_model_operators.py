@@ -244,6 +244,15 @@ def test_terms_equal_brute_force(spark):
         assert [tuple(s) for s in found[k]["terms"]] == expected[text or ""], k
 
 
+def test_the_sieve_marks_every_copied_text(spark):
+    rows = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("same"), "id")
+    copies = rows.filter("id % 3 = 0").select("same")
+    alone, marked = disclosure._sieved(rows, copies)
+    assert marked.filter("id % 3 = 0").count() == copies.count() and alone.count() + marked.count() == 20_000
+    assert marked.filter("id % 3 <> 0").count() < 20
+    assert disclosure._sieved(rows, copies.limit(0))[0].count() == 20_000
+
+
 def test_copies_do_not_hide_what_discloses(spark):
     rng = random.Random(8)
     common = [corpora.prose(rng, 40).replace("w", "word") for _ in range(300)]

@@ -20,8 +20,8 @@ of lengths that double their reach, windows from blocks of the text, and overlap
 the sorted spans, so a text with very many matches costs n log n. Pairs of entity and term are
 linear in the text (a window is bounded), counted with pre-aggregation, and return to the documents by
 ``common.attach``; nothing is gathered per entity. Words are counted by (term, copies of the text): each
-of these counts is a multiple of the copies, so the quotient is the exact number of distinct texts, and
-texts meet only the table of those that have copies.
+of these counts is a multiple of the copies, so the quotient is the exact number of distinct texts. A
+sieve of ``SIEVE_BITS`` bits is broadcast, and only texts that it marks move to meet their number of copies.
 
 Defined cases: null texts count as empty; positions are code points, end exclusive; spans of terms
 never overlap base spans; rows with equal texts count once and get equal spans; an
@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from undula.llm.common import attach, cut_lineage, row_key, stored
+from undula.llm.common import attach, cut_lineage, row_key
 
 #: The four base patterns, as possessive Java expressions.
 PATTERNS = {
@@ -51,6 +51,8 @@ GENERALISE, REMOVE = 0.7, 0.9
 LEVELS = ("general", "removed")
 #: Code points of the blocks that windows are cut from.
 BLOCK = 1024
+#: Bits of the sieve of copied texts (8 MB); a full one lets all texts through. A row of it holds SIEVE_ROW bits, as Spark's bitmaps do.
+SIEVE_BITS, SIEVE_ROW = 1 << 26, 1 << 15
 #: Steps of a bisection; more than any array has places.
 BISECTION = [1 << k for k in range(29, -1, -1)]
 
@@ -181,6 +183,17 @@ def _overlaps(term: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (term["start"] < b["end"]) & (b["start"] < term["end"]))
 
 
+def _sieved(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that have no copy for certain, and those that may have one, by a sieve of the keys in ``copies``."""
+    place = F.pmod(F.xxhash64("same"), F.lit(SIEVE_BITS))
+    line, bit = F.floor(place / SIEVE_ROW), place % SIEVE_ROW
+    sieve = copies.groupBy(line.alias("__line")).agg(F.bitmap_construct_agg(bit).alias("__bits"))
+    met = rows.join(F.broadcast(sieve), line == F.col("__line"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.coalesce(F.floor(byte / F.pow(F.lit(2), bit % 8)) % 2 == 1, F.lit(False))
+    return met.filter(~marked).select(rows.columns), met.filter(marked).select(rows.columns)
+
+
 def _disclosing(base: DataFrame, docs: DataFrame) -> DataFrame:
     """pair, level, rows: pairs of entity and term that exceed a threshold."""
     near = base.select("same", F.explode("near").alias("x")).select("same", "x.entity", "x.term")
@@ -188,12 +201,13 @@ def _disclosing(base: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = cut_lineage(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_ct"), F.sum("rows").alias("rows")))
     entities = base.select("same", F.explode("base").alias("b")).select("same", _entity(F.col("b")).alias("entity"))
     entities = entities.distinct().groupBy("entity").agg(F.count("*").alias("n_c"))
-    copies = stored(base.groupBy("same").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    copies = cut_lineage(base.groupBy("same").agg(F.count("*").alias("copies")).filter("copies > 1"))
     n = float(base.count() - (copies.agg(F.sum(F.col("copies") - 1)).first()[0] or 0))
     words = F.array_distinct(F.split(F.lower("text"), r"\P{L}++"))
-    whole = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("same", row_key("text"))
-    whole = attach(whole, copies.withColumn("n", F.col("copies")), "same", "copies")
-    terms = whole.select(F.coalesce("n", F.lit(1)).alias("n"), F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term"))
+    long = F.explode(F.filter(words, lambda w: F.char_length(w) >= LETTERS)).alias("term")
+    alone, marked = _sieved(docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("same", row_key("text")), copies)
+    marked = attach(marked, copies.withColumn("n", F.col("copies")), "same", "copies")
+    terms = alone.select(F.lit(1).cast("long").alias("n"), long).union(marked.select(F.coalesce("n", F.lit(1)).alias("n"), long))
     terms = terms.groupBy("term", "n").agg(F.count("*").alias("rows"))
     terms = terms.groupBy("term").agg(F.sum(F.expr("rows div n")).alias("n_t"))
     # A frequent word stands beside very many entities, and a frequent entity beside very many words.
