@@ -271,3 +271,16 @@ def test_very_many_matches_in_one_text(spark):
     assert [tuple(s) for s in found[0]["base"]] == brute_base(numbers) and len(found[1]["base"]) == 20_000
     assert [tuple(s) for s in found[1]["base"]] == brute_base(mails)
     assert time.time() - start < 120
+
+
+def test_sanitised_texts_equal_plain_replacement(spark):
+    mails = " ".join(f"wörd u{k}@example.org" for k in range(5_000)) + "🙂" * 3_000 + " a@b.c"
+    docs = corpora.docs_df(spark, [*disclosing_texts(5), mails, "🙂 word" * 900 + " x@y.zz +4111 1111 1111 1111"], extra=True)
+    found, clean = corpora.by_id(disclosure.find_spans(docs)), corpora.by_id(disclosure.sanitised(docs))
+    for row in docs.collect():
+        text, out, at = row["text"], [], 0
+        for s in sorted([*found[row["doc_id"]]["base"], *found[row["doc_id"]]["terms"]], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                out += [text[at : s["start"]], {"removed": "", "general": "[word]"}.get(s["kind"], f"[{s['kind']}]")]
+            at = max(at, s["end"])
+        assert clean[row["doc_id"]]["text"] == (None if text is None else "".join(out) + text[at:])

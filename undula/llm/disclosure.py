@@ -127,6 +127,18 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(k, p) for k, p in PATTERNS.items()])
 
 
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _stretch(blocks: Column, begin: Column, end: Column) -> Column:
+    """The code points begin .. end-1 of the text that ``blocks`` make up; each block is touched once."""
+    low = lambda j: F.greatest(begin - j * BLOCK, _zero())
+    inside = F.sequence(F.floor(begin / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int"))
+    parts = F.transform(inside, lambda j: F.substring(F.get(blocks, j), low(j) + 1, F.least(end - j * BLOCK, F.lit(BLOCK)) - low(j)))
+    return F.when(end > begin, F.array_join(parts, "")).otherwise(F.lit(""))
+
+
 def _cut(blocks: Column, begin: Column, length: Column) -> Column:
     """The substring of at most BLOCK code points from ``begin`` of the text that ``blocks`` make up."""
     at = F.floor(begin / BLOCK).cast("int")
@@ -173,9 +185,8 @@ def _entity(span: Column) -> Column:
 
 def near_terms(text: Column, base: Column) -> Column:
     """array<struct<entity,term,start,end>> of the terms in the windows of the base spans; null without any."""
-    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
     kinds = F.transform(F.array(*[F.lit(k) for k in PATTERNS]), lambda k: F.filter(base, lambda s: s["kind"] == k))
-    every = _let(blocks, lambda b: _let(kinds, lambda k: F.flatten(F.transform(base, lambda s: _near(b, k, s)))))
+    every = _let(_blocks(text), lambda b: _let(kinds, lambda k: F.flatten(F.transform(base, lambda s: _near(b, k, s)))))
     return F.when(F.size(base) > 0, every)
 
 
@@ -252,13 +263,18 @@ def sanitised(docs: DataFrame) -> DataFrame:
     ))
     text = F.col("text")
 
-    def step(acc, s):
-        label = F.when(s["kind"] == "removed", "").when(s["kind"] == "general", "[word]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), label)
-        fresh = F.struct(s["end"].alias("at"), more.alias("out"))
-        # A span that begins inside the one before only lengthens it.
-        return F.when(s["start"] >= acc["at"], fresh).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    def label(s):
+        return F.when(s["kind"] == "removed", "").when(s["kind"] == "general", "[word]").otherwise(F.concat(F.lit("["), s["kind"], F.lit("]")))
+
+    def replaced(blocks, spans, reach):
+        # A span that begins inside those before it only lengthens them.
+        places = F.sequence(_zero(), F.size(spans) - 1)
+        heads = F.filter(places, lambda i: (i == 0) | (F.get(spans, i)["start"] >= F.get(reach, i - 1)))
+        pieces = F.transform(heads, lambda i: F.concat(
+            _stretch(blocks, F.coalesce(F.get(reach, i - 1), _zero()), F.get(spans, i)["start"]), label(F.get(spans, i))
+        ))
+        return F.concat(F.array_join(pieces, ""), _stretch(blocks, F.element_at(reach, -1), F.char_length(text)))
 
-    start = F.struct(_zero().alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    ends = F.transform(spans, lambda s: s["end"])
+    clean = _let(_blocks(text), lambda b: _let(spans, lambda s: _let(_running(ends, F.greatest), lambda r: replaced(b, s, r))))
     return rows.select("doc_id", F.when(F.col("base").isNull(), text).otherwise(clean).alias("text"))
