@@ -75,3 +75,15 @@ def test_lag_and_empty(spark):
     frames = sorted(r.frame for r in con.dfc_stream(signals, 12, 2).collect())
     assert frames == list(range(20))
     assert con.dfc_stream(signals.limit(0), 12, 1).count() == 0
+
+
+def test_series_of_links_hold_the_scores_of_the_stream(spark):
+    signals = signals_df(spark, {1: series(600), 2: series(90, seed=8), 4: series(20, 2)})
+    want = {}
+    for r in sorted(con.dfc_stream(signals, [6, 30], 1).collect(), key=lambda r: r.frame):
+        want.setdefault((r.subject, r.window_size, r.i, r.j), []).append(r.fc)
+    got = {}
+    for r in con.link_series(signals, [6, 30]).collect():
+        got.setdefault((r.subject, r.window_size, r.i, r.j), []).extend(r.fc)
+    assert got.keys() == want.keys()
+    assert all(sorted(got[k]) == pytest.approx(sorted(want[k]), abs=1e-12) for k in want)

@@ -102,3 +102,37 @@ def test_errors(spark, links):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_speeds_of_signals_equal_those_of_their_streams(spark):
+    rng = np.random.default_rng(8)
+    signals = signals_df(spark, {1: rng.normal(size=(700, 4)), 2: np.round(rng.normal(size=(90, 4))), 3: np.zeros((60, 4))})
+    gappy = signals.where("not (subject = 2 and t = 40) and not (subject = 1 and t = 300 and region = 2)")
+    for rows in (signals, gappy.where("subject <> 1")):
+        for method in ("pearson", "cosine"):
+            long = spd.oversampled_speed(con.dfc_stream(rows, [6, 15], 1), [6, 15], 2, method=method)
+            key = ["subject", "window_size", "tau", "frame1", "frame2"]
+            want = values(long, key, "speed")
+            got = values(spd.speed_rows(spd.signal_speeds(rows, [6, 15], 2, method=method)), key, "speed")
+            assert got.keys() == want.keys() and len(got) > 300
+            assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_sweep_shuffles_samples_not_streams(spark):
+    from undula.plans import all_queries
+
+    for name in ("c9_speed_sweep", "d3_pool_by_flat_index", "c8_oversampled_medians"):
+        plan = all_queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "frame#" not in "".join(line for line in plan.splitlines() if "Exchange" in line), name
+
+
+def test_medians_of_lists(spark, monkeypatch):
+    from undula.operators import order_stats
+
+    rng = np.random.default_rng(2)
+    lists = [(k % 5, [float(v) for v in np.round(rng.normal(size=rng.integers(0, 40)), 1)]) for k in range(40)]
+    df = spark.createDataFrame(lists, "k int, v array<double>")
+    want = {(k,): float(np.median(np.concatenate([v for g, v in lists if g == k]))) for k in range(5)}
+    for budget in (1 << 18, 150, 1):
+        monkeypatch.setattr(order_stats, "LIST_BUDGET", budget)
+        assert values(order_stats.medians_of_lists(df, ["k"], "v", "m"), ["k"], "m") == pytest.approx(want)

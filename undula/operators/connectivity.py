@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from undula.functions.partitioning import spread
 from undula.functions.similarity import check_method, phase_locking, safe_corr
 from undula.operators.pairing import correlate_items
-from undula.operators.sliding import packed_blocks, window_scores
+from undula.operators.sliding import packed_blocks, window_scores, window_series
 
 FC_METHODS = ("pearson", "plv")
 LAYOUTS = ("triangle", "full")
@@ -143,11 +143,29 @@ def _score(method: str):
 
 def _sliding(signals, windows, lag, keys, method, diagonal):
     """Windows that overlap much: blocks of samples are packed, every size reads the same running sums."""
-    span = max(256, 8 * max(windows))
-    first = F.greatest(F.floor((F.col("t") - (max(windows) - 1)) / span), F.lit(0))
+    packed, span = sample_blocks(signals, max(windows) - 1, keys)
+    return window_scores(packed, keys, windows, lag, span, method, diagonal)
+
+
+def sample_blocks(signals: DataFrame, reach: int, keys: Sequence[str] = ("subject",)) -> tuple[DataFrame, int]:
+    """Packed blocks of samples that carry ``reach`` samples of the next ones along, and the samples of a block."""
+    span = max(256, 8 * (reach + 1))
+    first = F.greatest(F.floor((F.col("t") - reach) / span), F.lit(0))
     block = F.explode(F.sequence(first.cast("int"), F.floor(F.col("t") / span).cast("int")))
     blocked = spread(signals.select(*keys, "t", "region", "value", block.alias("block")), *keys, "block")
-    return window_scores(packed_blocks(blocked, keys), keys, windows, lag, span, method, diagonal)
+    return packed_blocks(blocked, keys), span
+
+
+def link_series(signals: DataFrame, windows: Sequence[int], lag: int = 1, method: str = "pearson", keys: Sequence[str] = ("subject",)) -> DataFrame:
+    """The stream of ``dfc_stream`` with a row per link and block: (keys, window_size, lag, i, j, fc array<double>), frames in order.
+
+    A summary of every link over its frames reads this form, which is far smaller than a row per frame.
+    """
+    check_method(method, FC_METHODS)
+    if not windows or min(windows) < 2 or lag < 1:
+        raise ValueError("window sizes must be at least 2 and the lag at least 1")
+    packed, span = sample_blocks(signals, max(windows) - 1, keys)
+    return window_series(packed, keys, windows, lag, span, method)
 
 
 def _stepped(signals, size, lag, keys, method, diagonal):

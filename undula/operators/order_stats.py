@@ -16,6 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from undula.functions.partitioning import cut_lineage
+
 CELLS_PER_OCTAVE = 128
 #: Distinct values that one cell may hold before it is cut.
 CELL_BUDGET = 1 << 18
@@ -201,6 +203,32 @@ def medians(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFra
     return quantiles(df, keys, value, [0.5], out).select(*keys, out)
 
 
+#: Values of a group that one row may hold while they are sorted.
+LIST_BUDGET = 1 << 18
+
+
+def medians_of_lists(lists: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Exact median per group of the values in the lists of all its rows; lists hold no nulls.
+
+    A group of up to ``LIST_BUDGET`` values is sorted as one list, a larger one value by value in cells.
+    """
+    keys = list(keys)
+    # written once: the sizes and the lists read it
+    lists = cut_lineage(lists.where(F.size(value) > 0).select(*keys, value))
+    large = lists.groupBy(*keys).agg(F.sum(F.size(value).cast("long")).alias("_n")).where(F.col("_n") > LIST_BUDGET).select(*keys)
+    large = cut_lineage(large)
+    none = large.isEmpty()
+    small = lists if none else lists.join(large, keys, "left_anti")
+    whole = small.groupBy(*keys).agg(F.sort_array(F.flatten(F.collect_list(value))).alias("_v"))
+    n = F.size("_v")
+    at = lambda k: F.get("_v", F.floor(k / 2).cast("int"))
+    found = whole.select(*keys, ((at(n - 1) + at(n)) / 2).alias(out))
+    if none:
+        return found
+    rows = lists.join(large, keys, "left_semi").select(*keys, F.explode(value).alias(value))
+    return found.unionByName(medians(rows, keys, value, out))
+
+
 def row_numbers(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Rows (keys, value, out, n) with ``out`` = 1.. in value order; ties get successive numbers."""
     counts = running_totals(value_counts(df, keys, value), keys, value, ["cnt"])

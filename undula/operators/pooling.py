@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from undula.functions.resampling import resample_positions
-from undula.operators.order_stats import medians, order_statistics, quantiles, row_numbers
+from undula.operators.order_stats import medians, medians_of_lists, order_statistics, quantiles, row_numbers
 
 POOLS = ("short", "mid", "long")
 STRATEGIES = ("pad", "drop")
@@ -71,6 +71,9 @@ def pool_by_halves(speeds: DataFrame, windows: Sequence[int], with_all: bool = F
 
 
 def subject_medians(speeds: DataFrame, keys: Sequence[str] = ("subject",), out: str = "median_speed") -> DataFrame:
+    """Median per ``keys`` of rows that hold one speed, or a list of speeds, each."""
+    if dict(speeds.dtypes)["speed"].startswith("array"):
+        return medians_of_lists(speeds, keys, "speed", out)
     return medians(speeds, keys, "speed", out)
 
 

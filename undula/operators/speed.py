@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from undula.functions.partitioning import spread
 from undula.functions.similarity import check_method, clip, similarity
+from undula.operators.connectivity import sample_blocks
 from undula.operators.order_stats import average_rank_bounded, medians
+from undula.operators.sliding import window_speeds
 
 COUNTS = ("unified", "classic")
 MATRICES = ("triangle", "full")
@@ -126,6 +128,37 @@ def oversampled_speed(
     return _per_window(dfc, plan, method, keys, clipped=False)
 
 
+def signal_speeds(
+    signals: DataFrame,
+    windows: Sequence[int],
+    tau: int = 3,
+    min_tau_zero: bool = False,
+    method: str = "pearson",
+    keys: Sequence[str] = ("subject",),
+    lag: int = 1,
+) -> DataFrame:
+    """``oversampled_speed`` of the streams of ``signals``: (keys, window_size, tau, step, frame1 array<int>, speed array<double>).
+
+    Streams are not written out: a block of samples carries what its last frames' partners need, so samples are
+    shuffled once and speeds are made beside the windows. A row holds the speeds of one block; ``speed_rows`` unfolds them.
+    """
+    check_method(method, ("pearson", "cosine"))
+    taus = range(0 if min_tau_zero else -tau, tau + 1)
+    plan = {size: [(t, size + t, size + tau) for t in taus] for size in windows}
+    for rows in plan.values():
+        for _, step, _ in rows:
+            _check_step(step)
+    packed, span = sample_blocks(signals, max(size - 1 + lag * (size + tau) for size in plan), keys)
+    return window_speeds(packed, keys, plan, lag, span, method, clipped=False)
+
+
+def speed_rows(packed: DataFrame) -> DataFrame:
+    """One row per speed of ``signal_speeds``: (keys, window_size, tau, frame1, frame2, speed)."""
+    kept = [c for c in packed.columns if c not in ("step", "frame1", "speed")]
+    rows = packed.select(*kept, "step", F.explode(F.arrays_zip("frame1", "speed")).alias("_s"))
+    return rows.select(*kept, F.col("_s.frame1").alias("frame1"), (F.col("_s.frame1") + F.col("step")).alias("frame2"), F.col("_s.speed").alias("speed"))
+
+
 def oversampled_medians(dfc, windows, tau=3, min_tau_zero=False, method="pearson", keys=("subject",)) -> DataFrame:
     """Median of the oversampled speeds per (keys, window_size, tau)."""
     rows = oversampled_speed(dfc, windows, tau, min_tau_zero, method, keys)

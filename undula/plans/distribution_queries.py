@@ -9,7 +9,7 @@ from undula.operators import pooling as pool, speed as spd
 from undula.operators.order_stats import quantiles
 from undula.plans import fragments as q
 from undula.plans.catalog import query
-from undula.plans.network_queries import BASE, COMMUNITY_PAIRS, REGION_COMMUNITY, region_community, stream
+from undula.plans.network_queries import BASE, COMMUNITY_PAIRS, REGION_COMMUNITY, region_community
 from undula.operators import connectivity as con
 from undula.sources import tables as src
 
@@ -17,8 +17,12 @@ WINDOWS = [6, 9, 12]
 TAUS = [0, 1]
 
 
+def packed_speeds(spark, sf_dir):
+    return spd.signal_speeds(src.signals(spark, sf_dir), WINDOWS, tau=1, min_tau_zero=True)
+
+
 def speeds(spark, sf_dir):
-    return spd.oversampled_speed(stream(spark, sf_dir, WINDOWS), WINDOWS, tau=1, min_tau_zero=True)
+    return spd.speed_rows(packed_speeds(spark, sf_dir))
 
 
 def speeds_sql(source: dict[int, str] | None = None, name: str = "speed") -> list[str]:
@@ -102,10 +106,10 @@ FLAT = (
 GROUP BY pool, flat_index""",
 )
 def pool_by_flat_index(spark, sf_dir):
-    dfc = stream(spark, sf_dir, FLAT_WINDOWS)
-    all_speeds = spd.oversampled_speed(dfc, FLAT_WINDOWS, tau=2, min_tau_zero=True)
     treated = src.cohort(spark, sf_dir).where("treatment = 'treated'").select("subject")
-    return summed(pool.pool_by_flat_index(all_speeds.join(treated, "subject"), FLAT_WINDOWS, FLAT_TAUS), "pool", "flat_index")
+    signals = src.signals(spark, sf_dir).join(treated, "subject")
+    speeds_ = spd.speed_rows(spd.signal_speeds(signals, FLAT_WINDOWS, tau=2, min_tau_zero=True))
+    return summed(pool.pool_by_flat_index(speeds_, FLAT_WINDOWS, FLAT_TAUS), "pool", "flat_index")
 
 
 @query("d4_population_pooling", grouped_ctes() + f"SELECT label, pool, {SUMMED} FROM grouped GROUP BY label, pool")
@@ -150,7 +154,7 @@ def community_speed_pools(spark, sf_dir):
 
 @query("d7_subject_median_speed", q.ctes(*SPEEDS) + f"SELECT subject, {q.rnd('median(speed)', 5)} AS median_speed FROM speed GROUP BY subject")
 def subject_median_speed(spark, sf_dir):
-    return pool.subject_medians(speeds(spark, sf_dir)).withColumn("median_speed", rounded("median_speed", 5))
+    return pool.subject_medians(packed_speeds(spark, sf_dir)).withColumn("median_speed", rounded("median_speed", 5))
 
 
 PRICES = "prices AS (SELECT l_returnflag AS label, CASE WHEN l_quantity <= 25 THEN 'short' ELSE 'long' END AS pool, l_extendedprice AS x FROM lineitem)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from undula.functions.similarity import rounded
 from undula.operators import connectivity as con
 from undula.operators import prep, speed as spd
+from undula.operators.order_stats import medians_of_lists
 from undula.plans import fragments as q
 from undula.plans.catalog import query
 from undula.sources import tables as src
@@ -102,7 +103,8 @@ def sliding_phase_locking(spark, sf_dir):
 )
 def window_sweep(spark, sf_dir):
     return (
-        stream(spark, sf_dir, SIZES)
+        con.link_series(src.signals(spark, sf_dir), SIZES)
+        .select("subject", "window_size", "i", "j", F.explode("fc").alias("fc"))
         .groupBy("subject", "window_size", "i", "j")
         .agg(
             F.count(F.lit(1)).alias("frames"),
@@ -291,7 +293,8 @@ SWEEP_SPEED = (
 )
 def speed_sweep(spark, sf_dir):
     """The production sweep: every window size at four taus, in one plan."""
-    speeds = spd.oversampled_speed(stream(spark, sf_dir, SIZES), SIZES, tau=max(TAUS), min_tau_zero=True)
+    packed = spd.signal_speeds(src.signals(spark, sf_dir), SIZES, tau=max(TAUS), min_tau_zero=True)
+    speeds = packed.select("subject", "window_size", "tau", F.explode("speed").alias("speed"))
     return speeds.groupBy("subject", "window_size", "tau").agg(F.count("speed").alias("n"), rounded(F.avg("speed"), 4).alias("mean_speed"))
 
 
@@ -318,12 +321,17 @@ def oversampled_sql(tau):
     return q.ctes(*SWEEP, *parts, q.union_all("speed", "s6", "s9", "s12"))
 
 
+def stream_medians(spark, sf_dir, tau):
+    packed = spd.signal_speeds(src.signals(spark, sf_dir), [6, 9, 12], tau)
+    return medians_of_lists(packed, ["subject", "window_size", "tau"], "speed", "median_speed")
+
+
 @query(
     "c8_oversampled_medians",
     oversampled_sql(2) + f"SELECT subject, window_size, tau, {q.rnd('median(speed)', 5)} AS median_speed FROM speed GROUP BY ALL",
 )
 def oversampled_medians(spark, sf_dir):
-    out = spd.oversampled_medians(stream(spark, sf_dir, [6, 9, 12]), [6, 9, 12], tau=2)
+    out = stream_medians(spark, sf_dir, 2)
     return out.withColumn("median_speed", rounded("median_speed", 5))
 
 
@@ -332,7 +340,7 @@ def oversampled_medians(spark, sf_dir):
     q.ctes(*W12, q.speed([(t, 12 + t) for t in range(4)], "15")) + f"SELECT tau, {SPEED_COLS} FROM speed",
 )
 def speed_distribution(spark, sf_dir):
-    return rounded_speed(spd.oversampled_speed(stream(spark, sf_dir), [12], tau=3, min_tau_zero=True))
+    return rounded_speed(spd.speed_rows(spd.signal_speeds(src.signals(spark, sf_dir), [12], tau=3, min_tau_zero=True)))
 
 
 @query(
@@ -382,7 +390,7 @@ SELECT subject, window_size, tau,
 FROM m GROUP BY GROUPING SETS ((subject), (window_size), (tau), ())""",
 )
 def marginal_means(spark, sf_dir):
-    med = spd.oversampled_medians(stream(spark, sf_dir, [6, 9, 12]), [6, 9, 12], tau=1)
+    med = stream_medians(spark, sf_dir, 1)
     out = spd.marginal_means(med)
     for c in ("mean_speed", "min_speed", "max_speed"):
         out = out.withColumn(c, rounded(c, 5))

@@ -8,7 +8,7 @@ from undula.functions.similarity import rounded
 from undula.operators import community as com, pooling as pool, stats
 from undula.plans import fragments as q
 from undula.plans.catalog import query
-from undula.plans.distribution_queries import SPEEDS, WINDOWS, prices, speeds, PRICES, HALVES
+from undula.plans.distribution_queries import SPEEDS, WINDOWS, packed_speeds, prices, PRICES, HALVES
 from undula.sources import tables as src
 
 MWU_SQL = """
@@ -131,7 +131,7 @@ SELECT {cols}{comma}count(*) AS n, {q.rnd(f"CASE WHEN count(*) > 2 THEN {q.corr(
 
 
 def subject_scores(spark, sf_dir, keys=("subject",)):
-    med = pool.subject_medians(speeds(spark, sf_dir), keys)
+    med = pool.subject_medians(packed_speeds(spark, sf_dir), keys)
     return med.join(src.cohort(spark, sf_dir).select("subject", "genotype", "score"), "subject")
 
 
@@ -223,7 +223,7 @@ def ols_by_group_and_pool(spark, sf_dir):
 
 
 def regression(spark, sf_dir, p_values):
-    halves = pool.pool_by_halves(speeds(spark, sf_dir), WINDOWS)
+    halves = pool.pool_by_halves(packed_speeds(spark, sf_dir), WINDOWS)
     med = pool.subject_medians(halves, ("subject", "pool"))
     scored = med.join(src.cohort(spark, sf_dir).select("subject", "genotype", "score"), "subject")
     out = stats.ols(scored, "median_speed", "score", ["genotype", "pool"], p_values)
