@@ -121,3 +121,19 @@ def test_histogram_closes_the_last_edge(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 1.0), ("b", 0.5), ("b", 1.2), ("a", 2.0)], "g string, x double")
     rows = pool.normalized_histograms(df, ["g"], "x", 10, 0.0, 1.0).where(F.col("n") > 0).collect()
     assert {(r.g, r.bin) for r in rows} == {("a", 0), ("a", 9), ("b", 5)}
+
+
+def test_bootstrap_positions_do_not_multiply_the_values(spark):
+    """Values and positions meet by a sort; no value row carries the positions of its cell."""
+    from undula.operators.order_stats import order_statistics
+    from undula.operators.pooling import bootstrap_ci
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 1000 / 7.0).alias("x"))
+    spots = F.array(*[F.struct(F.lit(p).alias("tag"), F.lit(p).cast("long").alias("pos")) for p in (0, 1, 2, 749, 1499)])
+    picked = {(r.k, r.tag): r.x for r in order_statistics(rows, ["k"], "x", spots, many=True).collect()}
+    for k in (0, 1):
+        want = sorted(i % 1000 / 7.0 for i in range(3000) if i % 2 == k)
+        assert {p: picked[k, p] for p in (0, 1, 2, 749, 1499)} == {p: want[p] for p in (0, 1, 2, 749, 1499)}
+    plan = bootstrap_ci(rows, ["k"], "x", [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hits" not in plan

@@ -126,10 +126,14 @@ def order_statistics(
     sort per group instead of a scan per position.
     """
     keys, cell_key = list(keys), [*keys, *CELL]
-    celled = in_cells(value_counts(df, keys, value), keys, value)
+    counts = value_counts(df, keys, value)
+    # written once: the cuts of the cells, their totals and their values read it
+    celled = in_cells(cut_lineage(counts) if many else counts, keys, value)
     totals = celled.groupBy(*cell_key).agg(F.sum("cnt").alias("_in_cell"))
     spans = totals.select("*", _before(keys, CELL, "_in_cell").alias("_start"))
-    hits = (_cells_by_sort if many else _cells_by_scan)(spans, keys, positions)
+    if many:
+        return _values_by_sort(celled, _cells_by_sort(spans, keys, positions), keys, value)
+    hits = _cells_by_scan(spans, keys, positions)
     hits = hits.groupBy(*keys, "n", *CELL, "_start").agg(F.collect_list("_w").alias("_hits"))
     here = F.col("_start") + _before(cell_key, [value], "cnt")
     mine = F.filter(
@@ -143,6 +147,20 @@ def order_statistics(
     )
 
 
+def _values_by_sort(celled: DataFrame, hits: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The value of each wanted position: values and positions of a cell are sorted together, so that none is repeated."""
+    cell_key = [*keys, *CELL]
+    held = celled.select(*cell_key, _before(cell_key, [value], "cnt").alias("_at"), value)
+    wanted = hits.select(*cell_key, (F.col("_w.pos") - F.col("_start")).alias("_at"), "n", F.col("_w.tag").alias("_tag"))
+    upto = W.partitionBy(*cell_key).orderBy("_at", F.col("_tag").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    return (
+        held.unionByName(wanted, allowMissingColumns=True)
+        .withColumn("_found", F.last(value, ignorenulls=True).over(upto))
+        .where(F.col("_tag").isNotNull())
+        .select(*keys, "n", F.col("_tag").alias("tag"), F.col("_found").alias(value))
+    )
+
+
 def _cells_by_scan(spans: DataFrame, keys: Sequence[str], positions: Column) -> DataFrame:
     """Wanted positions with their cells; a group has as many cells as its values span octaves, times a constant."""
     groups = spans.groupBy(*keys).agg(
