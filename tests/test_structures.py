@@ -354,3 +354,20 @@ def test_too_few_frames_fail_when_read(spark):
         with pytest.raises(Exception, match="must be less than number of frames"):
             spd.dfc_speed(stream, step).collect()
         assert spd.dfc_speed(stream, step, check_frames=False).count() == 0
+
+
+def test_lot_numbers_of_more_than_four_digits(spark):
+    names = spark.createDataFrame([("batch_lot3_0042_a",), ("batch_lot3_12345_a",), ("batch_lot3_00427_x",), ("other",)], "name string")
+    from undula.operators import prep
+
+    got = {r.name: r.key for r in prep.extract_keys(names, "name", prep.lot_number("name")).collect()}
+    assert got == {"batch_lot3_0042_a": 42, "batch_lot3_12345_a": 12345, "batch_lot3_00427_x": 427}
+
+
+def test_lot_numbers_equal_sql_beyond_9999(spark, tmp_path):
+    import oracle
+    from undula.plans import all_oracles, all_queries
+
+    spark.range(9990, 10020).selectExpr("id AS s_suppkey").coalesce(1).toPandas().to_parquet(tmp_path / "supplier.parquet")
+    got = oracle.spark_table(all_queries()["a3_lot_numbers"](spark, str(tmp_path)))
+    assert oracle.difference(got, oracle.sql_table(oracle.connect(str(tmp_path)), all_oracles()["a3_lot_numbers"])) is None

@@ -36,9 +36,11 @@ def series_key(name: str | Column) -> Column:
 
 
 def lot_number(name: str | Column, prefix: str = LOT_PREFIX) -> Column:
-    """The four digits after the last ``prefix``; NULL when the name has no such prefix."""
+    """The number of four digits or more after the last ``prefix``; NULL when the name has no such prefix."""
     name = F.col(name) if isinstance(name, str) else name
-    digits = F.substring(F.element_at(F.split(name, F.lit(prefix)), -1), 1, 4)
+    rest = F.element_at(F.split(name, F.lit(prefix)), -1)
+    more = F.regexp_extract(rest, "^[0-9]{5,}", 0)
+    digits = F.when(more != "", more).otherwise(F.substring(rest, 1, 4))
     return F.when(F.contains(name, F.lit(prefix)), digits.try_cast("int"))
 
 
