@@ -119,3 +119,19 @@ def test_constant_region_is_zero(spark):
     x = np.column_stack([np.arange(6.0), np.full(6, 3.0)])
     rows = st.sample_features(signals_df(spark, {0: x})).collect()
     assert all(r["features"][1] == 0 for r in rows)
+
+
+def test_a_batch_from_which_nothing_is_drawn(spark):
+    """Far more batches than draws: most of them add no candidate."""
+    from pyspark.sql import functions as F
+
+    from undula.operators.kmeans import fit_many
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        far = F.floor(F.col("id") / 2000) * 10.0
+        rows = spark.range(4000).select(F.col("id").alias("t"), F.array(far, F.col("id") % 7 / 100.0).alias("features"))
+        found = fit_many(rows, [2, 2], [1, 2])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert all(sorted(round(c) for c in centres[:, 0]) == [0, 10] for _, centres in found)
