@@ -135,3 +135,27 @@ def test_a_batch_from_which_nothing_is_drawn(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(sorted(round(c) for c in centres[:, 0]) == [0, 10] for _, centres in found)
+
+
+def test_silhouette_of_copies(spark):
+    """Copies of a sample are one item with a weight, in any number of tiles."""
+    from undula.operators import states as st
+
+    rng = np.random.default_rng(4)
+    x = np.repeat(np.round(rng.normal(size=(20, 3)), 1), 5, axis=0)
+    own = np.repeat(rng.integers(0, 3, 20), 5)
+    own[::7] = 1
+    rows = [(k, 0, int(own[k]), [float(v) for v in x[k]]) for k in range(len(x))]
+    labelled = spark.createDataFrame(rows, "subject long, t int, cluster int, features array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = []
+    for k in range(len(x)):
+        a = d[k, own == own[k]].sum() / ((own == own[k]).sum() - 1)
+        b = min(d[k, own == c].mean() for c in set(own) if c != own[k])
+        want.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    for tile in (4, 4096):
+        got = {r.subject: r.silhouette for r in st.silhouette_samples(labelled, tile).collect()}
+        assert [got[k] for k in range(len(x))] == pytest.approx(want, abs=1e-9)
+        mean = st.mean_silhouette(labelled, tile).first()
+        assert (mean.n, mean.silhouette) == (100, pytest.approx(float(np.mean(want))))
+    assert st._distinct_silhouettes(labelled, 8).count() == len({(c, tuple(v)) for c, v in zip(own.tolist(), x.tolist())})
