@@ -371,3 +371,48 @@ def test_lot_numbers_equal_sql_beyond_9999(spark, tmp_path):
     spark.range(9990, 10020).selectExpr("id AS s_suppkey").coalesce(1).toPandas().to_parquet(tmp_path / "supplier.parquet")
     got = oracle.spark_table(all_queries()["a3_lot_numbers"](spark, str(tmp_path)))
     assert oracle.difference(got, oracle.sql_table(oracle.connect(str(tmp_path)), all_oracles()["a3_lot_numbers"])) is None
+
+
+def test_theil_sen_of_copied_points(spark, monkeypatch):
+    """Slopes count as often as their points occur, while only distinct points are paired."""
+    from undula.operators import stats
+
+    rng = np.random.default_rng(6)
+    points = np.round(rng.normal(size=(25, 2)), 1)
+    x, y = np.repeat(points, rng.integers(1, 30, 25), axis=0).T
+    rows = spark.createDataFrame([(k, "g", float(a), float(b)) for k, (a, b) in enumerate(zip(x, y))], "subject long, k string, x double, y double")
+    seen, paired = [], stats.tile_pairs
+    monkeypatch.setattr(stats, "tile_pairs", lambda items, *a: seen.append(items.count()) or paired(items, *a))
+    got = stats.theil_sen(rows, "x", "y", ["k"], tile=6).first()
+    dx, dy = x[None] - x[:, None], y[None] - y[:, None]
+    slope = np.median(dy[dx > 0] / dx[dx > 0])
+    assert got.slope == pytest.approx(slope) and got.intercept == pytest.approx(np.median(y) - slope * np.median(x))
+    assert seen == [len({tuple(p) for p in points.tolist()})]
+
+
+def test_pairs_of_tiles_leave_in_pieces(spark):
+    """No task turns a whole batch of tile pairs into products at once."""
+    from undula.operators.pairing import correlate_items
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 6))
+    x[7] = 1.0
+    rows = spark.createDataFrame([(k, a, float(x[k, a])) for k in range(150) for a in range(6)], "m long, a int, v double")
+    out = correlate_items(rows, [], "m", "a", "v", "p", "q", "r", tile=16)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    got = {(r.p, r.q): r.r for r in out.collect()}
+    assert len(got) == 150 * 149 // 2 and all(p < q for p, q in got)
+    for p, q in ((0, 1), (3, 149), (60, 61), (7, 20)):
+        assert got[p, q] == pytest.approx(0.0 if 7 in (p, q) else np.corrcoef(x[p], x[q])[0, 1])
+
+
+def test_meta_connectivity_of_series_equals_that_of_the_stream(spark):
+    from undula.operators import connectivity as con, meta
+
+    rng = np.random.default_rng(3)
+    signals = signals_df(spark, {1: rng.normal(size=(600, 4)), 2: rng.normal(size=(50, 4))})
+    key = ["subject", "pair_a", "pair_b"]
+    want = values(meta.meta_connectivity(con.dfc_stream(signals, 12)), key, "mc")
+    got = values(meta.meta_connectivity_of_series(con.link_series(signals, [12])), key, "mc")
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)

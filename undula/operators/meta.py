@@ -6,8 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from undula.operators.connectivity import unfold_pairs
-from undula.operators.pairing import correlate_items, tile_pairs
+from undula.operators.connectivity import pair_id, unfold_pairs
+from undula.operators.pairing import correlate_items, correlate_pieces, tile_pairs
 
 RULES = ("fc_root", "mc_fc", "mc_dfc")
 
@@ -18,6 +18,12 @@ def meta_connectivity(dfc: DataFrame, tile: int = 128, chunk: int = 1024) -> Dat
     return correlate_items(dfc, keys, "pair_id", "frame", "fc", "pair_b", "pair_a", "mc", tile, chunk)
 
 
+def meta_connectivity_of_series(series: DataFrame, tile: int = 128) -> DataFrame:
+    """The same from ``link_series``, whose lists are the pieces of the links: no frame is shuffled by itself."""
+    pieces = series.withColumn("pair_id", pair_id()).select("subject", "window_size", "pair_id", F.col("block").alias("_part"), F.col("fc").alias("_v"))
+    return correlate_pieces(pieces, ["subject", "window_size"], "pair_id", "pair_b", "pair_a", "mc", tile)
+
+
 # ---- index tables ----------------------------------------------------------------------
 
 

@@ -111,11 +111,13 @@ GENUINE_ALL = (*W12, q.FC, MC, *STATIC, GENUINE)
 
 
 def genuine(spark, sf_dir):
-    signals = src.signals(spark, sf_dir)
-    dfc = cut_lineage(con.dfc_stream(signals, 12))
-    motifs = meta.trimers(static_links(signals))
-    mc = meta.meta_connectivity(dfc).select("subject", "pair_a", "pair_b", "mc")
-    return meta.genuine_trimers(motifs, con.fc_matrix(signals), mc, con.mean_over_frames(dfc))
+    # written once: the series, the static networks and the links read it
+    signals = cut_lineage(src.signals(spark, sf_dir))
+    series = cut_lineage(con.link_series(signals, [12]))
+    motifs = cut_lineage(meta.trimers(static_links(signals)))
+    mc = meta.meta_connectivity_of_series(series).select("subject", "pair_a", "pair_b", "mc")
+    frames = series.select("subject", "window_size", "i", "j", F.explode("fc").alias("fc"))
+    return meta.genuine_trimers(motifs, con.fc_matrix(signals), mc, con.mean_over_frames(frames))
 
 
 @query(
