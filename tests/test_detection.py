@@ -124,3 +124,19 @@ def test_any_graph_key_and_odd_links(spark):
     got = {(r.graph_id.name, r.node): r.community for r in com.detect_communities(keyed, [1.0], 1).collect()}
     assert got == {("a", 0): 1, ("a", 1): 2, ("b", 3): 1, ("b", 7): 2, ("c", 4): 1, ("c", 5): 1}
     assert com.detect_communities(edges.limit(0), [1.0], 2).count() == 0
+
+
+def test_trials_that_hold_one_partition_are_asked_once(monkeypatch):
+    """Sweeps end as soon as no node wants to move, and equal partitions of a graph are looked at once."""
+    rng = np.random.default_rng(1)
+    w = np.kron(np.eye(2), np.ones((4, 4))) - 0.5 + rng.uniform(0, 0.01, (8, 8))
+    w = (w + w.T) / 2
+    np.fill_diagonal(w, 0.0)
+    b = packed.modularity_matrix(w, 1.0)
+    asked, orders = [], []
+    distinct, order = packed._distinct, packed._orders
+    monkeypatch.setattr(packed, "_distinct", lambda *a: asked.append(len((found := distinct(*a))[0])) or found)
+    monkeypatch.setattr(packed, "_orders", lambda keys, *a: orders.append(len(keys)) or order(keys, *a))
+    label = packed.communities(b[None], np.zeros(500, np.int64), np.arange(500, dtype=np.uint64))
+    assert (label == [1, 1, 1, 1, 2, 2, 2, 2]).all()
+    assert max(asked) < 50 and sum(orders) < 1000
