@@ -316,9 +316,11 @@ def summary(stored):
 def store_round_trip(spark, sf_dir):
     """A stream of two window sizes is stored, one of them stored again, and the other one read back by its parameters."""
     path = scratch_store(spark, "round-trip")
-    found = stream(spark, sf_dir, windows=[24, 36])
-    store.save(found, path)
-    store.save(found.where("window_size = 36 AND frame < 5"), path)
+    # written once: both saves read it
+    signals = cut_lineage(src.signals(spark, sf_dir))
+    store.save(con.dfc_stream(signals, [24, 36]), path)
+    # the first five frames reach over 40 samples
+    store.save(con.dfc_stream(signals.where("t < 40"), 36).where("frame < 5"), path)
     return summary(store.load(spark, path, window_size=24, lag=1))
 
 
