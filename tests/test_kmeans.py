@@ -159,3 +159,21 @@ def test_silhouette_of_copies(spark):
         mean = st.mean_silhouette(labelled, tile).first()
         assert (mean.n, mean.silhouette) == (100, pytest.approx(float(np.mean(want))))
     assert st._distinct_silhouettes(labelled, 8).count() == len({(c, tuple(v)) for c, v in zip(own.tolist(), x.tolist())})
+
+
+def test_a_pass_over_packed_samples(spark):
+    """Samples are packed once; a pass counts each sample once per fit, also beside equal centres."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 3))
+    sets = [x[:4], x[[7, 7, 9]], x[10:14], x[20:22]]
+    data = km.blocks(features_df(spark, x).select(F.xxhash64("subject", "t").alias("key"), "features"))
+    assert data.count() <= data.rdd.getNumPartitions() and data.agg(F.sum("n")).first()[0] == 300
+    counts, sums, cost = km.cluster_sums(data, km.Centres(range(4), sets))
+    at = 0
+    for f, own in enumerate(sets):
+        d = ((x[:, None] - own[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        for c in range(len(own)):
+            assert counts[at + c] == (near == c).sum() and np.allclose(sums[at + c], x[near == c].sum(axis=0))
+        assert cost[f] == pytest.approx(d.min(axis=1).sum()) == km.least_sums(data, km.Centres(range(4), sets))[f]
+        at += len(own)
