@@ -177,3 +177,25 @@ def test_a_pass_over_packed_samples(spark):
             assert counts[at + c] == (near == c).sum() and np.allclose(sums[at + c], x[near == c].sum(axis=0))
         assert cost[f] == pytest.approx(d.min(axis=1).sum()) == km.least_sums(data, km.Centres(range(4), sets))[f]
         at += len(own)
+
+
+def test_each_distance_is_worked_out_once(monkeypatch):
+    """Two tiles share their distances, and copies in both are at distance 0."""
+    from undula.operators import states as st
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 5)) + 1e3
+    x[650:] = x[:50]
+    own = rng.integers(0, 3, 700)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    tiles = [(np.arange(a, b), own[a:b], np.ones(b - a), x[a:b]) for a, b in ((0, 400), (400, 700))]
+    roots, root = [], np.sqrt
+    monkeypatch.setattr(np, "sqrt", lambda v, **kw: roots.append(v.size) or root(v, **kw))
+    got = {}
+    for batch in st._sums_to_clusters(*tiles, False):
+        for r in batch.to_pylist():
+            got[r["_item"], r["cluster"]] = r["_total"]
+    assert sum(roots) == 400 * 300
+    for k in range(700):
+        other = slice(400, 700) if k < 400 else slice(0, 400)
+        assert [got[k, c] for c in range(3)] == pytest.approx([d[k, other][own[other] == c].sum() for c in range(3)], rel=1e-12)
