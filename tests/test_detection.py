@@ -140,3 +140,19 @@ def test_trials_that_hold_one_partition_are_asked_once(monkeypatch):
     label = packed.communities(b[None], np.zeros(500, np.int64), np.arange(500, dtype=np.uint64))
     assert (label == [1, 1, 1, 1, 2, 2, 2, 2]).all()
     assert max(asked) < 50 and sum(orders) < 1000
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 7])
+def test_tables_give_the_partitions_of_the_moves(n, monkeypatch):
+    """Small graphs look up what the search node by node works out, gamma by gamma and level by level."""
+    from undula.operators import tabled_detection as tabled
+
+    rng = np.random.default_rng(n)
+    w = [rng.uniform(-1, 1, (n, n)) for _ in range(5)]
+    single = np.stack([packed.modularity_matrix(np.tril(x, -1) + np.tril(x, -1).T, g) for x in w for g in (0.8, 1.1, 1.3)])
+    keys = packed._hash(np.arange(3 * 40, dtype=np.uint64))
+    owner, each = np.repeat(np.arange(15), 40), np.tile(keys, 5)
+    want = packed.communities(single, owner, each)
+    for matrices in (1, 80):
+        monkeypatch.setattr(tabled, "MATRICES", matrices)
+        assert (packed._tabled(single, 3, 40, keys) == want).all()
