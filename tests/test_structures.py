@@ -416,3 +416,16 @@ def test_meta_connectivity_of_series_equals_that_of_the_stream(spark):
     want = values(meta.meta_connectivity(con.dfc_stream(signals, 12)), key, "mc")
     got = values(meta.meta_connectivity_of_series(con.link_series(signals, [12])), key, "mc")
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_tiles_of_matrices_grow_with_their_number(spark, monkeypatch):
+    """All pairs of many items travel in a bounded number of tiles, so each item goes to few of them."""
+    from undula.operators import pairing, stats
+
+    rows = spark.range(700).select(F.col("id").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
+    rows = rows.withColumn("w", F.rand(1))
+    sizes, tiled = [], pairing.tile_pairs
+    monkeypatch.setattr(pairing, "TILES", 4)
+    monkeypatch.setattr(pairing, "tile_pairs", lambda *a: sizes.append(a[-1]) or tiled(*a))
+    assert stats.matrix_correlation(rows, "g", ["c"], "w").count() == 700 * 699 // 2
+    assert sizes == [175]
