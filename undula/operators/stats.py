@@ -131,7 +131,7 @@ SLOPE_TILES = 12
 SLOPES_INSIDE = 1 << 20
 SLOPE_ROUNDS = 12
 #: Points of the largest group whose slopes are a first guess; a group with few of them starts with all angles.
-GUESS_POINTS, GUESS_LEAST = 3000, 200
+GUESS_POINTS, GUESS_LEAST = 1000, 200
 
 
 def theil_sen(
